@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from buildlens.operators.cases import test_stats
 from buildlens.operators.coverage import TOTALS
 from buildlens.plans.skew import attach
+from buildlens.session import materialize
 
 
 def merge_test_runs(runs: DataFrame) -> DataFrame:
@@ -40,8 +41,10 @@ def merge_cov_runs(files: DataFrame) -> DataFrame:
     Entries of the first input all stay. A later entry adds to the last
     first-input entry of its path; entries of a path new to the run share one
     row. Merging appends raw rows, so totals simply add up, and the work is on
-    per-entry totals. Every step is an aggregate that combines map-side.
+    per-entry totals. Every step is an aggregate that combines map-side. The
+    totals are stored once, because they are read three times.
     """
+    files = materialize(files, "entry-totals")
     first_source = files.groupBy("run_id").agg(F.min("source_ord").alias("_first"))
     tagged = attach(files, first_source, ["run_id"]).withColumn(
         "_is_first", F.col("source_ord") == F.col("_first")

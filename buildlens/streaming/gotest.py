@@ -13,7 +13,8 @@ from buildlens.operators.cases import test_stats
 from buildlens.sources.gotest import EVENT, TERMINAL, finished_cases
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_KEYS = ["run_id", "package", "test"]
+# Groups per run: enough to spread one run, few enough that calls stay rare.
+BUCKETS = 64
 _FINISHED = "run_id string, package string, test string, at string, action string, elapsed double, raw_output string"
 
 
@@ -36,56 +37,76 @@ def stream_events(lines: DataFrame) -> DataFrame:
 
 
 class OpenTests(StatefulProcessor):
-    """Output of the tests that have started, one list of pieces per test.
+    """Output of the tests that have started and not ended.
 
-    Pieces are list state, so output appends without reading what is stored.
+    One call handles a bucket of tests. `open` holds how many pieces of output
+    each running test has stored, and is all that is read on every call; the
+    pieces are written once and read when their test ends.
     """
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.started = handle.getValueState("started", "started boolean", ttlDurationMs=self.ttl_ms)
-        self.pieces = handle.getListState("pieces", "output string", ttlDurationMs=self.ttl_ms)
+        test = "package string, test string"
+        self.open = handle.getMapState("open", test, "parts int", ttlDurationMs=self.ttl_ms)
+        self.pieces = handle.getMapState("pieces", f"{test}, part int", "output string", ttlDurationMs=self.ttl_ms)
+
+    def take_stored(self, test: tuple[str, str], parts: int) -> list[str]:
+        """Stored output of a test in order; the state lets go of it."""
+        out = []
+        for part in range(parts):
+            out.append(self.pieces.getValue((*test, part))[0])
+            self.pieces.removeKey((*test, part))
+        return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable")
-        is_open = self.started.exists()
-        fresh: list[str] = []
+        stored = {tuple(test): parts[0] for test, parts in self.open.iterator()}
+        fresh: dict[tuple[str, str], list[str]] = {test: [] for test in stored}
+        before = dict(stored)
         done = []
-        for at, action, elapsed, output in batch[["at", "action", "elapsed", "output"]].itertuples(index=False):
+        columns = batch[["package", "test", "at", "action", "elapsed", "output"]]
+        for package, name, at, action, elapsed, output in columns.itertuples(index=False):
+            test = (package, name)
             if action == "output":
-                if is_open:
-                    fresh.append(output)
+                if test in fresh:
+                    fresh[test].append(output)
                 continue
-            if action != "run":
-                stored = [piece[0] for piece in self.pieces.get()] if is_open else []
-                done.append((*key, at, action, elapsed, "".join(stored + fresh)))
-            is_open = action == "run"
-            fresh = []
-            self.pieces.clear()
-        if is_open:
-            self.started.update((True,))
-            if fresh:
-                self.pieces.appendList([(piece,) for piece in fresh])
-        else:
-            self.started.clear()
+            old = self.take_stored(test, stored.pop(test, 0))
+            new = fresh.pop(test, [])
+            if action == "run":
+                fresh[test] = []
+            else:
+                done.append((key[0], package, name, at, action, elapsed, "".join(old + new)))
+        for test, pieces in fresh.items():
+            parts = stored.get(test, 0)
+            if pieces:
+                self.pieces.updateValue((*test, parts), ("".join(pieces),))
+                parts += 1
+            if before.get(test) != parts:
+                self.open.updateValue(test, (parts,))
+        for test in before.keys() - fresh.keys():
+            self.open.removeKey(test)
         yield pd.DataFrame(done, columns=[c.split()[0] for c in _FINISHED.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def stream_gotest_cases(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def stream_gotest_cases(lines: DataFrame, ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Cases of an endless event feed, emitted when a test ends.
 
-    State lives per (run, package, test) and goes when the test ends; tests
-    that never end fall out after `ttl_ms`. The events of one micro-batch are
-    put in the order of their time. Needs the RocksDB state store.
+    The tests of a run are spread over buckets; the state of a test goes when
+    it ends, and tests that never end fall out after `ttl_ms`. The events of
+    one micro-batch are put in the order of their time, so the trigger's input
+    limit bounds what a bucket sorts. Needs the RocksDB state store.
     """
+    bucket = F.pmod(F.xxhash64("package", "test"), F.lit(buckets)).cast("int")
     finished = (
         stream_events(lines)
-        .groupBy(*_KEYS)
+        .withColumn("bucket", bucket)
+        .groupBy("run_id", "bucket")
         .transformWithStateInPandas(
             statefulProcessor=OpenTests(ttl_ms),
             outputStructType=_FINISHED,
@@ -95,12 +116,8 @@ def stream_gotest_cases(lines: DataFrame, ttl_ms: int | None = None) -> DataFram
     )
     # A stream has no file position: cases of a run are ordered by their time.
     start = F.struct(F.lit(0).alias("block_start"), F.lit(0).alias("row_id"))
-    return (
-        finished_cases(
-            finished.withColumns(
-                {"source": F.lit("<stream>"), "source_ord": F.col("at"), "seq": start}
-            )
-        )
+    return finished_cases(
+        finished.withColumns({"source": F.lit("<stream>"), "source_ord": F.col("at"), "seq": start})
     )
 
 
