@@ -100,7 +100,8 @@ def stream_gotest_cases(lines: DataFrame, ttl_ms: int | None = None, buckets: in
     The tests of a run are spread over buckets; the state of a test goes when
     it ends, and tests that never end fall out after `ttl_ms`. The events of
     one micro-batch are put in the order of their time, so the trigger's input
-    limit bounds what a bucket sorts. Needs the RocksDB state store.
+    limit bounds what a bucket sorts. Needs the RocksDB state store, and with
+    `ttl_ms` a trigger that keeps running.
     """
     bucket = F.pmod(F.xxhash64("package", "test"), F.lit(buckets)).cast("int")
     finished = (
