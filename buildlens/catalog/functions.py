@@ -11,7 +11,7 @@ from buildlens.functions import numbers, text
 from buildlens.functions.globs import glob_match as glob_test
 from buildlens.operators import publish
 from buildlens.operators.cases import attachment_rows
-from buildlens.sources import registry
+from buildlens.sources import gotest, lcov, registry, tap
 from buildlens.sources.cucumber import scenario_rollup as roll_up_steps
 from buildlens.sources.junit import normalize_suite as suite_name
 from buildlens.sources.junit import parse_rfc3339 as rfc3339
@@ -444,3 +444,73 @@ def report_title(spark: SparkSession, sf_dir: str) -> DataFrame:
         publish.report_title(given, F.col("first"), F.col("n")).alias("test_title"),
         publish.cov_report_title(given, F.col("first"), F.col("n")).alias("cov_title"),
     )
+
+
+# Line state, on lines that Spark derives from the table
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of three sources in event order."""
+    place = F.struct(F.lit(0).cast("bigint").alias("block_start"), F.col("event_id").alias("row_id"))
+    source = F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string"))
+    return events(spark, sf_dir).select(
+        "*", F.lit("r").alias("run_id"), source.alias("source"), source.alias("source_ord"), place.alias("seq")
+    )
+
+
+@query(
+    """SELECT source, event_id FROM (SELECT event_id, concat('s', CAST(event_id % 3 AS VARCHAR)) AS source, event_type,
+      last_value(CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 0 END IGNORE NULLS) OVER (PARTITION BY event_id % 3
+        ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM events)
+    WHERE event_type NOT IN ('error', 'signup') AND coalesce(inside, 0) = 0"""
+)
+def tap_yaml_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = (
+        F.when(F.col("event_type") == "error", "  --- #").when(F.col("event_type") == "signup", " ...").otherwise("ok 1")
+    )
+    kept = tap.tap_yaml_mask(event_lines(spark, sf_dir).withColumn("value", value), chunk_bits=8)
+    return kept.select("source", "event_id")
+
+
+_ACTION = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'run' WHEN 'purchase' THEN 'pass' ELSE 'output' END"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, concat('s', CAST(event_id % 3 AS VARCHAR)) AS source, user_id % 5 AS t, props, {_ACTION} AS action
+      FROM events),
+    b AS (SELECT *, CASE WHEN action <> 'output' THEN action END AS mark,
+      CASE WHEN action <> 'output' THEN event_id END AS mark_id FROM e),
+    w AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY source, t ORDER BY event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened,
+      first_value(mark IGNORE NULLS) OVER (PARTITION BY source, t ORDER BY event_id
+        ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closed,
+      first_value(mark_id IGNORE NULLS) OVER (PARTITION BY source, t ORDER BY event_id
+        ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS closed_id FROM b)
+    SELECT source, concat('t', CAST(t AS VARCHAR)) AS test, closed_id AS event_id, string_agg(props, '' ORDER BY event_id) AS raw_output
+    FROM w WHERE action = 'output' AND opened = 'run' AND closed IN ('fail', 'skip') GROUP BY source, t, closed_id"""
+)
+def gotest_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_lines(spark, sf_dir).select(
+        "run_id", "source", "source_ord", "seq", F.lit("p").alias("package"),
+        F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("test"),
+        F.expr(_ACTION).alias("action"), F.lit(0.0).alias("elapsed"), F.col("props").alias("output"),
+    )
+    segments = gotest.gotest_segments(rows, chunk_bits=8)
+    return segments.select("source", "test", F.col("seq.row_id").alias("event_id"), "raw_output")
+
+
+@query(
+    """SELECT event_id, n AS pos, concat('src/', event_type, CAST(n AS VARCHAR), '.c') AS path,
+    CASE n WHEN 0 THEN concat('DA:1,', CAST(event_id AS VARCHAR)) ELSE 'BRDA:1,0,0,-|DA:2,0' END AS details
+    FROM events, (SELECT 0 AS n UNION ALL SELECT 1) r"""
+)
+def lcov_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(
+        F.lit("DA:7,7\nTN:\n SF :src/"), "event_type", F.lit("0.c\n# note\nDA:1,"), F.col("event_id").cast("string"),
+        F.lit("\n end_of_record\nDA:9,9\nSF:src/"), "event_type", F.lit("1.c\n  BRDA:1,0,0,-\n\nDA:2,0\n"),
+    )
+    records = lcov.lcov_records(event_lines(spark, sf_dir).select("run_id", "source", "source_ord", "seq", value.alias("value")))
+    return records.select(
+        F.col("file_ord.row_id").alias("event_id"), F.col("file_ord.pos")[0].alias("pos"), "path",
+        F.array_join("details", "|").alias("details"),
+    )

@@ -49,7 +49,7 @@ def secs_to_ns(c: Column) -> Column:
 
 def nanos_to_millis(ns: Column) -> Column:
     """Whole milliseconds, truncated towards zero."""
-    return (ns / F.lit(NANOS_PER_MILLI)).cast("bigint")
+    return F.call_function("div", ns, F.lit(NANOS_PER_MILLI))
 
 
 def _scaled(x: Column, digits: int) -> tuple[Column, Column]:
@@ -126,7 +126,7 @@ def fmt_duration_ms(ms: Column) -> Column:
 
 def fmt_run_duration(ns: Column) -> Column:
     """Run duration: a dash when unknown, `Ns` or `Nm Ns`."""
-    secs = (ns / F.lit(NANOS_PER_SECOND)).cast("bigint")
+    secs = F.call_function("div", ns, F.lit(NANOS_PER_SECOND))
     return (
         F.when(ns == 0, F.lit("–"))
         .when(secs < 60, F.concat(secs.cast("string"), F.lit("s")))

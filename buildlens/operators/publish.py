@@ -16,6 +16,7 @@ from buildlens.functions.text import blank_to_null, esc_azure, esc_github, first
 from buildlens.operators.cases import case_order, duration_ms, failed_only, first_seen_suites, test_stats
 from buildlens.operators.coverage import cov_stats, with_pcts
 from buildlens.plans.skew import attach
+from buildlens.session import materialize
 
 RUN = ["run_id"]
 PLATFORMS = ("github", "gitlab", "azure")
@@ -70,10 +71,21 @@ def _without_last(json: Column, count: int) -> Column:
 
 
 def in_suite_order(cases: DataFrame) -> DataFrame:
-    """Add `place`: suites by first appearance, cases by their own place."""
-    suites = first_seen_suites(cases)
+    """Add `place` and `run_first`, the place of the first case of the run.
+
+    Suites go by first appearance, and cases by their own place.
+    """
+    suites = materialize(first_seen_suites(cases), "suites")
+    runs = suites.groupBy(*RUN).agg(F.min("first_seen").alias("run_first"))
+    order = F.struct(F.col("first_seen").alias("suite"), case_order(cases).alias("case"))
+    known = attach(suites, runs, RUN)
+    return attach(cases, known, ["run_id", "suite"]).withColumn("place", order).drop("first_seen")
+
+
+def _in_failure_order(cases: DataFrame, failed: DataFrame) -> DataFrame:
+    """Add `place` to failures; their suites are ordered among all cases."""
     order = F.struct(F.col("first_seen").alias("suite"), case_order(cases).alias("case"))
-    return attach(cases, suites, ["run_id", "suite"]).withColumn("place", order).drop("first_seen")
+    return attach(failed, first_seen_suites(cases), ["run_id", "suite"]).withColumn("place", order)
 
 
 # JSON reports
@@ -102,10 +114,8 @@ def case_json(cases: DataFrame) -> Column:
 def test_report_json(cases: DataFrame, generated_at: str) -> DataFrame:
     """Document rows of the JSON test report, one row per case."""
     placed = in_suite_order(cases)
-    first = cases.groupBy(*RUN).agg(F.min(case_order(cases)).alias("_run_first"))
-    placed = attach(placed, first, RUN)
     opens_suite = F.col("place.suite") == F.col("place.case")
-    opens_run = F.col("place.case") == F.col("_run_first")
+    opens_run = F.col("place.case") == F.col("run_first")
     suite_open = F.concat(
         F.when(opens_run, F.lit("")).otherwise(F.lit("]},")),
         _without_last(F.to_json(F.struct(F.col("suite").alias("name"))), 1),
@@ -194,11 +204,7 @@ def test_sarif_results(cases: DataFrame) -> DataFrame:
     result = _sarif_result(
         "test-failure", "error", text, _location(blank_to_null(F.col("file")), F.col("line"))
     )
-    suites = first_seen_suites(cases)
-    order = F.struct(F.col("first_seen").alias("suite"), case_order(cases).alias("case"))
-    return attach(failed, suites, ["run_id", "suite"]).select(
-        "run_id", order.alias("place"), result.alias("text")
-    )
+    return _in_failure_order(cases, failed).select("run_id", "place", result.alias("text"))
 
 
 test_sarif_results.__test__ = False
@@ -382,8 +388,7 @@ def test_markdown_rows(cases: DataFrame, generated_at: str, title: str = "Test R
     ]
     head = test_summary(cases).select("run_id", F.inline(_table_rows(lines)))
 
-    suites = first_seen_suites(cases)
-    failed = attach(failed_only(cases), suites, ["run_id", "suite"])
+    failed = _in_failure_order(cases, failed_only(cases))
     message, stdout = blank_to_null(F.col("message")), blank_to_null(F.col("stdout"))
     section = F.concat(
         F.lit("#### `"), "suite", F.lit(" / "), "name", F.lit("`\n"),
@@ -395,8 +400,7 @@ def test_markdown_rows(cases: DataFrame, generated_at: str, title: str = "Test R
             F.lit(""),
         ),
     )
-    order = F.struct(F.col("first_seen").alias("suite"), case_order(cases).alias("case"))
-    body = failed.select("run_id", order.alias("place"), section.alias("text"))
+    body = failed.select("run_id", "place", section.alias("text"))
     return _sections(head, body)
 
 

@@ -125,6 +125,6 @@ def ingest_junit(spark: SparkSession, inputs: Artifacts, collapse: bool = True)
     checked = parsed_documents(scan_documents(spark, inputs), "_time STRING")
     broken = F.col("broken") & (trim_space(F.col("value")) != "")
     rejected = materialize(facts.rejects(checked.where(broken), "junit", "malformed XML"), "rejects")
-    cases = facts.without_rejected(junit_cases(elements), rejected)
+    cases = facts.without_rejected(materialize(junit_cases(elements), "junit"), rejected)
     runs = junit_runs(checked.where(~broken))
     return facts.TestFacts(collapse_retries(cases) if collapse else cases, runs, rejected)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ class Format:
     name: str
     extensions: tuple[str, ...]
     detect: Callable[[Column], Column]
-    ingest: Callable[[SparkSession, Artifacts], object] | None = None
+    ingest: Callable[[SparkSession, Artifacts], Any] | None = None
 
 
 _FORMATS: dict[str, list[Format]] = {TESTS: [], COVERAGE: []}
