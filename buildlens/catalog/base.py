@@ -130,13 +130,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals per file and run for queries that look at lines only."""
+    entries = funcs(spark, sf_dir).select(*ENTRY)
+    return cov.cov_file_totals(entries, lines(spark, sf_dir), None, None, ENTRY)
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per file entry of each input; a path may appear twice in one input."""
     keys = ["run_id", "source_ord", "file_ord", "path"]
     details = lines(spark, sf_dir).withColumnRenamed("source", "source_ord")
     forks = branches(spark, sf_dir).withColumnRenamed("source", "source_ord")
-    no_funcs = details.select(*keys, F.lit(0).cast("bigint").alias("calls")).where(F.lit(False))
-    return cov.cov_file_totals(details.select(*keys).distinct(), details, forks, no_funcs, keys)
+    return cov.cov_file_totals(details.select(*keys).distinct(), details, forks, None, keys)
 
 
 def view(spark: SparkSession, sf_dir: str) -> DataFrame:

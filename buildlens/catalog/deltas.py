@@ -55,7 +55,7 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("file_pcts") + _FILE_PAIR)
 def file_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = ops.snapshot_files(base.files(spark, sf_dir).withColumn("file_ord", F.lit(0)))
+    shares = ops.snapshot_files(base.line_files(spark, sf_dir).withColumn("file_ord", F.lit(0)))
     return ops.deltas_by_path(
         ops.file_deltas(base.of_run(shares, "base"), base.of_run(shares, "cur"), [])
     )

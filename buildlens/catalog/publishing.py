@@ -96,7 +96,7 @@ def test_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     '{"artifactLocation":{"uri":"', path, '","uriBaseId":"%SRCROOT%"}}}]}') AS text FROM file_pcts WHERE line_pct < 55"""
 )
 def cov_sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined_texts(ops.cov_sarif_results(base.files(spark, sf_dir), 55))
+    return joined_texts(ops.cov_sarif_results(base.line_files(spark, sf_dir), 55))
 
 
 _SARIF_HEAD = (
@@ -167,7 +167,7 @@ _OVERALL = "concat('overall line coverage ', printf('%.1f', line_pct), '{p} is b
     UNION ALL SELECT run_id, 'azure', concat('##vso[task.logissue type=error]', {_OVERALL.format(p='%')}) FROM overall"""
 )
 def cov_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = base.files(spark, sf_dir)
+    files = base.line_files(spark, sf_dir)
     out = None
     for platform in ops.PLATFORMS:
         rows = ops.cov_annotations(files, 60, platform).select("run_id", F.lit(platform).alias("platform"), "text")
@@ -258,7 +258,7 @@ def view_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT run_id, 'foot', CASE WHEN has_coverage THEN '}}}' ELSE '}' END, NULL FROM snaps"""
 )
 def write_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = base.files(spark, sf_dir).withColumn("file_ord", F.lit(0))
+    files = base.line_files(spark, sf_dir).withColumn("file_ord", F.lit(0))
     rows = ops.snapshot_documents(snapshots(spark, sf_dir), delta_ops.snapshot_files(files))
     section = F.col("ord.section")
     head = F.concat("text", F.when(F.endswith("text", F.lit('{')), F.lit("}}}")).otherwise(F.lit("}")))

@@ -524,7 +524,7 @@ def owner_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     f.line_pct AS file_pct FROM snaps s LEFT JOIN file_pcts f USING (run_id)"""
 )
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = base.files(spark, sf_dir).withColumn("file_ord", F.lit(0))
+    files = base.line_files(spark, sf_dir).withColumn("file_ord", F.lit(0))
     path = scratch_path(spark, "snapshots")
     publish.write_snapshots(snapshots(spark, sf_dir), delta_ops.snapshot_files(files), path)
     loaded = read_snapshots(spark, artifacts(path, run_id=F.regexp_extract(F.col("source"), r"run_id=([^/]+)", 1)))

@@ -39,13 +39,18 @@ def exclude_paths(df: DataFrame, globs: list[str]) -> DataFrame:
 
 
 def cov_file_totals(
-    entries: DataFrame, lines: DataFrame, branches: DataFrame, funcs: DataFrame, keys: list[str]
+    entries: DataFrame,
+    lines: DataFrame,
+    branches: DataFrame | None,
+    funcs: DataFrame | None,
+    keys: list[str],
 ) -> DataFrame:
     """Six totals per file entry; unreachable branches do not count.
 
     The tables become one narrow stream of 0/1 columns, so there is a single
     shuffle after map-side sums and no join. Entries without details keep their
-    row, and repeated lines count repeatedly.
+    row, and repeated lines count repeatedly. A caller that needs line figures
+    only leaves the other tables out, and they are not read.
     """
 
     def counted(df: DataFrame, **columns: Column) -> DataFrame:
@@ -54,17 +59,16 @@ def cov_file_totals(
         )
 
     always = F.lit(True)
-    stream = (
-        counted(entries)
-        .unionByName(counted(lines, lines_total=always, lines_covered=F.col("hits") > 0))
-        .unionByName(
-            counted(
-                branches.where(F.col("taken") >= 0),
-                branch_total=always, branch_covered=F.col("taken") > 0,
-            )
-        )
-        .unionByName(counted(funcs, func_total=always, func_covered=F.col("calls") > 0))
+    stream = counted(entries).unionByName(
+        counted(lines, lines_total=always, lines_covered=F.col("hits") > 0)
     )
+    if branches is not None:
+        reachable = branches.where(F.col("taken") >= 0)
+        stream = stream.unionByName(
+            counted(reachable, branch_total=always, branch_covered=F.col("taken") > 0)
+        )
+    if funcs is not None:
+        stream = stream.unionByName(counted(funcs, func_total=always, func_covered=F.col("calls") > 0))
     return stream.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in TOTALS])
 
 
