@@ -493,7 +493,9 @@ def snapshot_documents(snapshots: DataFrame, files: DataFrame | None = None) ->
     base = F.to_json(
         F.struct(
             "version",
-            F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+            F.date_format(
+                F.to_utc_timestamp("timestamp", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+            ).alias("timestamp"),
             blank_to_null(F.col("label")).alias("label"),
         )
     )

@@ -49,8 +49,10 @@ def normalize_suite(classname: Column, file: Column, name: Column) -> Column:
 
 def parse_rfc3339(c: Column) -> Column:
     """RFC 3339 time, or the same without a zone taken as UTC; null otherwise."""
-    shape = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?(Z|[+-]\d\d:\d\d)?$"
-    return F.when(c.rlike(shape), c.try_cast("timestamp"))
+    shape = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d([.,]\d+)?"
+    zone = r"(Z|[+-]\d\d:\d\d)$"
+    zoned = F.when(c.rlike(zone), c).otherwise(F.concat(c, F.lit("Z")))
+    return F.when(c.rlike(rf"{shape}({zone}|$)"), zoned.try_cast("timestamp"))
 
 
 def _content(message: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildlens.functions.text import file_extension
@@ -68,26 +68,43 @@ def scan_documents(spark: SparkSession, inputs: Artifacts) -> DataFrame:
     return _identified(texts, inputs, F.col("value"))
 
 
+def _has_extension(name: Column, extensions: list[str]) -> Column:
+    if not extensions:
+        return F.lit(False)
+    return F.lower(name).rlike(r"\.(" + "|".join(extensions) + r")$")
+
+
 def scan_heads(spark: SparkSession, inputs: Artifacts, known_extensions: list[str]) -> DataFrame:
     """Extension and first bytes of every file.
 
-    The head stays empty where the extension already decides the format: the
-    content of those files is never opened, because the filter is on file names.
+    The head stays empty where the extension already decides the format: those
+    files are never opened, because the filter is on file names. The others
+    stream by, and only the first lines of each leave their scan.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(inputs.paths))
-    name = F.lower(F.col("_metadata.file_name"))
-    decided = name.rlike(r"\.(" + "|".join(known_extensions) + r")$") if known_extensions else F.lit(False)
-    opened = files.where(~decided).select(
+    listed = list_sources(spark, inputs).withColumn("extension", file_extension(F.col("source")))
+    decided = listed.where(_has_extension(F.col("source"), known_extensions))
+
+    lines = spark.read.text(list(inputs.paths), lineSep="\n", recursiveFileLookup=True)
+    opened = lines.where(
+        ~_has_extension(F.col("_metadata.file_name"), known_extensions)
+        & (F.col("_metadata.file_block_start") == 0)
+    ).select(
         source_path().alias("source"),
-        F.decode(F.substring("content", 1, SNIFF_BYTES), "ISO-8859-1").alias("head"),
+        F.monotonically_increasing_id().alias("row_id"),
+        F.substring(F.encode("value", "UTF-8"), 1, SNIFF_BYTES).alias("start"),
     )
-    unopened = files.where(decided).select(source_path().alias("source"), F.lit("").alias("head"))
-    return (
-        opened.unionByName(unopened)
-        .withColumn("run_id", inputs.run_of(F.col("source")))
+    # A line has at least its line feed, so this many lines hold all the bytes.
+    place = F.row_number().over(Window.partitionBy("source").orderBy("row_id"))
+    first = opened.withColumn("place", place).where(F.col("place") <= SNIFF_BYTES)
+    in_order = F.array_sort(F.collect_list(F.struct("place", F.decode("start", "ISO-8859-1").alias("text"))))
+    head = F.array_join(F.transform(in_order, lambda x: x["text"]), "\n")
+    heads = first.groupBy("source").agg(F.substring(head, 1, SNIFF_BYTES).alias("head"))
+    sniffed = (
+        heads.withColumn("run_id", inputs.run_of(F.col("source")))
         .withColumn("source_ord", F.col("source"))
         .withColumn("extension", file_extension(F.col("source")))
     )
+    return decided.withColumn("head", F.lit("")).unionByName(sniffed)
 
 
 def list_sources(spark: SparkSession, inputs: Artifacts) -> DataFrame:

@@ -115,3 +115,18 @@ def test_suite_names(spark):
     df = spark.createDataFrame(cases, "c string, f string, n string, want string")
     got = df.withColumn("got", normalize_suite(F.col("c"), F.col("f"), F.col("n")))
     assert [(r["c"], r["got"]) for r in got.collect()] == [(c[0], c[3]) for c in cases]
+
+
+def test_timestamps_do_not_depend_on_the_session_zone(spark, put):
+    folder = put(
+        {
+            "a.xml": '<testsuites timestamp="bad"><testsuite timestamp="2024-01-01T12:00:00.5+02:00"/></testsuites>',
+            "b.xml": '<testsuite timestamp="2024-01-01T12:00:00"/>',
+        }
+    )
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        runs = ingest(spark, folder).runs.select(F.unix_millis("ts").alias("ms"))
+        assert rows(runs, "ms") == [(1704103200500,), (1704110400000,)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
