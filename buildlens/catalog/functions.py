@@ -217,12 +217,16 @@ def go_skip_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Documents give long texts: the message keeps 2048 bytes of what is left.
+_EDGE = "[\\s\\x{0b}\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+"
+
+
 @query(
-    """SELECT doc_id, CASE WHEN octet_length(encode(body)) > 2048 THEN true ELSE false END AS cut,
+    f"""SELECT doc_id, octet_length(encode(body)) > 2048 AS cut,
     CASE WHEN octet_length(encode(body)) <= 2048 THEN body END AS whole FROM (
-      SELECT doc_id, array_to_string(list_filter([regexp_replace(x, '^[\\s\\x{0b}\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+|[\\s\\x{0b}\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+$', '', 'g')
-        FOR x IN string_split(text, chr(10))], lambda x: x <> ''
-        AND NOT starts_with(x, '--- ') AND NOT starts_with(x, '=== RUN')), chr(10)) AS body FROM documents)"""
+      SELECT doc_id, array_to_string(list_filter(
+        [regexp_replace(x, '^{_EDGE}|{_EDGE}$', '', 'g') FOR x IN string_split(text, chr(10))],
+        lambda x: x <> '' AND NOT starts_with(x, '--- ') AND NOT starts_with(x, '=== RUN')), chr(10)) AS body
+      FROM documents)"""
 )
 def go_fail_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

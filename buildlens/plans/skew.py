@@ -13,7 +13,7 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 1_000_000
 SALTS = 64
 # Pages that end within this many rows come from Spark's top-k.
-TOP_K_ROWS = 100_000
+TOP_K_ROWS = 10_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low bits
 
 

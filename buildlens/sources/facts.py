@@ -68,6 +68,12 @@ def test_runs(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*conform(TEST_RUNS, **id_columns(), **values))
 
 
+def timed_runs(sources: DataFrame, durations: DataFrame) -> DataFrame:
+    """A run row per input; inputs without a duration have 0."""
+    nanos = F.greatest(F.coalesce("total", F.lit(0)), F.lit(0))
+    return test_runs(sources.join(durations, "source", "left"), duration_ns=nanos)
+
+
 def rejects(df: DataFrame, fmt: str, error: str) -> DataFrame:
     return df.select(
         *conform(REJECTS, run_id=F.col("run_id"), source=F.col("source"), format=F.lit(fmt), error=F.lit(error))

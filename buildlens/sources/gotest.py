@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import seconds_to_nanos
 from buildlens.functions.text import blank_to_null, go_fail_message, go_skip_reason, trim_space
+from buildlens.operators.cases import run_duration
 from buildlens.plans.linestate import CHUNK_BITS, neighbour_markers
 from buildlens.schemas import REJECTS, record_seq
 from buildlens.session import materialize
 from buildlens.sources import facts
-from buildlens.sources.scan import Artifacts, scan_artifacts
+from buildlens.sources.scan import Artifacts, list_sources, scan_artifacts
 
 EVENT = "Time STRING, Action STRING, Package STRING, Test STRING, Elapsed DOUBLE, Output STRING"
 TERMINAL = ("pass", "fail", "skip")
@@ -89,11 +90,9 @@ def ingest_gotest(spark: SparkSession, inputs: Artifacts, chunk_bits: int = CHUN
         gotest_segments(events, chunk_bits), [*_TEST_KEY, "seq"], "left"
     )
     quiet = terminal.where(F.col("action") == "pass").withColumn("raw_output", F.lit(None).cast("string"))
-    longest = F.max(F.when(F.col("action").isin(*TERMINAL), F.col("elapsed")))
-    runs = facts.test_runs(
-        events.groupBy("run_id", "source", "source_ord").agg(longest.alias("longest")),
-        duration_ns=F.coalesce(seconds_to_nanos(F.greatest("longest", F.lit(0.0))), F.lit(0)),
-    )
+    elapsed = F.when(F.col("action").isin(*TERMINAL), seconds_to_nanos(F.col("elapsed")))
+    durations = events.groupBy("source").agg(run_duration("gotest", elapsed, F.col("seq")).alias("total"))
+    runs = facts.timed_runs(list_sources(spark, inputs), durations)
     return facts.TestFacts(
         finished_cases(noisy.unionByName(quiet)), runs, facts.no_rows(lines, REJECTS)
     )

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import seconds_to_nanos
 from buildlens.functions.text import blank_to_null, trim_space
+from buildlens.operators.cases import run_duration
 from buildlens.plans.linestate import CHUNK_BITS, neighbour_markers
 from buildlens.schemas import REJECTS, record_seq
 from buildlens.session import materialize
 from buildlens.sources import facts
-from buildlens.sources.scan import Artifacts, scan_artifacts
+from buildlens.sources.scan import Artifacts, list_sources, scan_artifacts
 
 # The line and annotation patterns of the format.
 TEST_LINE = r"(?s)^(ok|not ok)[\t\n\f\r ]+[0-9]+[\t\n\f\r ]*(?:-[\t\n\f\r ]*)?(.*)"
@@ -76,7 +77,8 @@ def ingest_tap(spark: SparkSession, inputs: Artifacts, chunk_bits: int = CHUNK_B
         seq=record_seq(F.col("seq")),
         **tap_fields(F.col("value")),
     )
-    runs = cases.groupBy("run_id", "source", "source_ord").agg(F.sum("duration_ns").alias("total"))
-    return facts.TestFacts(
-        cases, facts.test_runs(runs, duration_ns=F.col("total")), facts.no_rows(lines, REJECTS)
+    durations = cases.groupBy("source").agg(
+        run_duration("tap", F.col("duration_ns"), F.col("seq")).alias("total")
     )
+    runs = facts.timed_runs(list_sources(spark, inputs), durations)
+    return facts.TestFacts(cases, runs, facts.no_rows(lines, REJECTS))
