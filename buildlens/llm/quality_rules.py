@@ -25,9 +25,9 @@ from buildlens.llm.common import SPACES, map_chunks
 MIN_WORDS = 20
 WINDOW_WORDS = 8
 BASE_REPEATED_PERCENT = 30  # of a text's words
-MAX_COVERED = 0.25  # share of a text's word bytes inside its repeats
-MAX_LONGEST = 0.15  # longest repeat as a share of a text's words ...
-LONG_REPEAT = 16  # ... where it has more words than this
+MAX_COVERED = 0.35  # share of a text's word bytes inside its repeats
+MAX_LONGEST = 0.2  # longest repeat as a share of a text's words ...
+LONG_REPEAT = 32  # ... where it has more words than this
 SYMBOLS = "#*$%&|<>"
 
 STATS = (

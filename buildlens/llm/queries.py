@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import decontamination, packing, quality_rules, simhash
+from buildlens.llm import decontamination, packing, quality_rules, simhash, substring_dedup
 from buildlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -47,6 +52,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP6_SQL = r"""
+WITH cut AS MATERIALIZED (
+    SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+wins AS (
+    SELECT row_id, doc_id, s, md5(array_to_string(list_slice(w, s + 1, s + 50), ' ')) AS k
+    FROM (SELECT *, unnest(generate_series(0, len(w) - 50)) AS s FROM cut WHERE len(w) >= 50)),
+firsts AS (SELECT k, min(doc_id) AS low FROM wins GROUP BY k),
+gone AS (
+    SELECT DISTINCT row_id, unnest(generate_series(s + 1, s + 50)) AS pos
+    FROM wins JOIN firsts USING (k) WHERE low < coalesce(doc_id, 9223372036854775807)),
+kept AS (
+    SELECT row_id, string_agg(word, ' ' ORDER BY pos) AS words, count(*) AS n
+    FROM (SELECT row_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM cut)
+    ANTI JOIN gone USING (row_id, pos) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, CAST(len(w) - coalesce(n, 0) AS bigint) AS n_removed,
+    sha256(coalesce(words, '')) AS kept_sha256
+FROM cut LEFT JOIN kept USING (row_id)
+"""
+
 OP10_SQL = r"""
 WITH cut AS MATERIALIZED (
     SELECT doc_id, row_number() OVER () AS row_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -79,9 +104,10 @@ FROM numbered LEFT JOIN words USING (row_id) LEFT JOIN found USING (row_id)
 """
 
 _QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_simhash, op5_quality_rules, op10_decontamination)
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_simhash, op5_quality_rules, op6_substring_dedup, op10_decontamination)
 }
-_SQL = {"op10_decontamination": OP10_SQL}
+_SQL = {"op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
 
 
 def queries() -> dict[str, Query]:
