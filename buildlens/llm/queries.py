@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import decontamination, packing, quality_rules, simhash, substring_dedup
+from buildlens.llm import (
+    decontamination, packing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity,
+)
 from buildlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -42,6 +48,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -105,7 +115,10 @@ FROM numbered LEFT JOIN words USING (row_id) LEFT JOIN found USING (row_id)
 
 _QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_simhash, op5_quality_rules, op6_substring_dedup, op10_decontamination)
+    for f in (
+        op1_best_fit_packing, op2_simhash, op3_toxicity, op5_quality_rules, op6_substring_dedup,
+        op7_quality_classifier, op10_decontamination,
+    )
 }
 _SQL = {"op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
 
