@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from buildlens.session import materialize
 
@@ -42,32 +45,35 @@ def words_of(text: Column, breaks: str) -> Column:
 
 
 def map_chunks(
-    df: DataFrame,
-    columns: list[str],
-    run: Callable[[list[list]], dict[str, object]],
-    schema: str,
-    text: int,
-    setup: Callable[[], None] | None = None,
+    df: DataFrame, keep: list[str], read: list[str], run: Callable[..., dict[str, object]], added: str
 ) -> DataFrame:
-    """`run` over chunks of the rows' columns (lists), giving the output columns by name.
+    """`keep` columns of every row with the `added` ones (a DDL schema) that `run` makes.
 
-    `text` names the column that bounds a chunk's size. Rows stay in their partition.
+    `run` gets the `read` columns of a chunk of rows as lists, the text first, and returns the
+    added columns. With an entry `_row` it gives any number of rows: the input row of each.
+    Rows stay in their partition, and kept columns stay in Arrow whatever their type.
     """
-    from pyspark.sql.types import StructType
-
-    names = StructType.fromDDL(schema).names
+    kept = df.select(*[F.col(f"`{c}`") for c in keep]).schema.fields
+    schema = StructType([*kept, *StructType.fromDDL(added).fields])
+    target = to_arrow_schema(schema)
+    names = [f"k{i}" for i in range(len(keep))] + [f"r{i}" for i in range(len(read))]
+    picked = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([*keep, *read], names)])
+    n = len(keep)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if setup is not None:
-            setup()
         for batch in batches:
-            for piece in pieces(batch, text):
-                out = run([piece.column(i).to_pylist() for i in range(piece.num_columns)])
-                yield pa.RecordBatch.from_arrays(
-                    [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names=names
-                )
-
-    return df.select(*columns).mapInArrow(over, schema)
+            for piece in pieces(batch, n):
+                out = run(*[piece.column(i).to_pylist() for i in range(n, piece.num_columns)])
+                row = out.pop("_row", None)
+                columns = [piece.column(i) if row is None else piece.column(i).take(pa.array(row)) for i in range(n)]
+                for field in list(target)[n:]:
+                    values = out[field.name]
+                    if not isinstance(values, pa.Array):
+                        values = pa.array(values, type=None if isinstance(values, np.ndarray) else field.type)
+                    columns.append(values if values.type == field.type else values.cast(field.type))
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
+
+    return picked.mapInArrow(over, schema)
 
 
 def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:

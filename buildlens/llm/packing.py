@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from buildlens.llm.common import map_chunks, stored
 
@@ -81,11 +83,10 @@ def tokenize(
     than `capacity` is cut so that only its first piece may be shorter. A null text is empty:
     its one piece is the end id.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
 
-    def run(values: list[list]) -> dict[str, object]:
+    def run(texts: list) -> dict[str, object]:
         row, piece, start, length, ids = [], [], [], [], []
-        for i, tokens in enumerate(encode(["" if t is None else t for t in values[-1]], path)):
+        for i, tokens in enumerate(encode(["" if t is None else t for t in texts], path)):
             tokens.append(end_id)
             data = np.array(tokens, "<u4").tobytes()
             n = len(tokens)
@@ -97,13 +98,9 @@ def tokenize(
                 start.append(at)
                 length.append(size)
                 ids.append(data[4 * at : 4 * (at + size)])
-        return {c: [v[i] for i in row] for c, v in zip(columns, values[:-1])} | {
-            "piece": pa.array(piece, pa.int32()), "start": start, "length": length, "ids": pa.array(ids, pa.binary()),
-        }
+        return {"_row": row, "piece": piece, "start": start, "length": length, "ids": ids}
 
-    return map_chunks(
-        documents, [*columns, "text"], run, f"{schema}, piece int, start long, length long, ids binary", len(columns)
-    )
+    return map_chunks(documents, columns, ["text"], run, "piece int, start long, length long, ids binary")
 
 
 @dataclass
@@ -228,7 +225,8 @@ def place(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salts:
         .drop("_salt", "_base")
     )
     names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    schema = StructType([*pieces.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
+    target = to_arrow_schema(schema)
 
     def run(batches):
         key = (at["length"] << 40) + at["first"]
@@ -236,16 +234,12 @@ def place(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salts:
             length = batch.column("length").to_numpy(zero_copy_only=False)
             number = batch.column("_number").to_numpy(zero_copy_only=False)
             slot = np.searchsorted(key, (length << 40) + number, "right") - 1
+            sequence = at["sequence"][slot] + number - at["first"][slot]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(n) for n in names],
-                    pa.array(at["sequence"][slot] + number - at["first"][slot]),
-                    pa.array(at["offset"][slot]),
-                ],
-                names=[*names, "sequence_id", "offset"],
+                [*[batch.column(n) for n in names], pa.array(sequence), pa.array(at["offset"][slot])], schema=target
             )
 
-    return numbered.select(*names, "_number").mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return numbered.select(*names, "_number").mapInArrow(run, schema)
 
 
 def pack(

@@ -96,12 +96,7 @@ class Model:
 
 def measured(documents: DataFrame, columns: list[str]) -> DataFrame:
     """`columns` of every row and its statistics as an array `x`."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
-
-    def run(values: list[list]) -> dict[str, object]:
-        return dict(zip(columns, values[:-1])) | {"x": statistics(values[-1]).tolist()}
-
-    return map_chunks(documents, [*columns, "text"], run, f"{schema}, x array<double>", len(columns))
+    return map_chunks(documents, columns, ["text"], lambda texts: {"x": statistics(texts).tolist()}, "x array<double>")
 
 
 def fit(rows: DataFrame, temperature: float = TEMPERATURE) -> Model:
@@ -144,15 +139,9 @@ def quality(
     that are not held out; equal texts of one label count once.
     """
     model = fit(stored(measured(labelled(documents, labels, "quality"), ["label"]), "quality-rows"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def run(values: list[list]) -> dict[str, object]:
-        kept = dict(zip([*columns, "held_out"], values[:-1]))
-        return kept | {"score": shared.value.score(statistics(values[-1]))}
-
     scored = map_chunks(
-        documents.withColumn("held_out", held_out()), [*columns, "held_out", "text"], run,
-        f"{schema}, held_out boolean, score double", len(columns) + 1,
+        documents.withColumn("held_out", held_out()), [*columns, "held_out"], ["text"],
+        lambda texts: {"score": shared.value.score(statistics(texts))}, "score double",
     )
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -103,8 +103,8 @@ def covered_words(longest: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(reach) > np.arange(n) if n else np.zeros(0, bool)
 
 
-def _chunk(columns: list[list], window: int) -> dict[str, list]:
-    texts = ["" if t is None else t for t in columns[-1]]
+def _chunk(texts: list, window: int) -> dict[str, object]:
+    texts = ["" if t is None else t for t in texts]
     fresh = count()
     ids: list[int] = []
     sizes: list[int] = []
@@ -143,18 +143,11 @@ def _chunk(columns: list[list], window: int) -> dict[str, list]:
 
 
 def repetition_stats(documents: DataFrame, columns: list[str], window: int = WINDOW_WORDS) -> DataFrame:
-    """`columns` of every row (the text last dropped) with the statistics of its whole text.
+    """`columns` of every row with the statistics of its whole text.
 
     A null text counts as empty: no words, nothing repeated.
     """
-    schema = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields
-    )
-
-    def run(values: list[list]) -> dict[str, object]:
-        return dict(zip(columns, values[:-1])) | _chunk(values, window)
-
-    return map_chunks(documents, [*columns, "text"], run, f"{schema}, {STATS}", len(columns))
+    return map_chunks(documents, columns, ["text"], lambda texts: _chunk(texts, window), STATS)
 
 
 def verdict(

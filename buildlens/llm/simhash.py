@@ -79,12 +79,7 @@ def fingerprints(documents: DataFrame, columns: list[str], shingle: int = SHINGL
 
     A text of fewer words than a shingle is one shingle; one without words (or null) has zero.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
-
-    def run(values: list[list]) -> dict[str, object]:
-        return dict(zip(columns, values[:-1])) | {"fp": _fingerprints(values[-1], shingle)}
-
-    return map_chunks(documents, [*columns, "text"], run, f"{schema}, fp long", len(columns))
+    return map_chunks(documents, columns, ["text"], lambda texts: {"fp": _fingerprints(texts, shingle)}, "fp long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:

@@ -83,7 +83,7 @@ def _windows(texts: list, shared: list, window: int) -> dict[str, np.ndarray]:
     at = np.sort(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
     row = np.searchsorted(end, at, "right")
     return {
-        "row": row,
+        "_row": row,
         "start": at - (end - sizes)[row],
         "k1": window_names(hashed, at, window, 1).view(np.int64),
         "k2": window_names(hashed, at, window, 2).view(np.int64),
@@ -104,8 +104,8 @@ def _cut(texts: list, starts: list, window: int) -> dict[str, object]:
         kept.append(b" ".join([x for x, g in zip(w, gone.tolist()) if not g]))
         removed.append(int(gone.sum()))
     return {
-        "removed": pa.array(removed, pa.int64()),
-        "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        "removed": removed,
+        "spans": spans,
         "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
     }
 
@@ -125,15 +125,10 @@ def remove_repeats(documents: DataFrame, columns: list[str], window: int = WINDO
         F.xxhash64("text", F.lit(1)).alias("_t1"),
         F.xxhash64(F.lit("text"), "text", F.lit(2)).alias("_t2"),
     )
-    names = [*columns, "_ord", *key]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
     parsed = stored(
         map_chunks(
-            docs,
-            [*names, "text"],
-            lambda v: dict(zip(names, v[:-1])) | _parse(v[-1], window),
-            f"{schema}, n_words long, whole_sha256 string, names array<long>",
-            len(names),
+            docs, [*columns, "_ord", *key], ["text"], lambda texts: _parse(texts, window),
+            "n_words long, whole_sha256 string, names array<long>",
         ),
         "parsed",
     )
@@ -157,23 +152,17 @@ def remove_repeats(documents: DataFrame, columns: list[str], window: int = WINDO
         "texts",
     )
 
-    def windows(v: list[list]) -> dict[str, object]:
-        found = _windows(v[3], v[4], window)
-        row = found.pop("row")
-        return {c: np.array(v[i], np.int64)[row] for i, c in enumerate([*key, "_ord"])} | found
-
     rows = map_chunks(
-        texts, [*key, "_ord", "text", "names"], windows,
-        "_t1 long, _t2 long, _ord long, start long, k1 long, k2 long", 3,
+        texts, [*key, "_ord"], ["text", "names"], lambda text, names: _windows(text, names, window),
+        "start long, k1 long, k2 long",
     )
     first = rows.groupBy("k1", "k2").agg(F.min("_ord").alias("low"), F.max("_ord").alias("high")).where("low < high")
     repeats = rows.join(first.select("k1", "k2", "low"), ["k1", "k2"]).where("low < _ord")
     starts = repeats.groupBy(*key).agg(F.collect_list(F.col("start").cast("int")).alias("starts"))
     changed = texts.select(*key, "text").join(starts, key)
     cut = map_chunks(
-        changed, [*key, "text", "starts"],
-        lambda v: {"_t1": v[0], "_t2": v[1]} | _cut(v[2], v[3], window),
-        "_t1 long, _t2 long, removed long, spans array<struct<start:int,end:int>>, kept_sha256 string", 2,
+        changed, key, ["text", "starts"], lambda text, starts: _cut(text, starts, window),
+        "removed long, spans array<struct<start:int,end:int>>, kept_sha256 string",
     )
     facts = stored(
         firsts.withColumnRenamed("_ord", "_first").join(cut, key, "left").where("removed is not null")

@@ -155,19 +155,17 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     place = np.cumsum(mask) - 1
 
-    def active(values: list[list]) -> dict[str, object]:
-        row, bucket, number = counts(values[0], mask)
-        ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(values[0])))], pa.int32())
+    def active(texts: list) -> dict[str, object]:
+        row, bucket, number = counts(texts, mask)
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))], pa.int32())
         return {
-            "label": pa.array(values[1], pa.int32()),
-            "length": lengths(values[0]),
+            "length": lengths(texts),
             "feature": pa.ListArray.from_arrays(ends, pa.array(place[bucket].astype(np.int32))),
             "number": pa.ListArray.from_arrays(ends, pa.array(number.astype(np.int32))),
         }
 
     seen = map_chunks(
-        sample.select("text", F.col("label").cast("int")), ["text", "label"], active,
-        "label int, length double, feature array<int>, number array<int>", 0,
+        sample, ["label"], ["text"], active, "length double, feature array<int>, number array<int>"
     ).toPandas()
     if not seen["label"].nunique() == 2:
         return none
@@ -216,13 +214,8 @@ def _regression(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
 
 def score(documents: DataFrame, columns: list[str], model: Model) -> DataFrame:
     """`columns` of every row and the `score` of its whole text; null scores as empty."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-
-    def run(values: list[list]) -> dict[str, object]:
-        return dict(zip(columns, values[:-1])) | {"score": shared.value.score(values[-1])}
-
-    return map_chunks(documents, [*columns, "text"], run, f"{schema}, score double", len(columns))
+    return map_chunks(documents, columns, ["text"], lambda texts: {"score": shared.value.score(texts)}, "score double")
 
 
 def held_out() -> "F.Column":
