@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm import (
-    decontamination, packing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity,
+    decontamination, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity,
 )
 from buildlens.llm.common import table
 
@@ -52,6 +52,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        "doc_id", *[pii.number(F.col("base"), kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
@@ -117,7 +125,7 @@ _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_simhash, op3_toxicity, op5_quality_rules, op6_substring_dedup,
-        op7_quality_classifier, op10_decontamination,
+        op7_quality_classifier, op9_pii, op10_decontamination,
     )
 }
 _SQL = {"op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
