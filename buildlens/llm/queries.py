@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm import (
-    decontamination, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, toxicity,
+    decontamination, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, simhash, substring_dedup,
+    toxicity,
 )
 from buildlens.llm.common import table
 
@@ -39,6 +40,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.concat_ws(",", F.transform("removed", lambda n: n.cast("string"))).alias("removed_lines"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -52,6 +61,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"], "source")
+    return found.where("is_secret").select(
+        "doc_id", "start", "end", F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 6).alias("score")
+    )
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select(
@@ -70,6 +86,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP4_SQL = r"""
+WITH lines AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY doc_id, no) AS id, doc_id, no,
+        list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+              unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS no FROM documents)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+tokens AS MATERIALIZED (
+    SELECT DISTINCT id, md5(array_to_string(list_slice(w, s + 1, s + 5), ' ')) AS token
+    FROM (SELECT *, unnest(generate_series(0, greatest(len(w) - 5, 0))) AS s FROM lines)),
+sizes AS (SELECT id, count(*) AS n FROM tokens GROUP BY id),
+gone AS (
+    SELECT DISTINCT later FROM (
+        SELECT a.id AS later, b.id AS earlier, count(*) AS same
+        FROM tokens a JOIN tokens b ON a.token = b.token AND b.id < a.id GROUP BY ALL)
+    JOIN sizes x ON x.id = later JOIN sizes y ON y.id = earlier WHERE same * 100 >= (x.n + y.n - same) * 80)
+SELECT d.doc_id, CAST(count(l.id) AS bigint) AS n_lines, CAST(count(g.later) AS bigint) AS n_removed,
+    coalesce(string_agg(CAST(l.no AS varchar), ',' ORDER BY l.no) FILTER (WHERE g.later IS NOT NULL), '') AS removed_lines
+FROM documents d LEFT JOIN lines l USING (doc_id) LEFT JOIN gone g ON g.later = l.id GROUP BY d.doc_id
+"""
+
 OP6_SQL = r"""
 WITH cut AS MATERIALIZED (
     SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -124,11 +161,11 @@ FROM numbered LEFT JOIN words USING (row_id) LEFT JOIN found USING (row_id)
 _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_simhash, op3_toxicity, op5_quality_rules, op6_substring_dedup,
-        op7_quality_classifier, op9_pii, op10_decontamination,
+        op1_best_fit_packing, op2_simhash, op3_toxicity, op4_line_dedup, op5_quality_rules, op6_substring_dedup,
+        op7_quality_classifier, op8_secret_scan, op9_pii, op10_decontamination,
     )
 }
-_SQL = {"op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+_SQL = {"op4_line_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
 
 
 def queries() -> dict[str, Query]:

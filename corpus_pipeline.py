@@ -9,17 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm import decontamination, quality_rules, simhash
+from buildlens.llm import decontamination, line_dedup, quality_rules, simhash
 from buildlens.llm.common import stored, table
 from buildlens.llm.queries import packed, tokenizer_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.apply_rules(docs.withColumn("_text", F.col("text")), [*docs.columns])
+    judged = quality_rules.apply_rules(docs, docs.columns)
     return judged.where("kept").select(*docs.columns)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line matches; n_chars follows the text."""
+    found = line_dedup.deduplicate(docs, docs.columns)
+    text = line_dedup.without_lines(F.col("text"), F.col("removed"))
+    edited = found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
+    return edited.select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: the one with the smallest doc_id.
 
@@ -42,6 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", rules),
+    ("line_dedup", line_dedup_stage),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontaminate),
     ("best_fit_packing", pack),
