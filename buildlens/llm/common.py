@@ -65,7 +65,7 @@ def map_chunks(
             for piece in pieces(batch, n):
                 out = run(*[piece.column(i).to_pylist() for i in range(n, piece.num_columns)])
                 row = out.pop("_row", None)
-                columns = [piece.column(i) if row is None else piece.column(i).take(pa.array(row)) for i in range(n)]
+                columns = [piece.column(i) if row is None else piece.column(i).take(pa.array(row, pa.int64())) for i in range(n)]
                 for field in list(target)[n:]:
                     values = out[field.name]
                     if not isinstance(values, pa.Array):
