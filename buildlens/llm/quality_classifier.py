@@ -13,11 +13,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from buildlens.llm.common import map_chunks, stored
-from buildlens.llm.toxicity import held_out, labelled
+from buildlens.llm.toxicity import held_out
 
 TO_POOLED = 0.1
 TO_DIAGONAL = 0.05
@@ -136,12 +139,32 @@ def quality(
     """`columns` of every row, held_out, score (1: good text) and predicted.
 
     Null and empty texts are scored from their zero counts. Labels are learnt only from rows
-    that are not held out; equal texts of one label count once.
+    that are not held out; a doc_id with both labels teaches neither, and equal texts of one
+    label count once. A text is read once: its statistics are stored and then joined and scored.
     """
-    model = fit(stored(measured(labelled(documents, labels, "quality"), ["label"]), "quality-rows"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    scored = map_chunks(
-        documents.withColumn("held_out", held_out()), [*columns, "held_out"], ["text"],
-        lambda texts: {"score": shared.value.score(statistics(texts))}, "score double",
+    rows = documents.withColumns(
+        {"_doc": F.col("doc_id"), "_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit("text"), "text"), "_held": held_out()}
+    )
+    known = (
+        labels.where("doc_id is not null and quality in (0, 1)")
+        .groupBy(F.col("doc_id").alias("_doc"))
+        .agg(F.min("quality").cast("int").alias("label"), F.max("quality").alias("_most"))
+        .where("label = _most")
+        .drop("_most")
     )
+    table = stored(measured(rows, [*columns, "_doc", "_t1", "_t2", "_held"]), "statistics")
+    taught = table.where("NOT _held").select("_doc", "_t1", "_t2", "x").join(known, "_doc")
+    model = fit(taught.dropDuplicates(["_t1", "_t2", "label"]).select("label", "x"))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    kept = table.select(*[F.col(f"`{c}`") for c in columns], F.col("_held").alias("held_out"), "x")
+    target = StructType([*kept.drop("x").schema.fields, *StructType.fromDDL("score double").fields])
+    arrow = to_arrow_schema(target)
+
+    def run(batches):
+        for batch in batches:
+            x = np.array(batch.column(batch.num_columns - 1).flatten()).reshape(-1, len(STATISTICS))
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.score(x))], schema=arrow)
+
+    scored = kept.mapInArrow(run, target)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
