@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NANOS_PER_SECOND = 1_000_000_000
@@ -35,6 +35,23 @@ def parse_float(c: Column) -> Column:
     return F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), c.try_cast("double"))
 
 
+# Numbers of a range that one row lists at once.
+RANGE_PIECE = 1 << 16
+
+
+def numbers_between(df: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """A row for each whole number from `first` to `last`; none where the range is empty.
+
+    A long range is cut into pieces first, so no row holds more than a piece of it.
+    """
+    piece, begin = F.lit(RANGE_PIECE).cast("bigint"), F.col(first).cast("bigint")
+    pieces = F.call_function("div", F.col(last).cast("bigint") - begin, piece)
+    cut = df.where(F.col(first) <= F.col(last)).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces)).alias("_piece"))
+    low = begin + F.col("_piece") * piece
+    high = F.least(low + piece - 1, F.col(last).cast("bigint"))
+    return cut.select("*", F.explode(F.sequence(low, high)).alias(name)).drop("_piece")
+
+
 def seconds_to_nanos(seconds: Column) -> Column:
     """Whole nanoseconds; absent and absurd values are 0."""
     nanos = (seconds * F.lit(float(NANOS_PER_SECOND))).try_cast("bigint")

@@ -39,14 +39,23 @@ def passed() -> Column:
     return F.count_if(F.col("status").isin("pass", "flaky"))
 
 
-def test_stats(cases: DataFrame, keys: list[str] = RUN) -> DataFrame:
-    """total, passed, failed and skipped per group."""
-    return cases.groupBy(*keys).agg(
+def test_stats(cases: DataFrame, keys: list[str] = RUN, runs: DataFrame | None = None) -> DataFrame:
+    """total, passed, failed and skipped per group.
+
+    With `runs` (the run rows of the inputs) a run without any case has a row of zeros.
+    """
+    stats = cases.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         passed().alias("passed"),
         F.count_if(F.col("status") == "fail").alias("failed"),
         F.count_if(F.col("status") == "skip").alias("skipped"),
     )
+    return stats if runs is None else every_run(runs, stats, keys)
+
+
+def every_run(runs: DataFrame, summary: DataFrame, keys: list[str] = RUN) -> DataFrame:
+    """The summary rows, and rows of zeros for the runs without one."""
+    return runs.select(*keys).distinct().join(summary, keys, "left").na.fill(0)
 
 
 test_stats.__test__ = False

@@ -10,7 +10,7 @@ from buildlens.functions.numbers import GOOD_PCT, WARN_PCT, coverage_band, pct,
 from buildlens.functions.numbers import band_colour, treemap_colour
 from buildlens.functions.text import dir_of
 from buildlens.functions.text import strip_prefix as strip_prefix_column
-from buildlens.operators.cases import sort_key
+from buildlens.operators.cases import every_run, sort_key
 from buildlens.plans.skew import page
 
 TOTALS = [
@@ -81,9 +81,13 @@ def with_pcts(df: DataFrame) -> DataFrame:
     return df.select("*", *[pct(F.col(c), F.col(t)).alias(name) for name, (c, t) in PCTS.items()])
 
 
-def cov_stats(files: DataFrame, keys: list[str] = RUN) -> DataFrame:
-    """Totals and weighted percentages per run."""
-    return with_pcts(sum_totals(files, keys, F.count(F.lit(1)).alias("file_count")))
+def cov_stats(files: DataFrame, keys: list[str] = RUN, runs: DataFrame | None = None) -> DataFrame:
+    """Totals and weighted percentages per run.
+
+    With `runs` (the run rows of the inputs) a run without any file has a row of zeros.
+    """
+    sums = sum_totals(files, keys, F.count(F.lit(1)).alias("file_count"))
+    return with_pcts(sums if runs is None else every_run(runs, sums, keys))
 
 
 def cov_view_rows(files: DataFrame) -> DataFrame:

@@ -62,8 +62,13 @@ REJECTS = {"run_id": "string", "source": "string", "format": "string", "error":
 
 
 def conform(schema: dict[str, str], **values: Column) -> list[Column]:
-    """Columns in table order and type; those not given are null."""
+    """Columns in table order and type; those not given are null, and so are values beyond their type."""
     unknown = set(values) - set(schema)
     if unknown:
         raise ValueError(f"not in the table: {sorted(unknown)}")
-    return [values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in schema.items()]
+
+    def typed(name: str, kind: str) -> Column:
+        value = values.get(name, F.lit(None))
+        return value.try_cast(kind) if kind in ("int", "bigint") else value.cast(kind)
+
+    return [typed(name, kind).alias(name) for name, kind in schema.items()]

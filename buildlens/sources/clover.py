@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.functions.numbers import parse_int_or_zero
+from buildlens.functions.numbers import numbers_between, parse_int_or_zero
 from buildlens.functions.text import blank_to_null
-from buildlens.schemas import COV_RECORDS
+from buildlens.schemas import COV_RECORDS, ENTRY_KEYS
 from buildlens.sources import facts
 from buildlens.sources.scan import Artifacts, list_sources, scan_documents
 from buildlens.sources.xmlcoverage import exploded_entries
@@ -20,23 +22,10 @@ _FILE = (
 _SCHEMA = f"project STRUCT<file: ARRAY<{_FILE}>, package: ARRAY<STRUCT<_name: STRING, file: ARRAY<{_FILE}>>>>"
 _ENTRY = (
     f"struct<path: string, lines: {COV_RECORDS['lines']}, branches: {COV_RECORDS['branches']}, "
-    f"funcs: {COV_RECORDS['funcs']}>"
+    f"funcs: {COV_RECORDS['funcs']}, statements: bigint, covered: bigint>"
 )
 
 
-def _synthetic_lines(metrics: Column) -> Column:
-    """Lines 1..statements of a file that reports totals only."""
-    total = F.coalesce(metrics["_statements"], F.lit(0))
-    covered = F.coalesce(metrics["_coveredstatements"], F.lit(0))
-    return F.when(
-        total > 0,
-        F.transform(
-            F.sequence(F.lit(1), total),
-            lambda i: facts.line_struct(i.cast("bigint"), (i <= covered).cast("bigint")),
-        ),
-    )
-
-
 def _entry(file: Column, package: Column) -> Column:
     name, package = text_or_empty(file["_name"]), text_or_empty(package)
     path = F.coalesce(blank_to_null(file["_path"]), name)
@@ -49,9 +38,10 @@ def _entry(file: Column, package: Column) -> Column:
         F.filter(file["line"], lambda x: x["_type"] == "method"),
         lambda x: facts.func_struct(F.lit(""), parse_int_or_zero(x["_num"]), parse_int_or_zero(x["_count"])),
     )
-    lines = F.when(F.size(reported) > 0, reported).otherwise(_synthetic_lines(file["metrics"]))
+    totals = F.when(F.coalesce(F.size(reported), F.lit(0)) <= 0, file["metrics"])
     return F.struct(
-        path.alias("path"), lines.alias("lines"), F.lit(None).alias("branches"), methods.alias("funcs")
+        path.alias("path"), reported.alias("lines"), F.lit(None).alias("branches"), methods.alias("funcs"),
+        totals["_statements"].alias("statements"), totals["_coveredstatements"].alias("covered"),
     ).cast(_ENTRY)
 
 
@@ -68,9 +58,14 @@ def _entries(doc: Column) -> Column:
 
 
 def ingest_clover(spark: SparkSession, inputs: Artifacts) -> facts.CoverageFacts:
-    """One entry per file element; true and false counts are not used."""
+    """One entry per file element; true and false counts are not used.
+
+    A file that reports totals only has lines 1 to its number of statements.
+    """
     docs = scan_documents(spark, inputs)
     rows, rejected = exploded_entries(docs, _SCHEMA, "coverage", _entries, "clover")
-    return facts.coverage_facts(
-        rows.select("*", "entry.*").drop("entry"), list_sources(spark, inputs), rejected
-    )
+    entries = rows.select("*", "entry.*").drop("entry")
+    found = facts.coverage_facts(entries, list_sources(spark, inputs), rejected)
+    counted = numbers_between(entries.withColumn("_one", F.lit(1)), "_one", "statements", "line")
+    hits = (F.col("line") <= F.coalesce("covered", F.lit(0))).cast("bigint")
+    return replace(found, lines=found.lines.unionByName(counted.select(*ENTRY_KEYS, "line", hits.alias("hits"))))

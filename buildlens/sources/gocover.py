@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.functions.numbers import parse_int
+from buildlens.functions.numbers import numbers_between, parse_int
 from buildlens.functions.text import trim_space
 from buildlens.schemas import COV_RECORDS, ENTRY_KEYS, REJECTS, record_seq
 from buildlens.session import materialize
@@ -49,10 +49,8 @@ def first_block_wins(hits: DataFrame, keys: list[str], seq: str = "seq") -> Data
 
 def block_lines(blocks: DataFrame) -> DataFrame:
     """Blocks spread over their lines; a block without statements has no hits."""
-    span = F.when(F.col("start") <= F.col("end"), F.sequence("start", "end"))
-    return blocks.withColumn(
-        "hits", F.when(F.col("statements") == 0, F.lit(0).cast("bigint")).otherwise(F.col("count"))
-    ).select("*", F.explode(span).alias("line"))
+    hits = F.when(F.col("statements") == 0, F.lit(0).cast("bigint")).otherwise(F.col("count"))
+    return numbers_between(blocks.withColumn("hits", hits), "start", "end", "line")
 
 
 def ingest_gocover(spark: SparkSession, inputs: Artifacts) -> facts.CoverageFacts:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import fields, replace
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.plans.skew import attach
 from buildlens.session import materialize
 from buildlens.sources import registry
 from buildlens.sources.clover import ingest_clover
@@ -24,10 +23,6 @@ from buildlens.sources.nunit import ingest_nunit
 from buildlens.sources.scan import Artifacts
 from buildlens.sources.tap import ingest_tap
 
-# A format with at most this many files is read by naming them; beyond it the
-# whole input is read and the rows of other files are dropped by a join.
-NAMED_FILES = 50_000
-
 _READERS = {
     registry.TESTS: {
         "cucumber": ingest_cucumber, "gotest": ingest_gotest, "junit": ingest_junit, "nunit": ingest_nunit,
@@ -48,32 +43,22 @@ def _literal_path(path: str) -> str:
     return "".join("\\" + c if c in "\\{}[]*?" else c for c in path)
 
 
-def _only(facts, sources: DataFrame):
-    """Rows of the given sources, in every table."""
-    return type(facts)(
-        *(attach(getattr(facts, f.name), sources, ["source"], how="left_semi") for f in fields(facts))
-    )
-
+def _detected_facts(spark: SparkSession, inputs: Artifacts, kind: str, trust_extension: bool):
+    """Each format's reader opens the files of its format, and no others.
 
-def _detected_facts(spark: SparkSession, inputs: Artifacts, kind: str, trust_extension: bool, named_files: int):
+    Their names pass through the driver, which lists the files of any read.
+    """
     found = materialize(registry.detect_artifacts(spark, inputs, kind, trust_extension), "formats")
-    counts = {r["format"]: r["count"] for r in found.groupBy("format").count().collect()}
     parts = []
     for fmt in registry.formats(kind):
-        if fmt.name not in counts:
-            continue
-        sources = found.where(F.col("format") == fmt.name).select("source")
-        if counts[fmt.name] <= named_files:
-            paths = tuple(_literal_path(r["source"]) for r in sources.collect())
+        sources = found.where(F.col("format") == fmt.name).select("source").toLocalIterator()
+        if paths := tuple(_literal_path(r["source"]) for r in sources):
             parts.append(fmt.ingest(spark, replace(inputs, paths=paths)))
-        else:
-            parts.append(_only(fmt.ingest(spark, inputs), sources))
     return found, parts
 
 
 def ingest_tests(
-    spark: SparkSession, inputs: Artifacts, fmt: str = "auto", trust_extension: bool = True,
-    named_files: int = NAMED_FILES,
+    spark: SparkSession, inputs: Artifacts, fmt: str = "auto", trust_extension: bool = True
 ) -> TestFacts:
     """Test results of one format, or of the formats the files turn out to have.
 
@@ -81,19 +66,18 @@ def ingest_tests(
     """
     if fmt != "auto":
         return registry.resolve_format(registry.TESTS, fmt).ingest(spark, inputs)
-    found, parts = _detected_facts(spark, inputs, registry.TESTS, trust_extension, named_files)
+    found, parts = _detected_facts(spark, inputs, registry.TESTS, trust_extension)
     return _merged(found, parts)
 
 
 def ingest_coverage(
-    spark: SparkSession, inputs: Artifacts, fmt: str = "auto", prefix: str = "", trust_extension: bool = True,
-    named_files: int = NAMED_FILES,
+    spark: SparkSession, inputs: Artifacts, fmt: str = "auto", prefix: str = "", trust_extension: bool = True
 ) -> CoverageFacts:
     """Coverage of one format or of detected formats, with a path prefix dropped."""
     if fmt != "auto":
         facts = registry.resolve_format(registry.COVERAGE, fmt).ingest(spark, inputs)
     else:
-        found, parts = _detected_facts(spark, inputs, registry.COVERAGE, trust_extension, named_files)
+        found, parts = _detected_facts(spark, inputs, registry.COVERAGE, trust_extension)
         facts = _merged(found, parts)
     return facts.with_prefix_stripped(prefix)
 

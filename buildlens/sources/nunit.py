@@ -13,9 +13,6 @@ from buildlens.sources import facts
 from buildlens.sources.scan import Artifacts, scan_documents
 from buildlens.sources.xmltext import array_or_empty, parsed_documents, root_element, text_or_empty
 
-# Levels of nested test suites that are read; a deeper document is rejected.
-MAX_SUITE_DEPTH = 8
-
 _FAILURE = "STRUCT<message: STRING, `stack-trace`: STRING>"
 _NUNIT_CASE = (
     f"STRUCT<_name: STRING, _result: STRING, _duration: STRING, failure: {_FAILURE}, "
@@ -54,15 +51,28 @@ def _flat_case(suite: Column, case: Column, dialect: str, seconds: str, message:
     ).cast(_FLAT)
 
 
-def _nunit_schema(depth: int) -> str:
-    """Type of the children of a suite, `depth` levels down.
+def suite_depth(text: Column) -> Column:
+    """Levels of nested test suites in a document, by its tags outside comments and CDATA."""
+    markup = F.regexp_replace(text, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    tags = F.regexp_extract_all(
+        markup, F.lit(r"</?(?:[\w.-]+:)?test-suite(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?>"), F.lit(0)
+    )
+
+    def step(state: Column, tag: Column) -> Column:
+        closing, alone = tag.startswith("</"), tag.endswith("/>")
+        level = state["level"] + F.when(closing, -1).otherwise(1)
+        return F.struct(
+            F.when(alone, state["level"]).otherwise(level).alias("level"), F.greatest(state["most"], level).alias("most")
+        )
 
-    Below the last level a suite is declared as text, so one that is present
-    there shows up as a non-null value.
-    """
-    inner = "`test-suite`: ARRAY<STRING>"
+    return F.aggregate(tags, F.struct(F.lit(0).alias("level"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+def _nunit_schema(depth: int) -> str:
+    """Type of the children of a suite, `depth` levels down."""
+    inner = ""
     for _ in range(depth):
-        inner = f"`test-suite`: ARRAY<STRUCT<_name: STRING, `test-case`: ARRAY<{_NUNIT_CASE}>, {inner}>>"
+        inner = f"`test-suite`: ARRAY<STRUCT<_name: STRING, `test-case`: ARRAY<{_NUNIT_CASE}>{inner and ', ' + inner}>>"
     return inner.replace("`test-suite`: ", "`test-suite` ", 1)
 
 
@@ -85,12 +95,6 @@ def _nested(items: Column, cases_of) -> Column:
     return array_or_empty(F.flatten(F.transform(items, cases_of)), _FLAT)
 
 
-def _too_deep(suites: Column, depth: int) -> Column:
-    if depth == 0:
-        return F.coalesce(F.size(suites) > 0, F.lit(False))
-    return F.coalesce(F.exists(suites, lambda s: _too_deep(s["test-suite"], depth - 1)), F.lit(False))
-
-
 def _xunit_cases(assemblies: Column) -> Column:
     def of_collection(assembly: Column, collection: Column) -> Column:
         suite = F.coalesce(blank_to_null(collection["_name"]), text_or_empty(assembly["_name"]))
@@ -134,49 +138,56 @@ def _facts(docs: DataFrame, cases: Column, broken: Column, dialect: str) -> fact
             message=blank_to_null(case["message"]),
         ),
         facts.test_runs(sound, duration_ns=F.lit(0)),
-        facts.rejects(parsed.where("broken"), dialect, "malformed, unexpected or too deeply nested XML"),
+        facts.rejects(parsed.where("broken"), dialect, "malformed or unexpected XML"),
     )
 
 
-def _ingest_nunit(docs: DataFrame, root: str, dialect: str, depth: int) -> facts.TestFacts:
+def _ingest_nunit(docs: DataFrame, root: str, dialect: str) -> facts.TestFacts:
+    """Suites are read as deep as the input nests them: its deepest document sets the schema."""
+    depth = max(docs.agg(F.max(suite_depth(F.col("value")))).first()[0] or 0, 1)
     parsed = parsed_documents(docs, _nunit_schema(depth))
     suites = F.col("doc.test-suite")
-    broken = F.col("broken") | (root_element(F.col("value")) != root) | _too_deep(suites, depth)
+    broken = F.col("broken") | (root_element(F.col("value")) != root)
     return _facts(parsed, _nested(suites, lambda s: _nunit_cases(s, depth)), broken, dialect)
 
 
-def is_xunit(text: Column) -> Column:
-    return text.contains("<assemblies")
+def dialect_of(text: Column) -> Column:
+    """The dialect that a document's text names."""
+    return (
+        F.when(text.contains("<assemblies"), "xunit").when(text.contains("<test-results"), "nunit2").otherwise("nunit3")
+    )
+
 
+def _documents(spark: SparkSession, inputs: Artifacts) -> DataFrame:
+    return scan_documents(spark, inputs).withColumn("dialect", dialect_of(F.col("value")))
 
-def is_nunit2(text: Column) -> Column:
-    return ~is_xunit(text) & text.contains("<test-results")
 
+def _of_dialect(docs: DataFrame, dialect: str) -> facts.TestFacts:
+    own = docs.where(F.col("dialect") == dialect)
+    if dialect == "xunit":
+        parsed = parsed_documents(own, _XUNIT)
+        broken = F.col("broken") | (root_element(F.col("value")) != "assemblies")
+        return _facts(parsed, _xunit_cases(F.col("doc.assembly")), broken, "xunit")
+    return _ingest_nunit(own, {"nunit3": "test-run", "nunit2": "test-results"}[dialect], dialect)
 
-def ingest_nunit3(spark: SparkSession, inputs: Artifacts, depth: int = MAX_SUITE_DEPTH) -> facts.TestFacts:
+
+def ingest_nunit3(spark: SparkSession, inputs: Artifacts) -> facts.TestFacts:
     """Documents with a <test-run> root; every suite with direct cases is a suite."""
-    text = F.col("value")
-    docs = scan_documents(spark, inputs).where(~is_xunit(text) & ~is_nunit2(text))
-    return _ingest_nunit(docs, "test-run", "nunit3", depth)
+    return _of_dialect(_documents(spark, inputs), "nunit3")
 
 
-def ingest_nunit2(spark: SparkSession, inputs: Artifacts, depth: int = MAX_SUITE_DEPTH) -> facts.TestFacts:
+def ingest_nunit2(spark: SparkSession, inputs: Artifacts) -> facts.TestFacts:
     """Documents with a <test-results> root."""
-    docs = scan_documents(spark, inputs).where(is_nunit2(F.col("value")))
-    return _ingest_nunit(docs, "test-results", "nunit2", depth)
+    return _of_dialect(_documents(spark, inputs), "nunit2")
 
 
 def ingest_xunit(spark: SparkSession, inputs: Artifacts) -> facts.TestFacts:
     """Documents with an <assemblies> root; a collection is a suite."""
-    parsed = parsed_documents(scan_documents(spark, inputs).where(is_xunit(F.col("value"))), _XUNIT)
-    broken = F.col("broken") | (root_element(F.col("value")) != "assemblies")
-    return _facts(parsed, _xunit_cases(F.col("doc.assembly")), broken, "xunit")
+    return _of_dialect(_documents(spark, inputs), "xunit")
 
 
-def ingest_nunit(spark: SparkSession, inputs: Artifacts, depth: int = MAX_SUITE_DEPTH) -> facts.TestFacts:
-    """All three dialects; each document is read by the one its text names."""
-    return (
-        ingest_nunit3(spark, inputs, depth)
-        .union(ingest_nunit2(spark, inputs, depth))
-        .union(ingest_xunit(spark, inputs))
-    )
+def ingest_nunit(spark: SparkSession, inputs: Artifacts) -> facts.TestFacts:
+    """All three dialects; a document is read once and goes to the one its text names."""
+    docs = materialize(_documents(spark, inputs), "nunit-documents")
+    nunit3, nunit2, xunit = (_of_dialect(docs, d) for d in ("nunit3", "nunit2", "xunit"))
+    return nunit3.union(nunit2).union(xunit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,7 +15,14 @@ from buildlens.sources.gotest import EVENT, TERMINAL, finished_cases
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Groups per run: enough to spread one run, few enough that calls stay rare.
 BUCKETS = 64
-_FINISHED = "run_id string, package string, test string, at string, action string, elapsed double, raw_output string"
+_FINISHED = "run_id string, package string, test string, at bigint, action string, elapsed double, raw_output string"
+
+
+def time_in_nanos(text: Column) -> Column:
+    """Nanoseconds since 1970 of a time stamp with any number of fraction digits and any offset; null for others."""
+    micros = F.unix_micros(F.try_to_timestamp(text))
+    fraction = F.rpad(F.regexp_extract(text, r"\.([0-9]+)", 1), 9, "0")
+    return micros * 1000 + F.substring(fraction, 7, 3).cast("bigint")
 
 
 def stream_events(lines: DataFrame) -> DataFrame:
@@ -28,7 +35,7 @@ def stream_events(lines: DataFrame) -> DataFrame:
             "run_id",
             F.coalesce("event.Package", F.lit("")).alias("package"),
             F.col("event.Test").alias("test"),
-            F.coalesce("event.Time", F.lit("")).alias("at"),
+            time_in_nanos(F.col("event.Time")).alias("at"),
             F.col("event.Action").alias("action"),
             F.coalesce("event.Elapsed", F.lit(0.0)).alias("elapsed"),
             F.coalesce("event.Output", F.lit("")).alias("output"),
@@ -61,34 +68,38 @@ class OpenTests(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable", na_position="first")
         stored = {tuple(test): parts[0] for test, parts in self.open.iterator()}
-        fresh: dict[tuple[str, str], list[str]] = {test: [] for test in stored}
-        before = dict(stored)
-        done = []
-        columns = batch[["package", "test", "at", "action", "elapsed", "output"]]
-        for package, name, at, action, elapsed, output in columns.itertuples(index=False):
-            test = (package, name)
-            if action == "output":
-                if test in fresh:
-                    fresh[test].append(output)
-                continue
-            old = self.take_stored(test, stored.pop(test, 0))
-            new = fresh.pop(test, [])
-            if action == "run":
-                fresh[test] = []
-            else:
-                done.append((key[0], package, name, at, action, elapsed, "".join(old + new)))
-        for test, pieces in fresh.items():
-            parts = stored.get(test, 0)
-            if pieces:
-                self.pieces.updateValue((*test, parts), ("".join(pieces),))
-                parts += 1
-            if before.get(test) != parts:
-                self.open.updateValue(test, (parts,))
-        for test in before.keys() - fresh.keys():
-            self.open.removeKey(test)
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in _FINISHED.split(", ")])
+        test = ["package", "test"]
+        # Segments: the output between two markers (runs and ends) of a test; 0 comes before the first one.
+        marker = batch["action"] != "output"
+        batch["segment"] = marker.groupby([batch["package"], batch["test"]]).cumsum()
+        text = batch[~marker].groupby([*test, "segment"], sort=False)["output"].agg("".join).to_dict()
+        marks = batch[marker].copy()
+        marks["before"] = marks.groupby(test)["action"].shift(fill_value="")
+        names = list(zip(marks["package"], marks["test"], marks["segment"] - 1))
+        # Output counts if a run opened its segment, or an earlier batch left the test open.
+        marks["raw_output"] = [
+            text.get(n, "") if opened == "run" or (n[2] == 0 and n[:2] in stored) else ""
+            for n, opened in zip(names, marks["before"])
+        ]
+        first = marks[marks["segment"] == 1]
+        for at, name in zip(first.index, zip(first["package"], first["test"])):
+            if name in stored:
+                marks.at[at, "raw_output"] = "".join(self.take_stored(name, stored.pop(name))) + marks.at[at, "raw_output"]
+                self.open.removeKey(name)
+        last = marks.drop_duplicates(test, keep="last")
+        still = {name: n for *name_, n, a in zip(last["package"], last["test"], last["segment"], last["action"])
+                 if a == "run" for name in [tuple(name_)]}
+        for name, segment in {**{name: 0 for name in stored}, **still}.items():
+            parts, piece = stored.get(name, 0), text.get((*name, segment), "")
+            if piece:
+                self.pieces.updateValue((*name, parts), (piece,))
+            if piece or segment:
+                self.open.updateValue(name, (parts + bool(piece),))
+        done = marks[marks["action"] != "run"].assign(run_id=key[0])
+        columns = [f.split()[0] for f in _FINISHED.split(", ")]
+        yield pd.DataFrame(list(zip(*(done[c].tolist() for c in columns))), columns=columns)
 
     def close(self) -> None:
         pass
@@ -118,7 +129,9 @@ def stream_gotest_cases(lines: DataFrame, ttl_ms: int | None = None, buckets: in
     # A stream has no file position: cases of a run are ordered by their time.
     start = F.struct(F.lit(0).alias("block_start"), F.lit(0).alias("row_id"))
     return finished_cases(
-        finished.withColumns({"source": F.lit("<stream>"), "source_ord": F.col("at"), "seq": start})
+        finished.withColumns(
+            {"source": F.lit("<stream>"), "source_ord": F.format_string("%020d", F.coalesce("at", F.lit(0))), "seq": start}
+        )
     )
 
 

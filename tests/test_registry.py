@@ -88,10 +88,9 @@ MIXED = {
 }
 
 
-@pytest.mark.parametrize("named_files", [100, 0])
-def test_mixed_inputs_are_read_by_their_own_format(spark, put, named_files):
+def test_mixed_inputs_are_read_by_their_own_format(spark, put):
     folder = put(MIXED)
-    got = ingest_tests(spark, artifacts(folder), named_files=named_files)
+    got = ingest_tests(spark, artifacts(folder))
     assert rows(got.cases, "name", "status") == [
         ("T", "fail"), ("a", "pass"), ("b", "fail"), ("n", "pass"), ("s", "skip"), ("x", "pass"),
     ]

@@ -73,6 +73,24 @@ def test_state_lives_across_batches(spark, tmp_path, rocksdb):
     assert batch == [e if e[0] != "C" else ("C", "fail", None, 500_000_000) for e in expected]
 
 
+def test_events_are_ordered_by_time_not_by_text(spark, tmp_path, rocksdb):
+    def at(stamp, action, **more):
+        return json.dumps({"Time": f"2024-01-01T{stamp}", "Action": action, "Package": "p", "Test": "T", **more})
+
+    events = [
+        at("00:00:00.12Z", "output", Output="boom\n"), at("00:00:00.2Z", "fail"), at("00:00:00.123Z", "output", Output="second\n"),
+        at("00:00:00.1Z", "run"), at("01:00:00.1230000015+01:00", "output", Output="third\n"),
+        at("00:00:00.123000002Z", "output", Output="fourth"),
+    ]
+    feed = tmp_path / "in"
+    feed.mkdir()
+    (feed / "a.json").write_text("\n".join(events))
+    stream = spark.readStream.format("text").schema("value STRING").load(str(feed)).withColumn("run_id", F.lit("r"))
+    drain(stream_gotest_cases(stream, buckets=1), tmp_path / "out", tmp_path / "state")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(got, "name", "status", "message") == [("T", "fail", "boom\nsecond\nthird\nfourth")]
+
+
 def test_time_to_live_is_accepted(spark, tmp_path, rocksdb):
     feed = tmp_path / "in"
     feed.mkdir()
