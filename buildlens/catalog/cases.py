@@ -27,6 +27,22 @@ def test_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.test_stats(base.cases(spark, sf_dir))
 
 
+@query(
+    with_tables("cases")
+    + f"""SELECT *, failed > 0 AS gate_failed, {base.pct_sql('passed', 'total')} AS pass_pct FROM (
+      SELECT r.run_id, count(c.run_id) AS total, count(c.run_id) FILTER (WHERE status IN ('pass', 'flaky')) AS passed,
+        count(c.run_id) FILTER (WHERE status = 'fail') AS failed, count(c.run_id) FILTER (WHERE status = 'skip') AS skipped
+      FROM (SELECT DISTINCT run_id FROM cases) r LEFT JOIN cases c ON c.run_id = r.run_id AND c.run_id <> 'run2' GROUP BY r.run_id)"""
+)
+def empty_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inputs of run2 hold no case; the run still has totals and a gate."""
+    cases = base.cases(spark, sf_dir)
+    stats = ops.test_stats(cases.where("run_id <> 'run2'"), runs=cases.select("run_id"))
+    return ops.with_status_pcts(stats).drop("fail_pct", "skip_pct").join(
+        gates.test_gate(stats).select("run_id", "gate_failed"), "run_id"
+    )
+
+
 @query(
     with_tables("collapsed")
     + "SELECT run_id, count(*) FILTER (WHERE status = 'flaky') AS flaky FROM collapsed GROUP BY run_id"

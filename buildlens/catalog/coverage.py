@@ -140,6 +140,18 @@ def coverage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.coverage_gate(ops.cov_stats(base.files(spark, sf_dir)), line=60, branch=49.9)
 
 
+@query(
+    with_tables("files")
+    + f"""SELECT *, {base.PCT_SQL} FROM (SELECT r.run_id,
+    {', '.join(f"CAST(coalesce(sum({t}), 0) AS BIGINT) AS {t}" for t in ops.TOTALS)}, count(f.path) AS file_count
+    FROM (SELECT DISTINCT run_id FROM files) r LEFT JOIN files f ON f.run_id = r.run_id AND f.run_id <> 'cur' GROUP BY r.run_id)"""
+)
+def empty_run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inputs of the run `cur` name no file; the run still has totals of zero."""
+    files = base.files(spark, sf_dir)
+    return ops.cov_stats(files.where("run_id <> 'cur'"), runs=files.select("run_id"))
+
+
 def linked_stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Test totals of base, run0.. and coverage totals of base and cur."""
     renamed = F.when(F.col("run_id") == "run1", "base").otherwise(F.col("run_id"))

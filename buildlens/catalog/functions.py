@@ -261,12 +261,12 @@ def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, replace(replace(replace(concat('{"url":', to_json(url), '}'), '<', '\\u003c'), '>', '\\u003e'),
+    """SELECT page_id, replace(replace(replace(concat('{"html":', to_json(html), '}'), '<', '\\u003c'), '>', '\\u003e'),
     '&', '\\u0026') AS json FROM pages"""
 )
 def html_safe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", text.html_safe_json(F.to_json(F.struct("url"))).alias("json"))
+    return pages.select("page_id", text.html_safe_json(F.to_json(F.struct("html"))).alias("json"))
 
 
 @query(
@@ -435,11 +435,13 @@ def fmt_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT run_id, CASE WHEN count(DISTINCT source) = 1 THEN min(source)
       ELSE concat(min(source), ' (+', CAST(count(DISTINCT source) - 1 AS VARCHAR), ' more)') END AS test_title,
     CASE WHEN count(DISTINCT source) = 1 THEN min(source) ELSE 'Coverage Report' END AS cov_title
-    FROM cases WHERE NOT (run_id = 'run0' AND source <> 'src0.xml') GROUP BY run_id"""
+    FROM (SELECT run_id, source FROM cases UNION ALL SELECT concat(run_id, '/', source), source FROM cases) GROUP BY run_id"""
 )
 def report_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one_input = (F.col("run_id") == "run0") & (F.col("source") != "src0.xml")
-    inputs = base.cases(spark, sf_dir).where(~one_input).groupBy("run_id").agg(
+    """Every run, and every one of its inputs as a run of its own."""
+    runs = base.cases(spark, sf_dir).select("run_id", "source")
+    single = runs.select(F.concat_ws("/", "run_id", "source").alias("run_id"), "source")
+    inputs = runs.unionByName(single).groupBy("run_id").agg(
         F.min("source").alias("first"), F.count_distinct("source").alias("n")
     )
     given = F.lit("")

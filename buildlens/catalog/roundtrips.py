@@ -206,7 +206,7 @@ def _failure() -> Column:
     return F.when(F.col("status") == "fail", tag("failure", {}, content)).otherwise(F.lit(""))
 
 
-def _nunit_documents(spark: SparkSession, sf_dir: str, root: str) -> str:
+def _nunit_documents(spark: SparkSession, sf_dir: str, root: str, levels: int = 2) -> str:
     words = {"pass": "Passed", "fail": "Failed", "skip": "Skipped"}
     reason = F.when(F.col("status") == "skip", F.lit("<reason><message>later</message></reason>")).otherwise(F.lit(""))
     case = tag(
@@ -214,7 +214,10 @@ def _nunit_documents(spark: SparkSession, sf_dir: str, root: str) -> str:
         {"name": F.col("name"), "result": _result_word(words), "duration": F.col("secs")},
         F.concat(_failure(), reason),
     )
-    suite = F.concat(F.lit('<test-suite name="outer">'), tag("test-suite", {"name": F.col("suite")}, case), F.lit("</test-suite>"))
+    outer = levels - 1
+    suite = F.concat(
+        F.lit('<test-suite name="outer">' * outer), tag("test-suite", {"name": F.col("suite")}, case), F.lit("</test-suite>" * outer)
+    )
     return write_case_documents(document_cases(spark, sf_dir), suite, f"<{root}>\n", f"\n</{root}>", root)
 
 
@@ -230,6 +233,12 @@ def nunit3_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(ingest_nunit3(spark, located(_nunit_documents(spark, sf_dir, "test-run"))))
 
 
+@query(_NUNIT_SQL)
+def nunit_deep_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case lies twelve suites deep."""
+    return ingested(ingest_nunit3(spark, located(_nunit_documents(spark, sf_dir, "test-run", levels=12))))
+
+
 @query(_NUNIT_SQL)
 def nunit2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(ingest_nunit2(spark, located(_nunit_documents(spark, sf_dir, "test-results"))))
