@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import stored
+from buildlens.llm.common import smallest, stored
 
 LEAST_LENGTH = 16
 BEFORE, AFTER = 60, 30
@@ -156,7 +156,7 @@ def train(findings: DataFrame, fit_findings: int = FIT_FINDINGS) -> RandomForest
     labels weigh the same in all.
     """
     hashed = findings.select(*FEATURES, "label", F.xxhash64("secret", "before", "after").alias("h"))
-    parts = [hashed.where(F.col("label") == y).orderBy("h", *FEATURES).limit(fit_findings) for y in (0.0, 1.0)]
+    parts = [smallest(stored(hashed.where(F.col("label") == y), "labelled"), "h", fit_findings) for y in (0.0, 1.0)]
     sample = stored(parts[0].unionByName(parts[1]), "findings")
     counts = dict(sample.groupBy("label").count().collect())  # two rows
     if len(counts) < 2:
