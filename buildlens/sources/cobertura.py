@@ -54,14 +54,18 @@ def _entries(doc: Column) -> Column:
 def class_line_dedup(method_lines: DataFrame, class_lines: DataFrame, keys: list[str]) -> DataFrame:
     """All method lines, plus each class line whose number is not there yet.
 
-    Among equal class lines the first by `pos` wins. Both sides of the anti
-    join have one row per (keys, line), so no line number is a hot key.
+    Among equal class lines the first by `pos` wins. Both kinds go through one aggregate with
+    partial sums, which has one row per (keys, line), so no line number is a hot key.
     """
-    first = class_lines.groupBy(*keys, "line").agg(F.min_by("hits", "pos").alias("hits"))
-    seen = method_lines.select(*keys, "line").distinct()
-    return method_lines.select(*keys, "line", "hits").unionByName(
-        first.join(seen, [*keys, "line"], "left_anti")
+    nothing = F.lit(None).cast("bigint")
+    both = class_lines.select(*keys, "line", "hits", F.col("pos").cast("bigint").alias("pos")).unionByName(
+        method_lines.select(*keys, "line", nothing.alias("hits"), nothing.alias("pos"))
     )
+    found = both.groupBy(*keys, "line").agg(
+        F.min_by("hits", "pos").alias("hits"), F.count("pos").alias("of_class"), F.count(F.lit(1)).alias("all")
+    )
+    fresh = found.where(F.col("of_class") == F.col("all")).select(*keys, "line", "hits")
+    return method_lines.select(*keys, "line", "hits").unionByName(fresh)
 
 
 def ingest_cobertura(spark: SparkSession, inputs: Artifacts) -> facts.CoverageFacts:
