@@ -33,6 +33,8 @@ def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 # The level whose symbols name a window: at least half of them within this share of its words.
 WIDE = 0.65
+# Symbols in a row that make an anchor: three of them nearly fill a window.
+SEQUENCE = 3
 
 
 @dataclass
@@ -94,26 +96,26 @@ def next_level(level: Level, first: np.ndarray, last: np.ndarray, salt: int) ->
 
 
 @dataclass
-class Settled:
-    """Windows by their starts, and for each the symbols names[a:b] that its own words settle.
+class Anchored:
+    """Windows by their starts, and the anchor of each (an index into `names`).
 
-    `place` is a word inside each symbol's bounds, which tells the symbol's text.
+    `place` is a word inside each anchor's bounds, which tells its text.
     """
 
     names: np.ndarray
     place: np.ndarray
     windows: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
+    anchor: np.ndarray
 
 
-def settled(words: np.ndarray, sizes: np.ndarray, window: int) -> list[Settled]:
-    """For every window the symbols of one level that lie, with their bounds, inside it.
+def anchors(words: np.ndarray, sizes: np.ndarray, window: int) -> list[Anchored]:
+    """An anchor for every window: a sequence of symbols that lie, with their bounds, inside it.
 
     `words` holds the hashed words of several texts of `sizes`. The level is the last one whose
-    symbols are well narrower than a window, or for a window without any there the highest
-    with one; words settle themselves, so every window has some. Which symbols a window has
-    depends on its words alone: equal windows have equal names in equal order.
+    symbols are well narrower than a window, or for a window without any there the highest with
+    one; words settle themselves, so every window has some. Of the sequences of up to SEQUENCE
+    neighbouring symbols in a window, the one with the smallest name is the anchor. All of this
+    depends on the window's words alone: equal windows have anchors of equal names.
     """
     n = len(words)
     end = np.cumsum(sizes)
@@ -137,16 +139,36 @@ def settled(words: np.ndarray, sizes: np.ndarray, window: int) -> list[Settled]:
         level = levels[depth]
         a = np.searchsorted(level.low, open_, "left")
         b = np.searchsorted(level.high, open_ + window, "right")
-        ok = b > a
-        if ok.any():
-            step = np.zeros(len(level.name) + 1, np.int64)
-            np.add.at(step, a[ok], 1)
-            np.add.at(step, b[ok], -1)
-            used = np.cumsum(step[:-1]) > 0
-            number = np.r_[0, np.cumsum(used)]
-            name = level.name[used] ^ mix(np.full(1, depth, np.uint64))
-            out.append(Settled(name, level.low[used], open_[ok], number[a[ok]], number[b[ok]]))
-            open_ = open_[~ok]
+        size = np.minimum(b - a, SEQUENCE)
+        name = mix(level.name ^ np.uint64(depth))
+        for q in range(1, SEQUENCE + 1):
+            if q > 1:  # the name of the q symbols from each one on
+                name = join(name[:-1], level.name[q - 1 :])
+            of = size == q
+            if of.any():
+                used, number = np.unique(_least(name, a[of], b[of] - q + 1), return_inverse=True)
+                out.append(Anchored(name[used], level.low[used], open_[of], number))
+        open_ = open_[size < 1]
+    return out
+
+
+def _least(value: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of the smallest value in each range [a, b), the leftmost of equal ones."""
+    best = np.arange(len(value))
+    tables, width = [best], 1
+    most = int((b - a).max())
+    while width * 2 <= most:
+        left, right = best[: len(value) - 2 * width + 1], best[width : len(value) - width + 1]
+        best = np.where(value[left] <= value[right], left, right)
+        tables.append(best)
+        width *= 2
+    out = np.empty(len(a), np.int64)
+    power = np.frexp((b - a).astype(np.float64))[1] - 1
+    for p in range(len(tables)):
+        at = np.flatnonzero(power == p)
+        if len(at):
+            left, right = tables[p][a[at]], tables[p][b[at] - (1 << p)]
+            out[at] = np.where(value[left] <= value[right], left, right)
     return out
 
 

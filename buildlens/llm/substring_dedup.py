@@ -4,10 +4,10 @@ A window of `window` words that also starts in a document with a smaller doc_id
 the words it covers are removed. Windows are judged on the input.
 
 Round 1 names runs and pairs of words, level by level (see `recompress`), and takes from each
-window the symbols that its own words settle: equal windows have equal ones. Spark finds the
-names that more than one text has. Round 2 looks at the windows all of whose symbols have such
-names, names the whole window with 128 bits, and Spark finds the smallest doc_id of each name.
-Windows that some smaller document has are removed.
+window an anchor, a row of symbols that the window's own words settle: equal windows have
+equal ones. Spark finds the names that more than one text has. Round 2 looks at the windows
+whose anchors have such names, names the whole window with 95 bits, and Spark finds the
+smallest doc_id of each name. Windows that some smaller document has are removed.
 
 Equal texts are one text with the smallest of their ids from the start, so copies cost one
 narrow row. Names that many texts share are only counted, with partial counts before the
@@ -26,15 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import map_chunks, small, stored
-from buildlens.llm.recompress import settled, window_names
+from buildlens.llm.recompress import anchors, window_names
 
 WINDOW_WORDS = 50
-# Names (one long each) are broadcast while their stored table is smaller than this.
+# Names and lists of numbers are broadcast while their stored table is smaller than this.
 NAME_BYTES = 32 << 20
 # Rows without a doc_id come after all others.
 LAST = (1 << 63) - 1
 
 
+def _known(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small(df, NAME_BYTES) else df
+
+
 def _hashed(texts: list[list[bytes]]) -> np.ndarray:
     number: defaultdict = defaultdict()
     number.default_factory = number.__len__
@@ -59,7 +63,7 @@ def _lists(values: np.ndarray, owner: np.ndarray, rows: int) -> pa.ListArray:
 
 def _parse(texts: list, window: int) -> dict[str, object]:
     words, sizes = _split(texts)
-    found = settled(_hashed(words), sizes, window)
+    found = anchors(_hashed(words), sizes, window)
     end = np.cumsum(sizes)
     names = np.concatenate([x.names for x in found]) if found else np.zeros(0, np.uint64)
     place = np.concatenate([x.place for x in found]) if found else np.zeros(0, np.int64)
@@ -71,22 +75,19 @@ def _parse(texts: list, window: int) -> dict[str, object]:
 
 
 def _windows(texts: list, shared: list, window: int) -> dict[str, np.ndarray]:
-    """Windows whose symbols all have shared names: row, start and a 128-bit name."""
+    """Windows whose anchors have shared names: row, start and a 95-bit name."""
     words, sizes = _split(texts)
     hashed = _hashed(words)
     end = np.cumsum(sizes)
     known = np.unique(np.array([n for names in shared for n in names], np.int64)).view(np.uint64)
-    starts = []
-    for x in settled(hashed, sizes, window):
-        is_known = np.r_[0, np.cumsum(np.isin(x.names, known))]
-        starts.append(x.windows[is_known[x.b] - is_known[x.a] == x.b - x.a])
+    starts = [x.windows[np.isin(x.names, known)[x.anchor]] for x in anchors(hashed, sizes, window)]
     at = np.sort(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
     row = np.searchsorted(end, at, "right")
     return {
         "_row": row,
         "start": at - (end - sizes)[row],
         "k1": window_names(hashed, at, window, 1).view(np.int64),
-        "k2": window_names(hashed, at, window, 2).view(np.int64),
+        "k2": (window_names(hashed, at, window, 2) >> np.uint64(33)).astype(np.int32),
     }
 
 
@@ -138,28 +139,21 @@ def remove_repeats(documents: DataFrame, columns: list[str], window: int = WINDO
         posted.groupBy("name").agg(F.min("_t1").alias("a"), F.max("_t1").alias("b")).where("a < b").select("name"),
         "shared",
     )
-    known = F.broadcast(shared) if small(shared, NAME_BYTES) else shared
     candidates = stored(
-        posted.join(known, "name", "left_semi").groupBy(*key).agg(F.collect_set("name").alias("names")).join(firsts, key),
+        posted.join(_known(shared), "name", "left_semi").groupBy(*key).agg(F.collect_set("name").alias("names")).join(firsts, key),
         "candidates",
     )
-    chosen = candidates.select(*key, "_ord")
-    texts = docs.select(*key, "_ord", "text").join(
-        F.broadcast(chosen) if small(chosen) else chosen, [*key, "_ord"], "left_semi"
-    )
-    texts = stored(
-        texts.dropDuplicates(key).join(candidates.select(*key, "names"), key).select(*key, "_ord", "text", "names"),
-        "texts",
-    )
+    # A row that the table holds twice comes twice from here; sets and smallest ids do not mind.
+    texts = stored(docs.select(*key, "_ord", "text").join(_known(candidates), [*key, "_ord"]), "texts")
 
     rows = map_chunks(
         texts, [*key, "_ord"], ["text", "names"], lambda text, names: _windows(text, names, window),
-        "start long, k1 long, k2 long",
+        "start int, k1 long, k2 int",
     )
     first = rows.groupBy("k1", "k2").agg(F.min("_ord").alias("low"), F.max("_ord").alias("high")).where("low < high")
     repeats = rows.join(first.select("k1", "k2", "low"), ["k1", "k2"]).where("low < _ord")
-    starts = repeats.groupBy(*key).agg(F.collect_list(F.col("start").cast("int")).alias("starts"))
-    changed = texts.select(*key, "text").join(starts, key)
+    starts = stored(repeats.groupBy(*key).agg(F.collect_set("start").alias("starts")), "starts")
+    changed = texts.select(*key, "text").join(_known(starts), key)
     cut = map_chunks(
         changed, key, ["text", "starts"], lambda text, starts: _cut(text, starts, window),
         "removed long, spans array<struct<start:int,end:int>>, kept_sha256 string",
