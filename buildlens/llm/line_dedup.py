@@ -6,10 +6,12 @@ goes if an earlier line matches it, judged on the input.
 
 Lines of equal sets are one class from the start, so repeated lines cost one row each. Then:
 
-1. Prefix filter in hash order. Two matching sets share a token among their first
-   n - ceil(t n) + 1. Classes without such a shared token are done; that is nearly all text.
-2. Rarity. The others' tokens are counted, and each class is ordered by rarity anew. Tokens
-   that no other class has come first and use up the prefix without any join.
+1. Prefix filter in hash order. Two matching sets of n tokens share one of their first
+   p = n - ceil(t n) + 1, and k of their first p + k - 1. The tokens of such prefixes are counted
+   (folded to few bits: a chance hit only lets a class pass); classes with fewer than k tokens
+   that occur elsewhere are done. That is nearly all text.
+2. Rarity. The tokens of the classes that are left are counted, and each class is ordered anew,
+   frequent tokens last; its first p tokens are what it is joined by.
 3. Join. Classes that share a prefix token are compared under the length and positional
    bounds, and their Jaccard similarity is verified on whole sets. A class needs one earlier match
    only, so it meets the earliest few classes of each token first; only those still without a
@@ -25,12 +27,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import small, stored
+from buildlens.llm.common import SPACES, small, stored
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 # Earlier classes that a class meets in the first round, and the growth of that number.
 FIRST_BLOCK, GROWTH = 4, 8
+# Tokens of more classes than this are frequent: their number decides their place in the order.
+FREQUENT = 8
+# Prefix tokens are folded to 32 bits for counting while the input is smaller than this, else to 64.
+FOLD_BYTES = 64 << 30
 # Keys and tokens are broadcast while their stored tables are smaller than this.
 KEY_BYTES = 24 << 20
 LAST = (1 << 63) - 1
@@ -43,7 +49,7 @@ def _known(df: DataFrame) -> DataFrame:
 
 def _tokens(lines: DataFrame, shingle: int) -> DataFrame:
     """`lines` with the sorted distinct token hashes of `line`."""
-    words = lines.withColumn("_w", F.array_remove(F.split("line", _SPACE), "")).drop("line")
+    words = lines.withColumn("_w", F.split(F.btrim("line", F.lit(SPACES)), _SPACE)).drop("line")
     last = F.greatest(F.size("_w") - shingle, F.lit(0))
     hashes = F.transform(
         F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(shingle)])
@@ -57,6 +63,11 @@ def _prefix_size(n, percent: int):
     return F.when(n * (100 - percent) >= percent, n - need + 1).otherwise(F.lit(0)).cast("int")
 
 
+def _needed(n, percent: int):
+    """k of the first filter: about half of a prefix."""
+    return F.ceil(_prefix_size(n, percent) / 2).cast("int")
+
+
 def _lines(documents: DataFrame) -> DataFrame:
     """Every line with a word: its place (doc, t1, no) in the corpus order, and its text."""
     return (
@@ -71,6 +82,13 @@ def _placed(documents: DataFrame) -> DataFrame:
     )
 
 
+def _folded(tokens):
+    return F.transform(tokens, lambda t: F.shiftrightunsigned(t, 33).cast("int"))
+
+
+_PLACE = ("doc", "t1", "no")
+
+
 def repeated_lines(documents: DataFrame, shingle: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc, t1, no): the lines (numbered from 0) that an earlier line matches.
 
@@ -78,66 +96,70 @@ def repeated_lines(documents: DataFrame, shingle: int = SHINGLE_WORDS, percent:
     ordered by doc, t1 and number; equal rows have equal places and never remove each other's lines.
     """
     texts = _placed(documents).select("doc", "t1", "text")
-    parsed = _tokens(_lines(texts), shingle)
-    n = F.size("tokens")
+    narrow = small(documents, FOLD_BYTES)
+    n, parsed = F.size("tokens"), _tokens(_lines(texts), shingle)
+    long_prefix = F.slice("tokens", 1, F.greatest(_prefix_size(n, percent) + _needed(n, percent) - 1, F.lit(0)))
     lines = stored(
         parsed.select(
-            "doc", "t1", "no", F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit("set"), "tokens").alias("s2"),
-            F.slice("tokens", 1, F.greatest(_prefix_size(n, percent), F.lit(1))).alias("prefix"),
-            (_prefix_size(n, percent) > 0).alias("joins"),
+            *_PLACE, F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit("set"), "tokens").alias("s2"),
+            _needed(n, percent).alias("k"), (_folded(long_prefix) if narrow else long_prefix).alias("prefix"),
         ),
         "lines",
     )
-    place = F.struct("doc", "t1", "no")
-    classes = stored(lines.groupBy("s1", "s2").agg(F.min(place).alias("first")), "classes")
-    near = _near_classes(texts, lines, classes, shingle, percent)
+    # Classes of several places; every other line is the only one of its class.
+    again = stored(lines.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2"), "repeated-classes")
+    several = stored(
+        lines.select(*_PLACE, "s1", "s2").join(_known(again), ["s1", "s2"])
+        .groupBy("s1", "s2").agg(F.min(F.struct(*_PLACE)).alias("first")), "classes",
+    )
+    firsts = lines.where("k > 0").join(_known(several), ["s1", "s2"], "left").where(
+        F.col("first").isNull() | (F.col("first") == F.struct(*_PLACE))
+    ).select(*_PLACE, "k", "prefix")
+    near = _near_classes(texts, firsts, shingle, percent)
 
-    later = lines.select("doc", "t1", "no", "s1", "s2").join(
-        classes.join(near.select("s1", "s2", F.lit(True).alias("near")), ["s1", "s2"], "left"), ["s1", "s2"]
+    later = lines.select(*_PLACE, "s1", "s2").join(_known(several), ["s1", "s2"], "left").join(
+        _known(near).withColumn("near", F.lit(True)), ["s1", "s2"], "left"
     )
-    return later.where(F.col("near") | (place > F.col("first"))).select("doc", "t1", "no").distinct()
+    return later.where(F.col("near") | (F.struct(*_PLACE) > F.col("first"))).select(*_PLACE).distinct()
 
 
-def _near_classes(texts: DataFrame, lines: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _near_classes(texts: DataFrame, firsts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(s1, s2) of the classes that match a class with an earlier first line."""
-    # 1. Classes that share a token of their prefix in hash order.
-    firsts = lines.where("joins").join(
-        classes.select(F.col("first.doc").alias("doc"), F.col("first.t1").alias("t1"), F.col("first.no").alias("no"), "s1", "s2"),
-        ["doc", "t1", "no", "s1", "s2"], "left_semi",
+    # 1. Classes with enough prefix tokens that other classes have too.
+    posted = firsts.select(*_PLACE, "k", F.explode("prefix").alias("token"))
+    met = stored(posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "met")
+    meeting = stored(
+        posted.join(_known(met), "token", "left_semi").groupBy(*_PLACE, "k").agg(F.count("*").alias("n"))
+        .where("n >= k").select(*_PLACE), "meeting",
     )
-    firsts = stored(firsts.select("t1", "no", "s1", "s2", "prefix"), "firsts")
-    posted = firsts.select("t1", "no", "s1", F.explode("prefix").alias("token"))
-    met = stored(
-        posted.groupBy("token").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a < b").select("token"), "met"
+
+    # 2. Their whole sets, frequent tokens last. A row that the table holds twice gives its class
+    # twice; the places below are sets, so that changes nothing.
+    wanted = _tokens(_lines(texts).join(_known(meeting), list(_PLACE), "left_semi"), shingle)
+    sets = stored(
+        wanted.select(
+            F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit("set"), "tokens").alias("s2"),
+            F.struct(*_PLACE).alias("first"), F.size("tokens").alias("n"), "tokens",
+        ),
+        "sets",
     )
-    meeting = stored(posted.join(_known(met), "token", "left_semi").select("t1", "no").distinct(), "meeting")
-
-    # 2. Their whole sets, ordered by rarity among themselves.
-    wanted = _lines(texts).join(_known(meeting), ["t1", "no"], "left_semi")
-    sets = (
-        _tokens(wanted, shingle)
-        .withColumns({"s1": F.xxhash64("tokens"), "s2": F.xxhash64(F.lit("set"), "tokens")})
-        .join(classes, ["s1", "s2"])
-        .where(F.struct("doc", "t1", "no") == F.col("first"))
-        .select("s1", "s2", "first", F.size("tokens").alias("n"), "tokens")
+    frequent = stored(
+        sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        .where(F.col("df") > FREQUENT), "frequent",
     )
-    sets = stored(sets.dropDuplicates(["s1", "s2"]), "sets")
-    held = sets.select("s1", "s2", "n", F.explode("tokens").alias("token"))
-    shared = stored(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
-    ordered = (
-        held.join(_known(shared), "token")
-        .groupBy("s1", "s2", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    spread = sets.repartition("s1", "s2").select("s1", "s2", "first", "n", F.explode("tokens").alias("token"))
+    ranked = (
+        spread.join(_known(frequent), "token", "left")
+        .groupBy("s1", "s2", "first", "n")
+        .agg(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("order"))
     )
-    alone = F.col("n") - F.size("order")  # tokens of no other class stand before all shared ones
-    prefix = F.slice("order", 1, F.greatest(_prefix_size(F.col("n"), percent) - alone, F.lit(0)))
-    posts = (
-        ordered.select("s1", "s2", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "o"))
-        .select("s1", "s2", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("o.token").alias("token"))
-        .join(sets.select("s1", "s2", "first"), ["s1", "s2"])
+    prefix = F.slice(F.sort_array("order"), 1, _prefix_size(F.col("n"), percent))
+    posts = ranked.select("s1", "s2", "first", "n", F.posexplode(prefix).alias("at", "o")).select(
+        "s1", "s2", "first", "n", "at", F.col("o.token").alias("token")
     )
-    posts = stored(posts, "posts")
-    sizes = stored(posts.groupBy("token").agg(F.count("*").alias("size")), "token-sizes")
+    posts = stored(posts, "prefixes")
+    sizes = stored(posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "token-sizes")
+    posts = stored(posts.join(_known(sizes.select("token")), "token", "left_semi"), "posts")
 
     # 3. Blocks of earlier classes, until every class has a match or met all before it.
     by_place = Window.partitionBy("token").orderBy("first", "s1", "s2")
@@ -149,32 +171,36 @@ def _near_classes(texts: DataFrame, lines: DataFrame, classes: DataFrame, shingl
             .select("token", F.col("s1").alias("e1"), F.col("s2").alias("e2"), F.col("n").alias("m"),
                     F.col("at").alias("e_at"), F.col("first").alias("e_first"))
         )
-        n, m = F.col("n"), F.col("m")
-        need = F.ceil((n + m) * percent / (100 + percent))
-        pairs = (
-            open_.join(earlier, "token")
-            .where((F.col("e_first") < F.col("first")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent))
-            .where(F.least(n - F.col("at"), m - F.col("e_at")) >= need)
-            .select("s1", "s2", "e1", "e2")
-            .distinct()
-        )
-        left = sets.select("s1", "s2", F.col("tokens").alias("a"))
-        right = sets.select(F.col("s1").alias("e1"), F.col("s2").alias("e2"), F.col("tokens").alias("b"))
-        same = F.size(F.array_intersect("a", "b"))
-        found = (
-            pairs.join(left, ["s1", "s2"]).join(right, ["e1", "e2"])
-            .where(same * 100 >= (F.size("a") + F.size("b") - same) * percent)
-            .select("s1", "s2").distinct()
-        )
-        found = stored(found, "found")
+        found = _verified(open_, stored(earlier, "earlier"), sets, percent)
         near = found if near is None else stored(near.unionByName(found), "near")
         rest = sizes.where(F.col("size") > top).select("token")
-        open_ = stored(open_.join(rest, "token", "left_semi").join(found, ["s1", "s2"], "left_anti"), "open")
+        open_ = stored(
+            open_.join(_known(rest), "token", "left_semi").join(_known(found), ["s1", "s2"], "left_anti"), "open"
+        )
         if open_.isEmpty():
             return near
         done, block = top, block * GROWTH
 
 
+def _verified(open_: DataFrame, earlier: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2) of the open classes that match one of the earlier classes of a common token."""
+    n, m = F.col("n"), F.col("m")
+    need = F.ceil((n + m) * percent / (100 + percent))
+    pairs = stored(
+        open_.join(_known(earlier), "token")
+        .where((F.col("e_first") < F.col("first")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent))
+        .where(F.least(n - F.col("at"), m - F.col("e_at")) >= need)
+        .select("s1", "s2", "e1", "e2")
+        .distinct(),
+        "pairs",
+    )
+    left = stored(sets.select("s1", "s2", F.col("tokens").alias("a")).join(_known(pairs), ["s1", "s2"]), "left-sets")
+    right = sets.select(F.col("s1").alias("e1"), F.col("s2").alias("e2"), F.col("tokens").alias("b"))
+    same = F.size(F.array_intersect("a", "b"))
+    found = right.join(_known(left), ["e1", "e2"]).where(same * 100 >= (F.size("a") + F.size("b") - same) * percent)
+    return stored(found.select("s1", "s2").distinct(), "found")
+
+
 def deduplicate(
     documents: DataFrame, columns: list[str], shingle: int = SHINGLE_WORDS, percent: int = PERCENT
 ) -> DataFrame:
