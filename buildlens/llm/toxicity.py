@@ -7,9 +7,9 @@ features; a feature's value is its number in the text times its ratio. One more
 text's length, stands for what long texts hold by chance. A logistic regression with an L2
 penalty learns the weights by Newton steps.
 
-Ratios count every training text, in Spark; the counts of a bucket are one row, so 2^`bits`
-rows reach the driver whatever the corpus. The regression reads a bounded sample of training
-texts (`fit_rows`, chosen by a hash of doc_id), of which only kept features are gathered.
+Training uses at most FIT_LABELS labelled texts, chosen by a hash of doc_id. Spark counts the
+buckets over all of them, and the counts of frequent buckets reach the driver. The regression
+reads a sample of those texts (`fit_rows`), of which only the features are gathered.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import map_chunks, stored
+from buildlens.llm.common import map_chunks, smallest, stored
 
-BITS = 20
+BITS = 18
 SIZES = (5, 6, 7)
 SMOOTHING = 1.0
 # A feature's shares of toxic and other texts differ by so many standard errors at least.
@@ -32,6 +33,8 @@ LEAST_Z = 6.0
 LEAST_SHARE = 0.01
 LEAST_TEXTS = 5
 MAX_FEATURES = 512
+# Labels used at most; of their texts so many take part in the regression.
+FIT_LABELS = 100_000
 FIT_ROWS = 20_000
 PENALTY = 1e-4
 STEPS = 15
@@ -95,7 +98,10 @@ class Model:
 
 
 def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of texts of label 1 and 0 by bucket, and in all; `rows` has text and label."""
+    """Numbers of texts of label 1 and 0 by bucket (zero for rare buckets), and in all.
+
+    `rows` has text and label.
+    """
 
     def count(batches):
         total = np.zeros((2, 1 << BITS), np.int64)
@@ -110,18 +116,19 @@ def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 texts += np.bincount(label, minlength=2)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[at, -1]), pa.array(np.r_[total[1][at], texts[1]]), pa.array(np.r_[total[0][at], texts[0]])],
+            [pa.array(np.r_[v, w], pa.int32()) for v, w in ((at, -1), (total[1][at], texts[1]), (total[0][at], texts[0]))],
             names=["bucket", "p", "q"],
         )
 
-    parts = rows.select("text", F.col("label").cast("int")).mapInArrow(count, "bucket long, p long, q long")
-    found = parts.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toPandas()  # 2^BITS rows at most
-    p, q, n = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(2)
-    for b, x, y in found.itertuples(index=False):
-        if b < 0:
-            n[:] = x, y
-        else:
-            p[b], q[b] = x, y
+    parts = rows.select("text", F.col("label").cast("int")).mapInArrow(count, "bucket int, p int, q int")
+    sums = stored(parts.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "buckets")
+    total = sums.where("bucket = -1").first()
+    n = np.array([total["p"], total["q"]] if total else [0, 0], float)
+    enough = (F.col("p") >= float(LEAST_SHARE * n[0])) | (F.col("q") >= float(LEAST_SHARE * n[1]))
+    found = sums.where("bucket >= 0").where(enough & (F.col("p") + F.col("q") >= LEAST_TEXTS)).toArrow()  # 2^BITS rows at most
+    p, q = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    at = found["bucket"].to_numpy()
+    p[at], q[at] = found["p"].to_numpy(), found["q"].to_numpy()
     return p, q, n
 
 
@@ -166,17 +173,18 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     seen = map_chunks(
         sample, ["label"], ["text"], active, "length double, feature array<int>, number array<int>"
-    ).toPandas()
-    if not seen["label"].nunique() == 2:
+    ).toArrow().combine_chunks()
+    label = seen["label"].to_numpy()
+    if len(set(label)) < 2:
         return none
     at = np.flatnonzero(mask)
-    x = np.zeros((len(seen), len(at) + 1), np.float32)
-    row = np.repeat(np.arange(len(seen)), seen["feature"].map(len))
-    feature = np.concatenate(seen["feature"].to_numpy()).astype(np.int64)
-    x[row, feature] = np.concatenate(seen["number"].to_numpy()) * ratio[at][feature]
-    x[:, -1] = seen["length"]
-    w, bias = _regression(x, seen["label"].to_numpy())
-    weight = np.zeros(1 << BITS)
+    x = np.zeros((len(label), len(at) + 1), np.float32)
+    row = np.repeat(np.arange(len(label)), pc.list_value_length(seen["feature"]).to_numpy())
+    feature = pc.list_flatten(seen["feature"]).to_numpy()
+    x[row, feature] = pc.list_flatten(seen["number"]).to_numpy() * ratio[at][feature]
+    x[:, -1] = seen["length"].to_numpy()
+    w, bias = _regression(x, label)
+    weight = np.zeros(1 << BITS, np.float32)
     weight[at] = w[:-1] * ratio[at]
     return Model(mask, weight, float(w[-1]), bias)
 
@@ -223,26 +231,33 @@ def held_out() -> "F.Column":
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the rows to learn from; a doc_id with labels 0 and 1 teaches neither."""
+def labelled(documents: DataFrame, labels: DataFrame, label: str, fit_labels: int = FIT_LABELS) -> DataFrame:
+    """(doc_id, text, label) of the rows to learn from.
+
+    At most `fit_labels` labels are used, those with the smallest hashes, so they can be sent to
+    every task. A doc_id with both labels teaches neither; of equal texts of one label, whose
+    copies would count one opinion many times, the smallest doc_id stays.
+    """
     known = (
         labels.where(f"doc_id is not null and {label} in (0, 1)")
         .groupBy("doc_id")
-        .agg(F.min(label).alias("label"), F.max(label).alias("_most"))
+        .agg(F.min(label).cast("int").alias("label"), F.max(label).alias("_most"))
         .where("label = _most")
         .select("doc_id", "label")
         .where(~held_out())
+        .withColumn("h", F.xxhash64(F.lit("label"), "doc_id"))
     )
-    rows = documents.select("doc_id", "text").join(known, "doc_id")
-    # Copies of a text would count one opinion many times: one row of each text and label stays.
-    key = [F.xxhash64("text", "label"), F.xxhash64(F.lit("text"), "text")]
-    return rows.withColumns({"_t1": key[0], "_t2": key[1]}).dropDuplicates(["_t1", "_t2"]).drop("_t1", "_t2")
+    known = smallest(stored(known, "all-labels"), "h", fit_labels).drop("h")
+    keyed = documents.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2"))
+    one = keyed.join(F.broadcast(stored(known, "labels")), "doc_id").groupBy("t1", "t2", "label").agg(F.min("doc_id").alias("doc_id"))
+    chosen = stored(one.select("doc_id", "label").distinct(), "chosen-labels")
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def toxicity(
     documents: DataFrame, labels: DataFrame, columns: list[str], threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS
 ) -> DataFrame:
     """`columns` of every row, held_out, score and predicted, by a model of the labelled rows."""
-    model = fit(stored(labelled(documents, labels, "toxic"), "toxic-rows"), fit_rows)
+    model = fit(labelled(documents, labels, "toxic"), fit_rows)
     scored = score(documents.withColumn("held_out", held_out()), [*columns, "held_out"], model)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
