@@ -31,9 +31,7 @@ def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a) * _B + b)
 
 
-# The level whose symbols name a window: at least half of them within this share of its words.
-WIDE = 0.65
-# Symbols in a row that make an anchor: three of them nearly fill a window.
+# Symbols in a row that make an anchor: on the highest level that has so many in a window, they nearly fill it.
 SEQUENCE = 3
 
 
@@ -111,11 +109,12 @@ class Anchored:
 def anchors(words: np.ndarray, sizes: np.ndarray, window: int) -> list[Anchored]:
     """An anchor for every window: a sequence of symbols that lie, with their bounds, inside it.
 
-    `words` holds the hashed words of several texts of `sizes`. The level is the last one whose
-    symbols are well narrower than a window, or for a window without any there the highest with
-    one; words settle themselves, so every window has some. Of the sequences of up to SEQUENCE
-    neighbouring symbols in a window, the one with the smallest name is the anchor. All of this
-    depends on the window's words alone: equal windows have anchors of equal names.
+    `words` holds the hashed words of several texts of `sizes`. A window's level is the highest
+    one with SEQUENCE symbols inside it, or without such a level the highest with one; words
+    settle themselves, so every window has some. Of the rows of SEQUENCE neighbouring symbols in
+    a window (of all its symbols, if they are fewer), the one with the smallest name is the
+    anchor. All of this depends on the window's words alone, not on the texts beside it: equal
+    windows have anchors of equal names in every call.
     """
     n = len(words)
     end = np.cumsum(sizes)
@@ -124,34 +123,43 @@ def anchors(words: np.ndarray, sizes: np.ndarray, window: int) -> list[Anchored]
     full = sizes > 0
     first[start[full]] = True
     last[end[full] - 1] = True
+    before, behind = start[full] - 1, end[full] + 1
     open_ = np.flatnonzero(np.arange(n) + window <= np.repeat(end, sizes))
     levels = [first_level(words)]
-    if len(open_):
-        while levels[-1].low.size > 1:
-            level, first, last = next_level(levels[-1], first, last, len(levels))
-            if (level.high - level.low <= WIDE * window).mean() < 0.5:
-                break
-            levels.append(level)
-    out = []
-    for depth in range(len(levels) - 1, -1, -1):
-        if not len(open_):
+    while len(open_):
+        level, first, last = next_level(levels[-1], first, last, len(levels))
+        # One word past the edge is outside every window; bounds stay sorted over all texts.
+        text = np.cumsum(first) - 1
+        level = Level(level.name, np.maximum(level.low, before[text]), np.minimum(level.high, behind[text]))
+        a, b = _inside(level, open_, window)
+        if not (b > a).any():
             break
-        level = levels[depth]
-        a = np.searchsorted(level.low, open_, "left")
-        b = np.searchsorted(level.high, open_ + window, "right")
-        size = np.minimum(b - a, SEQUENCE)
-        name = mix(level.name ^ np.uint64(depth))
-        for q in range(1, SEQUENCE + 1):
-            if q > 1:  # the name of the q symbols from each one on
-                name = join(name[:-1], level.name[q - 1 :])
-            of = size == q
-            if of.any():
-                used, number = np.unique(_least(name, a[of], b[of] - q + 1), return_inverse=True)
-                out.append(Anchored(name[used], level.low[used], open_[of], number))
-        open_ = open_[size < 1]
+        levels.append(level)
+    out = []
+    for least in (SEQUENCE, 1):
+        for depth in range(len(levels) - 1, -1, -1):
+            if not len(open_):
+                break
+            level = levels[depth]
+            a, b = _inside(level, open_, window)
+            size = np.minimum(b - a, SEQUENCE)
+            name = mix(level.name ^ np.uint64(depth))
+            for q in range(1, SEQUENCE + 1):
+                if q > 1:  # the name of the q symbols from each one on
+                    name = join(name[:-1], level.name[q - 1 :])
+                of = size == q
+                if q >= least and of.any():
+                    used, number = np.unique(_least(name, a[of], b[of] - q + 1), return_inverse=True)
+                    out.append(Anchored(name[used], level.low[used], open_[of], number))
+            open_ = open_[size < least]
     return out
 
 
+def _inside(level: Level, open_: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols [a, b) that lie, with their bounds, in each window."""
+    return np.searchsorted(level.low, open_, "left"), np.searchsorted(level.high, open_ + window, "right")
+
+
 def _least(value: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Place of the smallest value in each range [a, b), the leftmost of equal ones."""
     best = np.arange(len(value))

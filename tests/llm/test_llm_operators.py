@@ -119,6 +119,27 @@ def test_equal_windows_have_equal_anchors(window):
     assert seen == sum(max(0, n - window + 1) for n in sizes) and ends[-1] == len(words)
 
 
+@pytest.mark.parametrize("window", [2, 8, 50])
+def test_anchors_do_not_depend_on_the_texts_beside_them(window):
+    rng = np.random.default_rng(window)
+    draw = lambda n: recompress.mix(rng.integers(0, 1000, n).astype(np.uint64))
+    text = draw(600)
+
+    def named(parts):
+        sizes = np.array([len(p) for p in parts])
+        at = int(sizes[: next(i for i, p in enumerate(parts) if p is text)].sum())
+        got = {}
+        for x in recompress.anchors(np.concatenate(parts), sizes, window):
+            got |= {int(w) - at: x.names[k] for w, k in zip(x.windows, x.anchor) if at <= w < at + len(text)}
+        return got
+
+    alone = named([text])
+    assert len(alone) == len(text) - window + 1
+    short = [draw(8) for _ in range(4000)]
+    assert named([*short[:2000], text, *short[2000:]]) == alone
+    assert named([draw(5000), text, draw(20), draw(3000)]) == alone
+
+
 def test_line_dedup(spark, documents, rows, nothing):
     got = by_row(line_dedup.deduplicate(documents, ["row", "words"]))
     # Rows in the operator's order; equal rows share a place, so the first of them stands for all.
