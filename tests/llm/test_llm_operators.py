@@ -218,3 +218,29 @@ def test_personal_data_learns_looser_writing():
     trees = pii.boost(np.array(x[:400]), np.array(y[:400], float))
     right = (trees.probability(np.array(x[400:])) > 0.5) == np.array(y[400:], bool)
     assert right.mean() > 0.95
+
+
+def test_personal_data_of_a_rare_kind_beside_a_hot_source(spark):
+    rng = np.random.default_rng(4)
+
+    def address(good):
+        parts = rng.integers(1, 250, 4)
+        parts[1] += 0 if good else 300
+        return ".".join(map(str, parts))
+
+    rows = [f"the host {address(i % 2)} answers" for i in range(200)]
+    loose = "the host 10[.]20[.]30[.]40 answers"
+    hot = [" ".join(f"mail {n}x{i}@site{i % 7}.example.com now" for n in range(20)) for i in range(1500)]
+    found = {}
+    for name, texts in (("alone", [*rows, loose]), ("hot", [*rows, loose, *hot])):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        model = pii.fit(df, 1000)
+        found[name] = model.extra([loose], [[]])[0]
+        assert model.thresholds[1] <= 1
+    assert found["hot"] == found["alone"] == [(1, 9, 26)]
+
+
+def test_sample_draws_small_groups_whole():
+    assert pii.quotas({"a": 5, "b": 1000, "c": 70}, 150) == {"a": 5, "c": 70, "b": 75}
+    assert pii.quotas({"a": 5, "b": 6}, 150) == {"a": 5, "b": 6}
+    assert sum(pii.quotas({k: 10**6 for k in range(7)}, 20_000).values()) == 20_000
