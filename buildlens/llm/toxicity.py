@@ -2,14 +2,14 @@
 
 A text's character n-grams (UTF-8 bytes, A-Z lower-cased) are hashed into 2^`BITS` buckets.
 The ratio of a bucket is log((p + a) / (P + a)) - log((q + a) / (Q + a)), where p of P toxic
-and q of Q other training texts hold it. The buckets that tell the classes apart best are the
-features; a feature's value is its number in the text times its ratio. One more feature, the
-text's length, stands for what long texts hold by chance. A logistic regression with an L2
-penalty learns the weights by Newton steps.
+and q of Q other training texts hold it. Every bucket that LEAST_TEXTS training texts hold is a feature; its
+value is its number in the text times its ratio. One more feature, the text's length, stands for
+what long texts hold by chance. A logistic regression with an L2 penalty learns the weights.
 
 Training uses at most FIT_LABELS labelled texts, chosen by a hash of doc_id. Spark counts the
-buckets over all of them, and the counts of frequent buckets reach the driver. The regression
-reads a sample of those texts (`fit_rows`), of which only the features are gathered.
+buckets over all of them, and the counts reach the driver. The regression reads a sample of
+those texts (`fit_rows`): their buckets are stored, and each L-BFGS step sums the gradient
+over them in Spark, so the driver holds a few vectors of 2^`BITS` numbers and no texts.
 """
 
 from __future__ import annotations
@@ -18,26 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import map_chunks, smallest, stored
+from buildlens.llm.common import map_chunks, pieces, smallest, stored
 
 BITS = 18
 SIZES = (5, 6, 7)
 SMOOTHING = 1.0
-# A feature's shares of toxic and other texts differ by so many standard errors at least.
-LEAST_Z = 6.0
-# It stands in this share of the texts of the class that it speaks for, and in so many texts.
-LEAST_SHARE = 0.01
+# A feature stands in so many training texts.
 LEAST_TEXTS = 5
-MAX_FEATURES = 512
 # Labels used at most; of their texts so many take part in the regression.
 FIT_LABELS = 100_000
 FIT_ROWS = 20_000
 PENALTY = 1e-4
-STEPS = 15
+# L-BFGS: steps at most, the steps remembered, the least gain of a step, and tasks of a pass.
+STEPS, MEMORY, LEAST_GAIN, PASS_TASKS = 40, 8, 1e-6, 32
 THRESHOLD = 0.7
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -68,12 +64,9 @@ def grams(texts: list, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> tupl
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
-def counts(texts: list, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, number) for each bucket a text holds; `keep` masks the buckets that count."""
+def counts(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, number) for each bucket a text holds."""
     bucket, owner = grams(texts)
-    if keep is not None:
-        wanted = keep[bucket]
-        bucket, owner = bucket[wanted], owner[wanted]
     both, number = np.unique((owner << BITS) | bucket, return_counts=True)
     return both >> BITS, both & ((1 << BITS) - 1), number
 
@@ -85,20 +78,45 @@ def lengths(texts: list) -> np.ndarray:
 
 @dataclass
 class Model:
-    mask: np.ndarray  # buckets that are features
     weight: np.ndarray  # by bucket: regression weight times ratio
     per_length: float
     bias: float
 
     def score(self, texts: list) -> np.ndarray:
         """Probability of the toxic class for whole texts; an empty text has no feature."""
-        row, bucket, number = counts(texts, self.mask)
-        total = np.bincount(row, self.weight[bucket] * number, minlength=len(texts))
+        bucket, owner = grams(texts)
+        total = np.bincount(owner, self.weight[bucket], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(total + lengths(texts) * self.per_length + self.bias, -30, 30)))
 
 
+def packed(texts: list, keep: np.ndarray) -> pa.BinaryArray:
+    """The n-grams of each text in the buckets that `keep` masks, as bytes: buckets in order, repeats
+    included, as the gap to the one before (the first to 0), where a byte 255 goes on with the next one."""
+    bucket, owner = grams(texts)
+    wanted = keep[bucket]
+    both = np.sort((owner[wanted] << BITS) | bucket[wanted])
+    owner, bucket = both >> BITS, both & ((1 << BITS) - 1)
+    gap = bucket.copy()
+    gap[1:] -= np.where(owner[1:] == owner[:-1], bucket[:-1], 0)
+    used = gap // 255 + 1
+    out = np.full(int(used.sum()), 255, np.uint8)
+    out[np.cumsum(used) - 1] = gap % 255
+    ends = np.r_[0, np.cumsum(np.bincount(owner, used, len(texts)))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+
+
+def unpacked(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram and the text it stands in."""
+    data = np.frombuffer(b"".join(values), np.uint8)
+    owner = np.repeat(np.arange(len(values)), np.fromiter(map(len, values), np.int64, len(values)))
+    total = np.r_[0, np.cumsum(data, dtype=np.int64)]
+    start = np.searchsorted(owner, np.arange(len(values)))
+    last = np.flatnonzero(data != 255)
+    return total[last + 1] - total[start][owner[last]], owner[last]
+
+
 def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of texts of label 1 and 0 by bucket (zero for rare buckets), and in all.
+    """Numbers of texts of label 1 and 0 by bucket (zero for those in under LEAST_TEXTS), and in all.
 
     `rows` has text and label.
     """
@@ -124,8 +142,7 @@ def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = stored(parts.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")), "buckets")
     total = sums.where("bucket = -1").first()
     n = np.array([total["p"], total["q"]] if total else [0, 0], float)
-    enough = (F.col("p") >= float(LEAST_SHARE * n[0])) | (F.col("q") >= float(LEAST_SHARE * n[1]))
-    found = sums.where("bucket >= 0").where(enough & (F.col("p") + F.col("q") >= LEAST_TEXTS)).toArrow()  # 2^BITS rows at most
+    found = sums.where("bucket >= 0").where(F.col("p") + F.col("q") >= LEAST_TEXTS).toArrow()  # 2^BITS rows at most
     p, q = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     at = found["bucket"].to_numpy()
     p[at], q[at] = found["p"].to_numpy(), found["q"].to_numpy()
@@ -140,84 +157,80 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     p, q, n = bucket_counts(rows)
     share = (n[0] + 0.5) / (n.sum() + 1)
     zero = np.zeros(1 << BITS)
-    none = Model(zero > 0, zero, 0.0, float(np.log(share / (1 - share))))
+    none = Model(zero, 0.0, float(np.log(share / (1 - share))))
     if not n.all():
         return none
     ratio = np.log((p + SMOOTHING) / (n[0] + SMOOTHING)) - np.log((q + SMOOTHING) / (n[1] + SMOOTHING))
-    pooled = (p + q) / n.sum()
-    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n[0] + 1 / n[1]))
-    strength = np.abs(p / n[0] - q / n[1]) / error
-    own = np.where(ratio > 0, p / n[0], q / n[1])
-    strength[(strength < LEAST_Z) | (own < LEAST_SHARE) | (p + q < LEAST_TEXTS)] = 0
-    kept = np.argsort(-strength, kind="stable")[:MAX_FEATURES]
-    kept = kept[strength[kept] > 0]
-    if not len(kept):
+    mask = p + q >= LEAST_TEXTS
+    if not mask.any():
         return none
-    mask = np.zeros(1 << BITS, bool)
-    mask[kept] = True
+    ratio = np.where(mask, ratio, 0.0)
     part = min(1.0, fit_rows / n.sum())
     sample = rows.where(
         F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))
     )
 
-    place = np.cumsum(mask) - 1
-
     def active(texts: list) -> dict[str, object]:
-        row, bucket, number = counts(texts, mask)
-        ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))], pa.int32())
-        return {
-            "length": lengths(texts),
-            "feature": pa.ListArray.from_arrays(ends, pa.array(place[bucket].astype(np.int32))),
-            "number": pa.ListArray.from_arrays(ends, pa.array(number.astype(np.int32))),
-        }
-
-    seen = map_chunks(
-        sample, ["label"], ["text"], active, "length double, feature array<int>, number array<int>"
-    ).toArrow().combine_chunks()
-    label = seen["label"].to_numpy()
-    if len(set(label)) < 2:
+        return {"length": lengths(texts), "grams": packed(texts, mask)}
+
+    seen = stored(map_chunks(sample, ["label"], ["text"], active, "length double, grams binary"), "grams")
+    rows_of = dict(seen.groupBy("label").count().collect())  # two rows
+    if len(rows_of) < 2:
         return none
-    at = np.flatnonzero(mask)
-    x = np.zeros((len(label), len(at) + 1), np.float32)
-    row = np.repeat(np.arange(len(label)), pc.list_value_length(seen["feature"]).to_numpy())
-    feature = pc.list_flatten(seen["feature"]).to_numpy()
-    x[row, feature] = pc.list_flatten(seen["number"]).to_numpy() * ratio[at][feature]
-    x[:, -1] = seen["length"].to_numpy()
-    w, bias = _regression(x, label)
-    weight = np.zeros(1 << BITS, np.float32)
-    weight[at] = w[:-1] * ratio[at]
-    return Model(mask, weight, float(w[-1]), bias)
-
-
-def _regression(x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-penalised logistic regression, by damped Newton steps."""
-    n, d = x.shape
-    w, bias = np.zeros(d), 0.0
-
-    def loss(w, bias):
-        z = x @ w + bias
-        return np.mean(np.logaddexp(0, z) - label * z) + PENALTY / 2 * w @ w
-
-    now = loss(w, bias)
+    w = _least(lambda w: _loss(seen, sum(rows_of.values()), ratio, w), np.zeros((1 << BITS) + 2))
+    return Model((w[:-2] * ratio).astype(np.float32), float(w[-2]), float(w[-1]))
+
+
+def _loss(seen: DataFrame, n: int, ratio: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """L2-penalised logistic loss of the weights (buckets, length, bias) over stored rows, and its gradient."""
+    size = len(ratio)
+    shared = seen.sparkSession.sparkContext.broadcast(np.r_[w[:size] * ratio, w[size:]])
+
+    def over(batches):
+        weight, total = shared.value, np.zeros(size + 3)
+        for batch in batches:
+            for piece in pieces(batch, 2):
+                label, length = (piece.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+                bucket, owner = unpacked(piece.column(2).to_pylist())
+                z = np.bincount(owner, weight[bucket], len(label)) + length * weight[size] + weight[size + 1]
+                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
+                total[:size] += np.bincount(bucket, error[owner], size)
+                total[size:] += error @ length, error.sum(), (np.logaddexp(0, z) - label * z).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    parts = seen.select("label", "length", "grams").coalesce(PASS_TASKS).mapInArrow(over, "total binary").collect()  # PASS_TASKS vectors at most
+    total = sum(np.frombuffer(r[0]) for r in parts) / n
+    shared.destroy()
+    gradient = np.r_[total[:size] * ratio, total[size:-1]]
+    gradient[:-1] += PENALTY * w[:-1]
+    return total[-1] + PENALTY / 2 * w[:-1] @ w[:-1], gradient
+
+
+def _least(loss, w: np.ndarray) -> np.ndarray:
+    """The point of least loss, by L-BFGS steps from `w`; `loss` gives the value and the gradient."""
+    now, gradient = loss(w)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
-        error, curve = (p - label) / n, np.maximum(p * (1 - p), 1e-6) / n
-        gradient = np.r_[error @ x + PENALTY * w, error.sum()]
-        bent = (x * curve[:, None].astype(np.float32))
-        hessian = np.empty((d + 1, d + 1))
-        hessian[:d, :d] = bent.T @ x
-        hessian[:d, d] = hessian[d, :d] = bent.sum(axis=0)
-        hessian[d, d] = curve.sum()
-        hessian[np.arange(d), np.arange(d)] += PENALTY
-        hessian[np.arange(d + 1), np.arange(d + 1)] += 1e-9
-        step = np.linalg.solve(hessian, gradient)
+        step, parts = gradient.copy(), []
+        for s, y in reversed(kept):
+            parts.append((s @ step) / (s @ y))
+            step -= parts[-1] * y
+        step *= (kept[-1][0] @ kept[-1][1]) / (kept[-1][1] @ kept[-1][1]) if kept else 1 / max(1.0, np.linalg.norm(gradient))
+        for (s, y), part in zip(kept, reversed(parts)):
+            step += (part - (y @ step) / (s @ y)) * s
         size = 1.0
-        while size > 1e-3 and not (new := loss(w - size * step[:d], bias - size * step[d])) < now:
+        while not (new := loss(w - size * step))[0] <= now - 1e-4 * size * (gradient @ step):
             size /= 2
-        if size <= 1e-3 or now - new < 1e-7:
+            if size < 1e-3:
+                return w
+        s, y = -size * step, new[1] - gradient
+        if s @ y > 1e-12:
+            kept = [*kept, (s, y)][-MEMORY:]
+        gain = now - new[0]
+        w, (now, gradient) = w + s, new
+        if gain < LEAST_GAIN:
             break
-        w, bias, now = w - size * step[:d], bias - size * step[d], new
-    return w, float(bias)
+    return w
 
 
 def score(documents: DataFrame, columns: list[str], model: Model) -> DataFrame:

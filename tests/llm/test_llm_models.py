@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,30 @@ def test_held_out_accuracy(spark, operator, column, least):
     assert right >= least
 
 
+def test_toxicity_of_many_rare_terms(spark):
+    """No term is in one percent of the toxic texts, and there are more than a few dozen of them."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    plain, terms = [word(6) for _ in range(300)], [word(12) for _ in range(150)]
+    rows = [(i, " ".join([*rng.choices(plain, k=20), *([terms[i // 2 % 150]] if i % 2 else []), *rng.choices(plain, k=20)])) for i in range(4800)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    held = toxicity.toxicity(documents, labels, ["doc_id"]).where("held_out").join(labels, "doc_id")
+    shares = {r.toxic: r.share for r in held.groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()}
+    assert shares[1] > 0.95 and shares[0] < 0.05
+
+
+def test_packed_grams_come_back():
+    texts = ["one two three " * 9, "", None, "aaaaaaaaaaaaaaaaaaaa", "x", "é unlike the others"]
+    bucket, owner = toxicity.grams(texts)
+    keep = bucket % 3 > 0
+    mask = np.zeros(1 << toxicity.BITS, bool)
+    mask[bucket[keep]] = True
+    got = toxicity.unpacked(toxicity.packed(texts, mask).to_pylist())
+    assert sorted(zip(*got)) == sorted(zip(bucket[keep], owner[keep]))
+    assert len(toxicity.unpacked([])[0]) == 0
+
+
 def secret_texts():
     rng = random.Random(2)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
