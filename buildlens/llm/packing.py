@@ -49,15 +49,21 @@ def encoder(path: str):
     if path not in _ENCODERS:
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        byte_of = _byte_alphabet()
-        special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        ranks, special = byte_vocabulary(path)
         _ENCODERS[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path]
 
 
+def byte_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(ids of byte strings, ids of special tokens) of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    byte_of = _byte_alphabet()
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    vocabulary = model["model"]["vocab"].items()
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary if token not in special}, special
+
+
 def _byte_alphabet() -> dict[str, int]:
     """Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm import (
-    decontamination, line_dedup, packing, pii, quality_classifier, quality_rules, secrets, simhash, substring_dedup,
-    toxicity,
+    alignment, decontamination, importance, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, secrets,
+    simhash, substring_dedup, toxicity,
 )
 from buildlens.llm.common import table
 
@@ -86,6 +86,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def side_a() -> alignment.Side:
+    return alignment.byte_level(tokenizer_path())
+
+
+def side_b() -> alignment.Side:
+    return alignment.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(table(spark, sf_dir, "documents"), ["doc_id"], side_a, side_b)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 OP4_SQL = r"""
 WITH lines AS MATERIALIZED (
     SELECT row_number() OVER (ORDER BY doc_id, no) AS id, doc_id, no,
@@ -158,14 +178,97 @@ SELECT doc_id, CAST(n_words AS bigint) AS n_words, CAST(coalesce(n_hit, 0) AS bi
 FROM numbered LEFT JOIN words USING (row_id) LEFT JOIN found USING (row_id)
 """
 
+# Rounds as in `mixing`: each takes documents in random order up to the first that does not fit,
+# the next one goes on behind it with those that fit into the smaller gap.
+OP11_SQL = r"""
+WITH RECURSIVE docs AS MATERIALIZED (
+    SELECT doc_id, coalesce('=' || source, '') AS s, source,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS bigint) AS size,
+        CAST('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS varchar), '')), 1, 13) AS bigint) AS h
+    FROM documents),
+sizes AS (
+    SELECT s, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::double WHEN 1 THEN 2 ELSE 1 END AS weight
+    FROM (SELECT s, source, CAST(sum(size) AS bigint) AS source_size FROM docs GROUP BY s, source)),
+filled AS (
+    SELECT *, row_number() OVER w AS k, sum(source_size) OVER () * 1.5::double
+            - coalesce(sum(source_size * 2.0::double) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+        sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+    FROM sizes WINDOW w AS (ORDER BY source_size / weight, s)),
+cut AS (SELECT rest, open FROM filled WHERE source_size * 2.0::double >= weight * rest / open ORDER BY k LIMIT 1),
+goals AS MATERIALIZED (
+    SELECT s, source_size, least(source_size * 2.0::double, rest * weight / open) AS target,
+        CASE WHEN source_size > 0 THEN least(source_size * 2.0::double, rest * weight / open) / source_size ELSE 0 END AS copies
+    FROM sizes, cut),
+line AS MATERIALIZED (
+    SELECT s, size, doc_id, floor(copies) AS whole, copies > floor(copies) AND size > 0 AS drawn,
+        row_number() OVER (PARTITION BY s ORDER BY h, doc_id) AS n
+    FROM docs JOIN goals USING (s)),
+rounds(s, target, gap, first, last, next_gap, more) AS (
+    SELECT s, any_value(g.target), 0::double, 0::bigint, 0::bigint, any_value(g.target) - sum(size * whole), true
+    FROM line JOIN goals g USING (s) GROUP BY s
+    UNION ALL
+    SELECT s, target, gap, first, max(n) FILTER (upto <= gap), gap - max(upto) FILTER (upto <= gap), max(upto) > gap
+    FROM (
+        SELECT r.s, r.target, r.next_gap AS gap, r.last AS first, l.n,
+            sum(l.size) OVER (PARTITION BY r.s ORDER BY l.n) AS upto
+        FROM rounds r JOIN line l ON l.s = r.s AND l.drawn AND l.n > r.last AND l.size <= r.next_gap
+        WHERE r.more AND (r.last = 0 OR r.next_gap > 0.001 * r.target))
+    GROUP BY s, target, gap, first)
+SELECT l.doc_id, l.size, g.source_size, g.target,
+    CAST(l.size * (l.whole + CASE WHEN l.drawn AND EXISTS (
+        SELECT 1 FROM rounds r WHERE r.s = l.s AND l.n > r.first AND l.n <= r.last AND l.size <= r.gap) THEN 1 ELSE 0 END)
+        AS bigint) AS taken
+FROM line l JOIN goals g USING (s)
+"""
+
+# CRC-32 by its table, one byte at a time, over the distinct words.
+OP13_SQL = r"""
+WITH crc AS MATERIALIZED (
+    SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS step),
+cut AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_id, doc_id, w FROM (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents)),
+goal AS MATERIALIZED (
+    SELECT unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS word FROM benchmark),
+held AS MATERIALIZED (SELECT row_id, word, count(*) AS n FROM (SELECT row_id, unnest(w) AS word FROM cut) GROUP BY ALL),
+vocabulary AS MATERIALIZED (
+    SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(word)),
+            lambda i: CAST('0x' || substr(hex(encode(word)), CAST(2 * i + 1 AS bigint), 2) AS bigint))),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT word FROM held UNION SELECT word FROM goal), crc),
+corpus AS (SELECT bucket, sum(n) AS s FROM held JOIN vocabulary USING (word) GROUP BY bucket),
+wanted AS (SELECT bucket, count(*) AS t FROM goal JOIN vocabulary USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM corpus)::double + 10000 AS s_all, (SELECT coalesce(sum(t), 0) FROM wanted)::double + 10000 AS t_all),
+gain AS (
+    SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::double + 1) * s_all / ((s::double + 1) * t_all))) AS bigint) AS gain
+    FROM corpus LEFT JOIN wanted USING (bucket), sums),
+weighed AS (SELECT row_id, sum(n * gain) AS weight FROM held JOIN vocabulary USING (word) JOIN gain USING (bucket) GROUP BY row_id),
+scored AS (
+    SELECT row_id, doc_id, CAST(len(w) AS bigint) AS n_features, CAST(coalesce(weight, 0) AS bigint) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS varchar), '')), 1, 8)
+            AS bigint) + 0.5::double) / 4294967296.0::double))) AS bigint) AS score
+    FROM cut LEFT JOIN weighed USING (row_id)),
+placed AS (
+    SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS place,
+        count(*) FILTER (n_features >= 20) OVER () AS n
+    FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM placed
+"""
+
 _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_simhash, op3_toxicity, op4_line_dedup, op5_quality_rules, op6_substring_dedup,
-        op7_quality_classifier, op8_secret_scan, op9_pii, op10_decontamination,
+        op7_quality_classifier, op8_secret_scan, op9_pii, op10_decontamination, op11_mixing, op12_alignment, op13_importance,
     )
 }
-_SQL = {"op4_line_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+_SQL = {
+    "op4_line_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_mixing": OP11_SQL,
+    "op13_importance": OP13_SQL,
+}
 
 
 def queries() -> dict[str, Query]:
