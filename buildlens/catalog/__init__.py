@@ -5,6 +5,7 @@ from buildlens.catalog import (  # noqa: F401
     coverage,
     deltas,
     functions,
+    inputs,
     publishing,
     roundtrips,
     streams,

@@ -23,6 +23,9 @@ from buildlens.sources.nunit import ingest_nunit
 from buildlens.sources.scan import Artifacts
 from buildlens.sources.tap import ingest_tap
 
+# A reader is told the names of up to so many files.
+NAMED_FILES = 5000
+
 _READERS = {
     registry.TESTS: {
         "cucumber": ingest_cucumber, "gotest": ingest_gotest, "junit": ingest_junit, "nunit": ingest_nunit,
@@ -44,16 +47,21 @@ def _literal_path(path: str) -> str:
 
 
 def _detected_facts(spark: SparkSession, inputs: Artifacts, kind: str, trust_extension: bool):
-    """Each format's reader opens the files of its format, and no others.
+    """Each format's reader gets the files of its format.
 
-    Their names pass through the driver, which lists the files of any read.
+    While they are few, it is told their names. Beyond that no name passes through the driver:
+    it is given the table of its files, which are picked out where the folders are read.
     """
     found = materialize(registry.detect_artifacts(spark, inputs, kind, trust_extension), "formats")
+    numbers = {r["format"]: r["count"] for r in found.groupBy("format").count().collect()}
     parts = []
     for fmt in registry.formats(kind):
-        sources = found.where(F.col("format") == fmt.name).select("source").toLocalIterator()
-        if paths := tuple(_literal_path(r["source"]) for r in sources):
+        files = found.where(F.col("format") == fmt.name).select("source", "size")
+        if 0 < numbers.get(fmt.name, 0) <= NAMED_FILES:
+            paths = tuple(_literal_path(r["source"]) for r in files.collect())
             parts.append(fmt.ingest(spark, replace(inputs, paths=paths)))
+        elif fmt.name in numbers:
+            parts.append(fmt.ingest(spark, replace(inputs, only=files)))
     return found, parts
 
 

@@ -11,7 +11,7 @@ from buildlens.operators.cases import collapse_retries
 from buildlens.schemas import record_seq
 from buildlens.session import materialize
 from buildlens.sources import facts
-from buildlens.sources.scan import Artifacts, scan_documents, source_path
+from buildlens.sources.scan import Artifacts, chosen, scan_documents, source_path
 from buildlens.sources.xmltext import (
     XML_OPTIONS,
     parsed_documents,
@@ -124,6 +124,7 @@ def ingest_junit(spark: SparkSession, inputs: Artifacts, collapse: bool = True)
         .withColumn("run_id", inputs.run_of(F.col("source")))
         .withColumn("source_ord", F.col("source"))
     )
+    elements = chosen(elements, inputs)
     checked = parsed_documents(scan_documents(spark, inputs), "_time STRING")
     broken = F.col("broken") & (trim_space(F.col("value")) != "")
     rejected = materialize(facts.rejects(checked.where(broken), "junit", "malformed XML"), "rejects")

@@ -104,12 +104,12 @@ def detect_by_content(extension: Column, head: Column, kind: str) -> Column:
 
 
 def detect_artifacts(spark: SparkSession, inputs: Artifacts, kind: str, trust_extension: bool = True) -> DataFrame:
-    """(run_id, source, format) of every file; format is null for unknown files."""
+    """(run_id, source, source_ord, size, format) of every file; format is null for unknown files."""
     known = [e for f in _FORMATS[kind] for e in f.extensions if trust_extension]
     heads = scan_heads(spark, inputs, known)
     choose = detect_format if trust_extension else detect_by_content
     return heads.select(
-        "run_id", "source", "source_ord", choose(F.col("extension"), F.col("head"), kind).alias("format")
+        "run_id", "source", "source_ord", "size", choose(F.col("extension"), F.col("head"), kind).alias("format")
     )
 
 
