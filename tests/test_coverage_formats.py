@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from buildlens.operators.coverage import TOTALS, cov_file_totals
 from buildlens.schemas import ENTRY_KEYS
@@ -9,8 +10,9 @@ from buildlens.sources.clover import ingest_clover
 from buildlens.sources.cobertura import ingest_cobertura
 from buildlens.sources.gocover import ingest_gocover
 from buildlens.sources.jacoco import ingest_jacoco
+from buildlens.sources import lcov
 from buildlens.sources.lcov import ingest_lcov
-from buildlens.sources.scan import artifacts
+from buildlens.sources.scan import artifacts, scan_artifacts
 
 
 def totals(facts):
@@ -63,27 +65,74 @@ LCOV_TOTALS = [
 ]
 
 
-@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+@pytest.mark.parametrize("ending", ["\n", "\r\n", " \t\r\n"])
 def test_lcov(spark, put, ending):
     folder = put({"a.info": LCOV.replace("\n", ending), "b.info": ""})
     got = ingest_lcov(spark, artifacts(folder))
     assert totals(got) == LCOV_TOTALS
     assert rows(got.funcs, "name", "line", "calls") == [("12,helper", 9, 2), ("idle", 20, 0), ("main", 3, 0)]
     assert rows(got.branches, "line", "idx", "taken") == [(3, 0, 1), (3, 1, -1), (3, 2, 0)]
-    assert got.runs.count() == 1  # a file of zero bytes is never scanned
+    assert got.runs.count() == 2  # a file of zero bytes is an input too
 
 
-def test_lcov_split_scan_equals_whole_scan(spark, put):
-    record = "SF:src/f{}.c\nDA:1,1\nDA:2,0\nBRDA:1,0,0,1\nFN:1,f\nFNDA:1,f\nend_of_record\n"
-    folder = put({"big.info": "".join(record.format(i % 7) for i in range(500))})
+def small_splits(spark, read):
+    """Read with splits of 1500 bytes, so records lie across their borders."""
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
-        got = totals(ingest_lcov(spark, artifacts(folder)))
+        return read()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert got == [(f"src/f{i % 7}.c", 2, 1, 1, 1, 1, 1) for i in range(500)]
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n", "\n  "])
+def test_lcov_is_split_alike_whatever_the_line_ends(spark, put, ending):
+    record = "SF:src/f{}.c\nDA:1,1\nDA:2,0\nBRDA:1,0,0,1\nFN:1,f\nFNDA:1,f\nend_of_record\n"
+    text = "".join(record.format(i % 7) for i in range(400))
+    inputs = artifacts(put({"big.info": text.replace("\n", ending)}))
+
+    def read():
+        rows_ = scan_artifacts(spark, inputs, lcov.RECORD_END)
+        most = rows_.select(F.max(F.length("value"))).first()[0]
+        return totals(ingest_lcov(spark, inputs)), rows_.rdd.getNumPartitions(), most
+
+    got, tasks, most = small_splits(spark, read)
+    assert got == [(f"src/f{i % 7}.c", 2, 1, 1, 1, 1, 1) for i in range(400)]
+    assert tasks >= len(text) // 1500 and most < 200
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_lcov_terminators_inside_other_lines(spark, put, ending):
+    """The word in a path, a name or another tag ends nothing; before a colon it does."""
+    text = (
+        "TN:x\nSF:src/end_of_record.c\nFN:1,end_of_record\nFNDA:3,end_of_record\nDA:1,1\nend_of_recording\nDA:2,0\n"
+        "the end_of_record\nDA:3,1\n end_of_record :note\nDA:9,9\nSF:b.c\nDA:1,1\nend_of_record"
+    )
+    other = "SF:plain.c\nDA:1,1\nend_of_record\n"
+    inputs = artifacts(put({"a.info": text.replace("\n", ending) * 60, "b.info": other * 3}))
+    got = small_splits(spark, lambda: totals(ingest_lcov(spark, inputs)))
+    # The last terminator of each copy but the last is followed by "TN:x" on its line, so it is none.
+    both = [("src/end_of_record.c", 3, 2, 0, 0, 1, 1), ("b.c", 1, 1, 0, 0, 0, 0)]
+    assert got == both * 60 + [("plain.c", 1, 1, 0, 0, 0, 0)] * 3
+
+
+def test_functions_are_matched_in_their_row(spark, put):
+    """No rows are shuffled before the totals, and repeated names keep their order."""
+    text = "SF:a.c\nFN:5,g\nFN:1,f\nFN:7,f\nFN:9,h\nFNDA:1,f\nFNDA:4,g\nFNDA:2,f\nFNDA:8,z\nend_of_record\nSF:b.c\nFN:1,f\nend_of_record\n"
+    got = ingest_lcov(spark, artifacts(put({"a.info": text})))
+    assert [tuple(r) for r in got.funcs.select("path", "name", "line", "calls").collect()] == [
+        ("a.c", "g", 5, 4), ("a.c", "f", 1, 2), ("a.c", "f", 7, 2), ("a.c", "h", 9, 0), ("b.c", "f", 1, 0),
+    ]
+    assert "Exchange" not in got.funcs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_record_of_very_many_functions(spark, put):
+    n = 20_000
+    lines = [f"FN:{i},fn{i % (n // 2)}" for i in range(n)] + [f"FNDA:{i},fn{i}" for i in range(0, n, 2)]
+    got = ingest_lcov(spark, artifacts(put({"a.info": "SF:a.c\n" + "\n".join(lines) + "\nend_of_record\n"})))
+    want = sum(i % (n // 2) for i in range(n) if i % (n // 2) % 2 == 0)
+    assert got.funcs.agg(F.count("*"), F.sum("calls")).first()[:] == (n, want)
 
 
 def test_gocover(spark, put):

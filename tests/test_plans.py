@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from buildlens.plans.inrow import with_last
 from buildlens.plans.linestate import neighbour_markers
+from buildlens.plans.rank import ranked
 from buildlens.plans.skew import attach, page, salted_join
 
 
@@ -69,3 +71,27 @@ def test_neighbour_markers_against_brute_force(spark, bits):
         before = [m for kk, _, _, m in data[:i] if kk == k and m]
         after = [m for kk, _, _, m in data[i + 1 :] if kk == k and m]
         assert got[row] == (before[-1] if before else None, after[0] if after else None)
+
+
+def test_ranks_over_a_whole_table(spark):
+    rng = random.Random(5)
+    values = [(i, rng.choice([None, 1.5, 2.0, rng.random()]), rng.choice("ab")) for i in range(3000)]
+    df = spark.createDataFrame(values, "i int, v double, s string").repartition(6)
+    got = {r.i: r.place for r in ranked(df, [F.desc("v"), F.asc("s"), F.asc("i")], "place").collect()}
+    order = sorted(values, key=lambda t: (t[1] is None, -(t[1] or 0), t[2], t[0]))
+    assert got == {t[0]: n for n, t in enumerate(order, 1)}
+    assert ranked(df.limit(0), [F.asc("i")]).count() == 0
+
+
+def test_lookups_within_a_row(spark):
+    rng = random.Random(2)
+    table = []
+    for i in range(200):
+        left = [(rng.choice(["a", "b", "c", "d", None]), p) for p in range(rng.randint(0, 6))]
+        right = [(rng.choice(["a", "b", "x"]), p, rng.randint(0, 99)) for p in range(rng.randint(0, 6))]
+        table.append((i, left, right))
+    df = spark.createDataFrame(table, "i int, l array<struct<key: string, pos: int>>, r array<struct<key: string, pos: int, value: int>>")
+    got = {r.i: [(x.item.key, x.item.pos, x.value) for x in r.m] for r in df.select("i", with_last(F.col("l"), F.col("r")).alias("m")).collect()}
+    for i, left, right in table:
+        last = {k: v for k, _, v in right}
+        assert got[i] == [(k, p, last.get(k)) for k, p in left]
