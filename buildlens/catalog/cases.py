@@ -274,3 +274,54 @@ def assign_owners_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_failures_with_owners_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = tag_failures_with_owners(base.cases(spark, sf_dir), OWNER_RULES)
     return tagged.select("run_id", "seq", "status", "message")
+
+
+# One rule of each supplier: a folder, a tree, a path, an end of it, a name's ending, two globs.
+_RULE_PATTERN = """CASE s_suppkey % 7 WHEN 0 THEN concat('/src/d', {m8}, '/') WHEN 1 THEN concat('/src/d', {m8}, '/*')
+    WHEN 2 THEN concat('/src/d', {m8}, '/f', {k}, '.go') WHEN 3 THEN concat('d', {m8}, '/f', {k}, '.go')
+    WHEN 4 THEN CASE WHEN s_suppkey % 2 = 0 THEN concat('*.x', {k}) ELSE '*.go' END
+    WHEN 5 THEN concat('/src/d', {m8}, '/f', {m10}, '*.go') ELSE concat('f[', {m10}, ']', {m10}, '*') END"""
+
+
+def _rule_pattern(text: str) -> str:
+    places = {"k": "s_suppkey", "m8": "s_suppkey % 8", "m10": "s_suppkey % 10"}
+    return _RULE_PATTERN.format(**{k: f"cast({v} AS {text})" for k, v in places.items()})
+
+
+_RULES_SQL = f"""SELECT s_suppkey AS k, {_rule_pattern('varchar')} AS pattern,
+    concat('@team', CAST(s_suppkey AS VARCHAR)) AS owner FROM supplier"""
+_PATH_RULES_SQL = """SELECT path, max_by(owner, k) AS owners FROM (SELECT DISTINCT path FROM files) f JOIN rules ON CASE k % 7
+    WHEN 0 THEN starts_with(path, substr(pattern, 2)) WHEN 1 THEN starts_with(path, substr(pattern, 2, length(pattern) - 2))
+    WHEN 2 THEN path = substr(pattern, 2) WHEN 3 THEN ends_with(path, concat('/', pattern))
+    WHEN 4 THEN ends_with(path, substr(pattern, 2))
+    WHEN 5 THEN starts_with(path, substr(pattern, 2, length(pattern) - 5)) AND ends_with(path, '.go')
+    ELSE starts_with(split_part(path, '/', 3), concat('f', CAST(k % 10 AS VARCHAR), CAST(k % 10 AS VARCHAR))) END GROUP BY path"""
+
+
+def supplier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return suppliers.selectExpr(
+        "s_suppkey AS rule_ord", f"{_rule_pattern('string')} AS pattern",
+        "array(concat('@team', cast(s_suppkey AS string))) AS owners",
+    )
+
+
+@query(
+    with_tables("files", rules=_RULES_SQL, owned=_PATH_RULES_SQL)
+    + "SELECT run_id, path, owners FROM files LEFT JOIN owned USING (path)"
+)
+def owners_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners by a table of rules that grows with the data."""
+    owned = assign_owners(base.files(spark, sf_dir), supplier_rules(spark, sf_dir))
+    return owned.select("run_id", "path", F.array_join("owners", " ").alias("owners"))
+
+
+@query(
+    with_tables("cases", files="SELECT coalesce(file, suite) AS path FROM cases", rules=_RULES_SQL, owned=_PATH_RULES_SQL)
+    + """SELECT run_id, seq, CASE WHEN status <> 'fail' OR owners IS NULL THEN message
+        ELSE concat('[', owners, '] ', message) END AS message
+    FROM cases LEFT JOIN owned ON path = coalesce(file, suite)"""
+)
+def tag_failures_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = tag_failures_with_owners(base.cases(spark, sf_dir), supplier_rules(spark, sf_dir))
+    return tagged.select("run_id", "seq", "message")

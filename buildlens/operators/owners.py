@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.globs import glob_match, glob_to_regex
 from buildlens.functions.text import blank_to_null, clean_path
+from buildlens.plans.inrow import let
+from buildlens.plans.rank import ranked
+from buildlens.plans.skew import attach
+from buildlens.session import materialize
 
 
 @dataclass(frozen=True)
@@ -62,22 +67,137 @@ def owners_of(rooted: Column, rules: list[OwnerRule]) -> Column:
     return F.lit(None).cast("array<string>") if result is None else result
 
 
-def assign_owners(paths: DataFrame, rules: list[OwnerRule]) -> DataFrame:
-    """Add `owners` to rows with a `path`."""
+# Rules up to this number become one expression; more of them are joined as a table.
+INLINE_RULES = 50
+
+# Characters that make a pattern more than plain text.
+_WILD = r"[*?\[\\]"
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """`rules` (rule_ord, pattern, owners) numbered from 1 as `ord`, each with the `key` of the paths it covers.
+
+    A key is a whole path, a folder and all below it, the end of a path after a slash, or the end
+    of a file name from a dot on. Patterns with other wildcards have none.
+    """
+    pattern, plain = F.col("pattern"), ~F.col("pattern").rlike(_WILD)
+    tree = F.regexp_extract("pattern", r"^(/(?:[^*?\[\\]*/)?)\*$", 1)
+    ending = F.regexp_extract("pattern", r"^\*(\.[^*?\[\\/]*)$", 1)
+    key = (
+        F.when(plain & pattern.startswith("/") & pattern.endswith("/"), F.concat(F.lit("folder "), pattern))
+        .when(plain & pattern.startswith("/"), F.concat(F.lit("path "), pattern))
+        .when(plain, F.concat(F.lit("end "), pattern))
+        .when(tree != "", F.concat(F.lit("folder "), tree))
+        .when(ending != "", F.concat(F.lit("name "), ending))
+    )
+    return ranked(rules.select("rule_ord", "pattern", "owners"), [F.asc("rule_ord")], "ord", "rules").select(
+        "ord", "pattern", "owners", key.alias("key")
+    )
+
+
+def path_keys(rooted: Column) -> Column:
+    """Keys of all plain rules that cover a rooted path."""
+    return let(F.split(rooted, "/"), lambda parts: _keys_of_parts(rooted, parts))
+
+
+def _keys_of_parts(rooted: Column, parts: Column) -> Column:
+    def joined(words: Column, kind: str, mark: str, before: str = "") -> Column:
+        """The rest of the words from each place on."""
+        places = F.filter(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), lambda i: i <= F.size(words))
+        return F.transform(places, lambda i: F.concat(F.lit(f"{kind} {before}"), F.array_join(F.slice(words, i, F.size(words)), mark)))
+
+    folders = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1),
+        lambda i: F.concat(F.lit("folder "), F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")),
+    )
+    name = F.element_at(parts, -1)
+    ends = joined(parts, "end", "/")
+    names = let(F.split(name, r"\."), lambda words: joined(words, "name", ".", "."))
+    return F.concat(F.array(F.concat(F.lit("path "), rooted)), folders, ends, names)
+
+
+def _anchor(pattern: str) -> str:
+    """Folder of a rooted glob in front of its first wildcard, or empty where the glob has more meanings."""
+    if not pattern.startswith("/") or pattern.endswith(("/", "/*")):
+        return ""
+    return re.split(_WILD, pattern)[0].rpartition("/")[0] + "/"
+
+
+def _by_globs(keyed: DataFrame, distinct: DataFrame, globs: list) -> DataFrame:
+    """(rooted, best) of the globs: those below a folder meet only paths of that folder, others are one CASE."""
+    spark = distinct.sparkSession
+    local, wide = [], []
+    for rule in globs:
+        folder, regex = _anchor(rule["pattern"]), glob_to_regex(rule["pattern"])
+        if folder.strip("/") and regex:
+            local.append((f"folder {folder}", regex, rule["ord"], rule["owners"]))
+        else:
+            wide.append(rule)
+    table = spark.createDataFrame(local, "key string, regex string, ord long, owners array<string>")
+    # The rules were written by hand, so the table of their globs is as small as the driver's list of it.
+    found = keyed.join(F.broadcast(table), "key").where(F.expr("rooted RLIKE regex")).select(
+        "rooted", F.struct("ord", "owners").alias("best")
+    )
+    best = None
+    for rule in sorted(wide, key=lambda r: -r["ord"]):
+        value = F.struct(F.lit(rule["ord"]).cast("bigint").alias("ord"), F.array(*[F.lit(o) for o in rule["owners"]]).alias("owners"))
+        test = rule_matches(F.col("rooted"), rule["pattern"])
+        best = F.when(test, value) if best is None else best.when(test, value)
+    if best is None:
+        return found
+    return found.unionByName(distinct.select("rooted", best.alias("best")).where("best IS NOT NULL"))
+
+
+def owners_by_rooted(distinct: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rooted, owners) of the distinct rooted paths that some rule of the table covers; the last one counts.
+
+    Plain rules meet a path by the keys they have in common: its folders, its ends, its name. So a
+    path is compared with as many rules as it has keys, however many rules there are.
+    """
+    table = materialize(rule_table(rules), "rules")
+    keyed = distinct.select("rooted", F.explode(path_keys(F.col("rooted"))).alias("key"))
+    last = table.where("key IS NOT NULL").groupBy("key").agg(F.max(F.struct("ord", "owners")).alias("best"))
+    found = attach(keyed, last, ["key"], "inner").select("rooted", "best")
+    globs = table.where("key IS NULL").select("ord", "pattern", "owners").collect()
+    if globs:
+        found = found.unionByName(_by_globs(keyed, distinct, globs))
+    return found.groupBy("rooted").agg(F.max("best").alias("best")).select("rooted", F.col("best.owners").alias("owners"))
+
+
+def _as_table(rules: list[OwnerRule], spark) -> DataFrame:
+    rows = [(i, r.pattern, list(r.owners)) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_ord long, pattern string, owners array<string>")
+
+
+def _with_owners(df: DataFrame, path: Column, rules: list[OwnerRule] | DataFrame, name: str) -> DataFrame:
+    """`df` with the owners of a path (null without one) as column `name`."""
     # A column of its own, so the path is cleaned once and not once per rule.
-    rooted = paths.withColumn("_rooted", rooted_path(F.col("path")))
-    return rooted.withColumn("owners", owners_of(F.col("_rooted"), rules)).drop("_rooted")
+    rooted = df.withColumn("_rooted", rooted_path(path))
+    if isinstance(rules, list) and len(rules) <= INLINE_RULES:
+        return rooted.withColumn(name, owners_of(F.col("_rooted"), rules)).drop("_rooted")
+    table = rules if isinstance(rules, DataFrame) else _as_table(rules, df.sparkSession)
+    distinct = rooted.select(F.col("_rooted").alias("rooted")).where("rooted IS NOT NULL").distinct()
+    owned = owners_by_rooted(distinct, table).select(F.col("rooted").alias("_rooted"), F.col("owners").alias(name))
+    return attach(rooted, owned, ["_rooted"]).drop("_rooted")
+
+
+def assign_owners(paths: DataFrame, rules: list[OwnerRule] | DataFrame) -> DataFrame:
+    """Add `owners` to rows with a `path`.
+
+    A few rules run inside the scan of the paths; many, or a table of them, are joined.
+    """
+    return _with_owners(paths, F.col("path"), rules, "owners")
 
 
-def tag_failures_with_owners(cases: DataFrame, rules: list[OwnerRule]) -> DataFrame:
+def tag_failures_with_owners(cases: DataFrame, rules: list[OwnerRule] | DataFrame) -> DataFrame:
     """Name the owners in the message of failed cases.
 
     The path is the file of the case, else its suite.
     """
     path = F.coalesce(blank_to_null(F.col("file")), blank_to_null(F.col("suite")))
     failed = F.col("status") == "fail"
-    matched = cases.withColumn("_rooted", F.when(failed, rooted_path(path))).withColumn(
-        "_owners", F.array_join(F.when(failed, owners_of(F.col("_rooted"), rules)), " ")
+    matched = _with_owners(cases, F.when(failed, path), rules, "_owners").withColumn(
+        "_owners", F.array_join(F.when(failed, F.col("_owners")), " ")
     )
     message = blank_to_null(F.col("message"))
     tagged = F.when(
@@ -85,4 +205,4 @@ def tag_failures_with_owners(cases: DataFrame, rules: list[OwnerRule]) -> DataFr
     ).otherwise(F.concat(F.lit("[owners: "), "_owners", F.lit("]")))
     return matched.withColumn(
         "message", F.when(F.col("_owners").isNotNull(), tagged).otherwise(F.col("message"))
-    ).drop("_rooted", "_owners")
+    ).drop("_owners")

@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from buildlens.operators import cases, coverage, deltas, gates, merge
+from buildlens.operators import cases, coverage, deltas, gates, merge, owners
 from buildlens.operators.owners import OwnerRule, assign_owners, tag_failures_with_owners
 from buildlens.sources.owners import owner_rules, read_owner_rules
 
@@ -187,7 +187,9 @@ no-owner
 """
 
 
-def test_owner_rules(spark, put):
+@pytest.mark.parametrize("inline", [50, 0])
+def test_owner_rules(spark, put, monkeypatch, inline):
+    monkeypatch.setattr(owners, "INLINE_RULES", inline)
     folder = put({"CODEOWNERS": RULES})
     rules = owner_rules(read_owner_rules(spark, folder))
     assert rules[0] == OwnerRule("*", ("@all",)) and rules[1].owners == ("@go", "@lang") and len(rules) == 7
@@ -204,6 +206,35 @@ def test_owner_rules(spark, put):
     assert assign_owners(df, []).where("owners IS NULL").count() == len(paths)
 
 
+def test_rules_by_table_equal_rules_one_by_one(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["a", "b", "src", "x.go", "y.test.js", ".go", "z"]
+    some = [
+        "*", "*.go", "*.js", "*.test.js", ".go", "a", "a/", "/a/", "/a", "/", "/*", "/a/*", "/a/b/*", "/*/b/", "/s*/*", "a/b", "b/x.go",
+        "/a/x.go", "/src/*.go", "/src/a/?.go", "/src/[a-z].go", "x.*", "s?c/*.go", "[", "/a/[", "a\\*", "x.go", "*o", "*.",
+    ]
+    paths = ["", "/", "x.", None] + ["/".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(300)]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").cache()
+    for seed in range(3):
+        rules = [OwnerRule(p, (f"@{i}",)) for i, p in enumerate(random.Random(seed).choices(some, k=12))]
+        monkeypatch.setattr(owners, "INLINE_RULES", 50)
+        want = rows(assign_owners(df, rules), "path", "owners")
+        monkeypatch.setattr(owners, "INLINE_RULES", 0)
+        assert rows(assign_owners(df, rules), "path", "owners") == want
+
+
+def test_thousands_of_rules(spark):
+    """Each path meets its own few rules: 5,000 rules on 40,000 paths."""
+    kinds = ["/d{0}/", "/d{0}/e/*", "/d{0}/e/f.go", "e/f{0}.go", "*.x{0}", "/d{0}/g*.go"]
+    rules = [OwnerRule(kinds[i % 6].format(i), (f"@{i}",)) for i in range(5000)]
+    paths = spark.range(40_000).select(F.concat(F.lit("d"), F.col("id") % 5000, F.lit("/e/f.go")).alias("path"), "id")
+    got = assign_owners(paths, rules).agg(F.count("owners"), F.count("*")).first()
+    assert got[:] == (8 * sum(i % 6 < 3 for i in range(5000)), 40_000)
+    owned = {r["path"]: r["owners"] for r in assign_owners(paths.where("id < 12"), rules).collect()}
+    assert owned["d0/e/f.go"] == ["@0"] and owned["d1/e/f.go"] == ["@1"] and owned["d2/e/f.go"] == ["@2"]
+    assert owned["d3/e/f.go"] is None and owned["d6/e/f.go"] == ["@6"]
+
+
 def test_failures_name_their_owners(spark):
     data = [
         ("fail", "a.go", "boom"), ("fail", None, None), ("pass", "a.go", "m"), ("fail", "x.rs", "m"), ("fail", "a.go", ""),
