@@ -121,32 +121,54 @@ class SumIndex:
     pairs: dict[int, tuple | None] = field(default_factory=dict)
     triples: dict[int, tuple | None] = field(default_factory=dict)
 
-    def holds(self, parts: tuple) -> bool:
-        return all(self.counts[p] >= parts.count(p) for p in parts)
+    def times(self, parts: tuple) -> int:
+        """How often the counts can make this combination."""
+        return min(int(self.counts[p]) // parts.count(p) for p in set(parts))
+
+    def find(self, total: int, wanted: int = 0) -> tuple | None:
+        """Lengths with exactly this sum.
+
+        Of one, two or three lengths the combination that can be made most often is taken, the
+        shorter one among equals; one that can be made `wanted` times more need not be beaten.
+        """
+        best, most = None, 0
+        for combination in (self._single, self._pair_kept, self._triple_kept):
+            parts = combination(total)
+            times = self.times(parts) if parts else 0
+            if times > most:
+                best, most = parts, times
+            if most > wanted:
+                break
+        return best
+
+    def _single(self, total: int) -> tuple | None:
+        return (total,) if self.counts[total] > 0 else None
+
+    def _pair_kept(self, total: int) -> tuple | None:
+        return self._kept(self.pairs, total, self._pair)
 
-    def find(self, total: int) -> tuple | None:
-        if self.counts[total] > 0:
-            return (total,)
-        return self._kept(self.pairs, total, self._pair) or self._kept(self.triples, total, self._triple)
+    def _triple_kept(self, total: int) -> tuple | None:
+        return self._kept(self.triples, total, self._triple)
 
     def _kept(self, index: dict, total: int, search) -> tuple | None:
-        if total in index and (index[total] is None or self.holds(index[total])):
+        if total in index and (index[total] is None or self.times(index[total])):
             return index[total]
         index[total] = search(total)
         return index[total]
 
     def _pair(self, total: int, most: int | None = None) -> tuple | None:
-        """The pair with the longest first part (at most `most`)."""
+        """The pair that can be made most often, with the longest first part (at most `most`) among equals."""
         low, high = -(-total // 2), min(total - 1, total if most is None else most)
         if low > high:
             return None
         a = np.arange(low, high + 1)
-        fits = (self.counts[a] > 0) & (self.counts[total - a] > (a == total - a))
-        at = np.flatnonzero(fits)
-        return (int(a[at[-1]]), int(total - a[at[-1]])) if len(at) else None
+        b = total - a
+        times = np.where(a == b, self.counts[a] // 2, np.minimum(self.counts[a], self.counts[b]))[::-1]
+        at = int(np.argmax(times))
+        return (int(a[::-1][at]), int(b[::-1][at])) if times[at] > 0 else None
 
     def _triple(self, total: int) -> tuple | None:
-        """The triple with the longest first part, then the longest second one."""
+        """The triple with the longest first part for which a pair is left."""
         for a in np.flatnonzero(self.counts[: max(total - 1, 0)])[::-1]:
             if 3 * a < total:
                 break
@@ -174,7 +196,7 @@ def plan_sequences(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[t
         left[parts[0]] -= 1
         gap = capacity - parts[0]
         while gap > 0:
-            exact = index.find(gap)
+            exact = index.find(gap, int(left[parts[0]]))
             if exact:
                 parts += exact
                 for p in exact:

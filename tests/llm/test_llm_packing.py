@@ -79,3 +79,36 @@ def test_exact_complements_leave_no_gap():
         counts[n] = 50
     plan = packing.plan_sequences(counts)
     assert sum(t for _, t in plan) == 100
+
+
+def optimum(lengths, capacity):
+    """Fewest sequences, by trying every place of every piece."""
+    best = len(lengths)
+
+    def place(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for gap in set(gaps):
+            if gap >= lengths[i]:
+                k = gaps.index(gap)
+                place(i + 1, gaps[:k] + [gap - lengths[i]] + gaps[k + 1 :])
+        place(i + 1, [*gaps, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_are_near_the_optimum():
+    rng = np.random.default_rng(4)
+    made = least = 0
+    for _ in range(150):
+        lengths = sorted(rng.integers(1, 21, rng.integers(1, 10)).tolist(), reverse=True)
+        number = sum(t for _, t in packing.plan_sequences(np.bincount(lengths, minlength=21), 20))
+        best = optimum(lengths, 20)
+        assert best <= number <= best + 1
+        made, least = made + number, least + best
+    assert made <= 1.02 * least
