@@ -49,6 +49,43 @@ def test_suites_nest_as_deep_as_they_like(spark, put):
     assert [r["source"].rsplit("/", 1)[1] for r in got.rejects.collect()] == ["bad.xml"]
 
 
+def test_one_deep_document_beside_many_flat_ones(spark, put):
+    """The plan does not grow with the depth."""
+
+    def document(levels):
+        inner = '<test-case name="t" result="Passed" duration="1"/>'
+        for i in range(levels):
+            inner = f'<test-suite name="s{i}">{inner}<test-case name="c{i}" result="Failed"/></test-suite>'
+        return f"<test-run>{inner}</test-run>"
+
+    flat = put({f"{i}.xml": document(1) for i in range(300)}, "flat")
+    alone = ingest_nunit(spark, artifacts(flat))
+    both = ingest_nunit(spark, artifacts(flat, put({"deep.xml": document(500)}, "deep")))
+    assert both.cases.where("run_id = 'flat'").count() == alone.cases.count() == 600
+    deep = [(r.suite, r.name) for r in both.cases.where("run_id = 'deep'").orderBy("seq").collect()]
+    assert deep == [(f"s{i}", f"c{i}") for i in range(499, 0, -1)] + [("s0", "t"), ("s0", "c0")]
+    plans = [len(x.cases._jdf.queryExecution().optimizedPlan().toString()) for x in (alone, both)]
+    assert abs(plans[0] - plans[1]) < 0.05 * plans[0]
+
+
+def test_nunit_markup(spark, put):
+    """Comments, CDATA, prefixes, entities, elements between suites and their cases."""
+    document = """<?xml version="1.0"?><!DOCTYPE x><n:test-run xmlns:n="u"><!-- <test-suite name="no"> -->
+<n:test-suite name="A &amp; &quot;B&quot; a/&gt;b" note='x/>y'><n:test-case name='it&apos;s' result="Failed">
+<failure><message><![CDATA[<test-case name="in text"> & </test-suite> <!-- kept -->]]></message><stack-trace/></failure>
+</n:test-case><wrap><n:test-suite name="hidden"><n:test-case name="lost"/></n:test-suite></wrap>
+<test-suite name="In"><properties><property name="p"/><test-case name="lost too"/></properties><test-case name="z" result="Passed"></test-case>
+</test-suite></n:test-suite><test-case name="of the root"/><test-suites/></n:test-run>"""
+    bad_time = '<test-run><test-suite name="s"><test-case name="t" duration="soon"/></test-suite></test-run>'
+    lost_time = bad_time.replace("<test-case", "<w><test-case").replace("</test-suite>", "</w></test-suite>")
+    got = ingest_nunit(spark, artifacts(put({"a.xml": document, "b.xml": bad_time, "c.xml": lost_time, "d.xml": ""})))
+    assert ordered(got) == [
+        ('A & "B" a/>b', "it's", "fail", 0, '<test-case name="in text"> & </test-suite> <!-- kept -->'), ("In", "z", "pass", 0, None),
+    ]
+    assert rows(got.rejects.selectExpr("substring_index(source, '/', -1) AS file"), "file") == [("b.xml",), ("d.xml",)]
+    assert got.runs.count() == 2
+
+
 def test_nunit2_and_xunit(spark, put):
     folder = put(
         {
