@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from buildlens.catalog import base
 from buildlens.catalog.base import query, with_tables
 from buildlens.operators import deltas as ops
+from buildlens.session import scratch_path
+from buildlens.sources.snapshot_store import SnapshotStore
 
 _FILE_PAIR = """SELECT b.path, c.line_pct - b.line_pct AS delta
     FROM (SELECT * FROM file_pcts WHERE run_id = 'base') b
@@ -42,15 +44,16 @@ def snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).drop("timestamp")
 
 
-# The first input's entries may repeat a path; the last one gives its percentage.
+# Every input is a run of its own here; its entries may repeat a path, and the last one gives the percentage.
 @query(
     with_tables("source_files")
-    + f"""SELECT run_id, path, {base.pct_sql('lines_covered', 'lines_total')} AS line_pct FROM (
-      SELECT *, row_number() OVER (PARTITION BY run_id, path ORDER BY file_ord DESC) AS rn FROM source_files
-      WHERE source_ord = 'cov0.info') WHERE rn = 1"""
+    + f"""SELECT concat(run_id, '/', source_ord) AS run_id, path, {base.pct_sql('lines_covered', 'lines_total')} AS line_pct FROM (
+      SELECT *, row_number() OVER (PARTITION BY run_id, source_ord, path ORDER BY file_ord DESC) AS rn FROM source_files)
+      WHERE rn = 1"""
 )
 def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.snapshot_files(base.source_files(spark, sf_dir).where("source_ord = 'cov0.info'"))
+    entries = base.source_files(spark, sf_dir)
+    return ops.snapshot_files(entries.withColumn("run_id", F.concat_ws("/", "run_id", "source_ord")))
 
 
 @query(with_tables("file_pcts") + _FILE_PAIR)
@@ -61,6 +64,30 @@ def file_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_snapshots(spark: SparkSession, sf_dir: str) -> SnapshotStore:
+    """The snapshots of all runs as tables; run cur is saved twice, and the second time counts."""
+    place = scratch_path(spark, "snapshots")
+    store = SnapshotStore(spark, "snapshots_" + place[-32:], place).open()
+    files = base.line_files(spark, sf_dir).withColumn("file_ord", F.lit(0))
+    runs, shares = snapshots(spark, sf_dir), ops.snapshot_files(files)
+    store.save(runs.withColumn("total", F.lit(0)), shares.withColumn("line_pct", F.lit(-1.0)), batch=1)
+    store.save(runs, shares)
+    return store
+
+
+@query(with_tables("file_pcts") + _FILE_PAIR)
+def stored_file_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_snapshots(spark, sf_dir).file_deltas("base", "cur")
+
+
+@query(
+    with_tables("stats", "cov_stats", **SNAPSHOT_SQL)
+    + """SELECT * EXCLUDE (file_count), 1 AS version, CASE WHEN run_id <> 'cur' THEN run_id END AS label FROM snaps"""
+)
+def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_snapshots(spark, sf_dir).runs().drop("timestamp", "batch", "batch_day")
+
+
 @query(
     with_tables("view", "file_pcts", deltas=_FILE_PAIR)
     + "SELECT v.* EXCLUDE (run_id), d.delta FROM view v LEFT JOIN deltas d USING (path) WHERE v.run_id = 'cur'"
