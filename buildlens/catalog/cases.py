@@ -180,7 +180,7 @@ def page_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_page_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = base.cases(spark, sf_dir)
     keys = ops.case_sort_keys(df, "duration_ns")
-    return case_rows(ops.page(df, keys, 10**9, ops.PAGE_TESTS, top_k_rows=0))
+    return case_rows(ops.page(df, keys, 10**9, ops.PAGE_TESTS, top_k_rows=0, sort_rows=1000))
 
 
 @query(

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import fixed, fmt_duration_ms, nanos_to_millis, pct
-from buildlens.plans.skew import attach, page
+from buildlens.plans.paging import Key, page, page_of_each, sort_columns
+from buildlens.plans.skew import attach
 from buildlens.schemas import STATUSES
 
 RUN = ["run_id"]
@@ -212,28 +213,40 @@ def attachment_rows(cases: DataFrame) -> DataFrame:
 TEXT_COLUMNS = ("suite", "name", "status", "message", "path", "dir")
 
 
-def sort_key(column: str, descending: bool = False) -> Column:
+def sort_key(column: str, descending: bool = False) -> Key:
     """Locale order for text, numeric order for the rest."""
     key = F.collate(F.coalesce(column, F.lit("")), "UNICODE") if column in TEXT_COLUMNS else F.col(column)
-    return key.desc() if descending else key.asc()
+    return key, descending
 
 
-def case_sort_keys(cases: DataFrame, column: str, descending: bool = False) -> list[Column]:
+def case_sort_keys(cases: DataFrame, column: str, descending: bool = False) -> list[Key]:
     """Chosen column first; equal rows keep their place in the run."""
-    return [sort_key(column, descending), F.col("run_id"), case_order(cases)]
+    return [sort_key(column, descending), (F.col("run_id"), False), (case_order(cases), False)]
 
 
 def sort_cases(cases: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    return cases.orderBy(*case_sort_keys(cases, column, descending))
+    return cases.orderBy(*sort_columns(case_sort_keys(cases, column, descending)))
 
 
 def page_cases(
     cases: DataFrame, number: int, size: int = PAGE_TESTS, column: str = "suite", descending: bool = False
 ) -> DataFrame:
-    """One page of the flat view."""
+    """One page of the flat view of all runs together."""
     return page(cases, case_sort_keys(cases, column, descending), number, size)
 
 
+def page_cases_of_runs(
+    cases: DataFrame, number: int, size: int = PAGE_TESTS, column: str = "suite", descending: bool = False
+) -> DataFrame:
+    """One page of the flat view of each run; past the end of a run it is its last page."""
+    return page_of_each(cases, RUN, case_sort_keys(cases, column, descending), number, size)
+
+
 def page_suites(cases: DataFrame, number: int, size: int = PAGE_SUITES) -> DataFrame:
     """One page of the grouped view: suite headers by name."""
-    return page(suite_rollup(cases), [F.col("run_id"), F.col("suite")], number, size)
+    return page(suite_rollup(cases), [(F.col("run_id"), False), (F.col("suite"), False)], number, size)
+
+
+def page_suites_of_runs(cases: DataFrame, number: int, size: int = PAGE_SUITES) -> DataFrame:
+    """One page of the suite headers of each run."""
+    return page_of_each(suite_rollup(cases), RUN, [(F.col("suite"), False)], number, size)

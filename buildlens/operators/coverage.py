@@ -11,7 +11,7 @@ from buildlens.functions.numbers import band_colour, treemap_colour
 from buildlens.functions.text import dir_of
 from buildlens.functions.text import strip_prefix as strip_prefix_column
 from buildlens.operators.cases import every_run, sort_key
-from buildlens.plans.skew import page
+from buildlens.plans.paging import Key, page, page_of_each, sort_columns
 
 TOTALS = [
     "lines_total", "lines_covered", "branch_total", "branch_covered", "func_total", "func_covered",
@@ -174,19 +174,32 @@ def files_by_size(view: DataFrame) -> DataFrame:
     return view.where(F.col("lines_total") > 0).orderBy("run_id", F.col("lines_total").desc(), "path")
 
 
-def file_sort_keys(column: str, descending: bool = False) -> list[Column]:
-    return [sort_key(column, descending), F.col("run_id"), F.col("path")]
+def file_sort_keys(column: str, descending: bool = False) -> list[Key]:
+    return [sort_key(column, descending), (F.col("run_id"), False), (F.col("path"), False)]
 
 
 def sort_files(view: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    return view.orderBy(*file_sort_keys(column, descending))
+    return view.orderBy(*sort_columns(file_sort_keys(column, descending)))
 
 
 def page_files(
     view: DataFrame, number: int, size: int = PAGE_FILES, column: str = "path", descending: bool = False
 ) -> DataFrame:
+    """One page of the files of all runs together."""
     return page(view, file_sort_keys(column, descending), number, size)
 
 
+def page_files_of_runs(
+    view: DataFrame, number: int, size: int = PAGE_FILES, column: str = "path", descending: bool = False
+) -> DataFrame:
+    """One page of the files of each run; past the end of a run it is its last page."""
+    return page_of_each(view, ["run_id"], file_sort_keys(column, descending), number, size)
+
+
 def page_dirs(view: DataFrame, number: int, size: int = PAGE_DIRS) -> DataFrame:
-    return page(dir_rollup(view), [F.col("run_id"), F.col("dir")], number, size)
+    return page(dir_rollup(view), [(F.col("run_id"), False), (F.col("dir"), False)], number, size)
+
+
+def page_dirs_of_runs(view: DataFrame, number: int, size: int = PAGE_DIRS) -> DataFrame:
+    """One page of the directories of each run."""
+    return page_of_each(dir_rollup(view), ["run_id"], [(F.col("dir"), False)], number, size)

@@ -1,8 +1,8 @@
-"""Attaching per-group facts to rows, and reading one page of a sorted table."""
+"""Attaching per-group facts to rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.session import materialize
@@ -12,9 +12,6 @@ BROADCAST_ROWS = 200_000
 # Beyond it, a key with more fact rows than this is joined apart from the rest.
 HOT_ROWS = 1_000_000
 SALTS = 64
-# Pages that end within this many rows come from Spark's top-k.
-TOP_K_ROWS = 10_000
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low bits
 
 
 def attach(
@@ -61,37 +58,3 @@ def salted_join(
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     copies = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-
-
-def page(
-    df: DataFrame, order: list[Column], number: int, size: int, top_k_rows: int = TOP_K_ROWS
-) -> DataFrame:
-    """Rows of one page; a number past the end gives the last page.
-
-    `order` must be a total order. A deep page never gathers the rows before it
-    in one place: the table is range-sorted into the scratch folder, the rows
-    per range are counted, and only the ranges that overlap the page are read.
-    """
-    total = df.count()
-    pages = max(1, -(-total // size))
-    start = (min(max(number, 1), pages) - 1) * size
-    if start + size <= top_k_rows:
-        return df.orderBy(*order).offset(start).limit(size)
-
-    ranged = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_range", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-    )
-    stored = materialize(ranged, "ranges")
-    sizes = stored.groupBy("_range").count().orderBy("_range").collect()  # one row per range
-    keep, seen = F.lit(False), 0
-    for row in sizes:
-        low, high = start - seen, start + size - seen
-        if low < row["count"] and high > 0:
-            keep = keep | (
-                (F.col("_range") == row["_range"]) & (F.col("_row") >= low) & (F.col("_row") < high)
-            )
-        seen += row["count"]
-    return stored.where(keep).drop("_range", "_row").orderBy(*order)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from buildlens.plans.inrow import with_last
 from buildlens.plans.linestate import neighbour_markers
-from buildlens.plans.rank import ranked
-from buildlens.plans.skew import attach, page, salted_join
+from buildlens.plans.rank import numbered, ranked
+from buildlens.plans.paging import page, page_of_each, sort_columns
+from buildlens.plans.skew import attach, salted_join
 
 
 @pytest.fixture
@@ -40,15 +41,59 @@ def test_salted_join_spreads_a_hot_key(facts):
 @pytest.mark.parametrize("top_k_rows", [10**6, 0])
 @pytest.mark.parametrize("number, first, last", [(1, 0, 199), (4, 600, 799), (10, 1800, 1999), (99, 1800, 1999), (0, 0, 199)])
 def test_pages(facts, top_k_rows, number, first, last):
-    got = [r["v"] for r in page(facts, [F.col("v").asc()], number, 200, top_k_rows).collect()]
+    got = [r["v"] for r in page(facts, [(F.col("v"), False)], number, 200, top_k_rows).collect()]
     assert got == list(range(first, last + 1))
 
 
 def test_pages_of_short_and_empty_tables(facts):
     short = facts.where("v < 3")
     for top_k_rows in (10**6, 0):
-        assert page(short, [F.col("v").desc()], 5, 2, top_k_rows).count() == 1
-        assert page(facts.where("v < 0"), [F.col("v")], 1, 10, top_k_rows).count() == 0
+        assert page(short, [(F.col("v"), True)], 5, 2, top_k_rows).count() == 1
+        assert page(facts.where("v < 0"), [(F.col("v"), False)], 1, 10, top_k_rows).count() == 0
+
+
+@pytest.mark.parametrize("sort_rows", [10**6, 300])
+@pytest.mark.parametrize("number", [1, 3, 40, 10**6])
+def test_pages_of_groups(spark, number, sort_rows):
+    """Groups of 1 to 6,000 rows, one of them null; keys with nulls, ties and a descending part."""
+    rng = random.Random(9)
+    table = [
+        (g, rng.choice([None, rng.randint(0, 5), rng.random() * 1000]), rng.choice(["a", "B", None]), i)
+        for g, n in ((None, 700), ("one", 1), ("big", 6000), ("c", 101)) for i in range(n)
+    ]
+    table = [(g, None if v is None else float(v), s, i) for g, v, s, i in table]
+    df = spark.createDataFrame(table, "g string, v double, s string, i int").repartition(5)
+    order = [(F.col("v"), True), (F.col("s"), False), (F.col("i"), True)]
+    got = [tuple(r) for r in page_of_each(df, ["g"], order, number, 50, sort_rows).collect()]
+    want = []
+    for g in (None, "big", "c", "one"):
+        mine = sorted(
+            (t for t in table if t[0] == g), key=lambda t: (t[1] is None, -(t[1] or 0), t[2] is not None, t[2] or "", -t[3])
+        )
+        start = (min(number, -(-len(mine) // 50)) - 1) * 50
+        want += mine[start : start + 50]
+    assert got == want
+
+
+def test_a_deep_page_sorts_few_rows(spark, monkeypatch):
+    """Rounds narrow a long group down to the rows around the page."""
+    from buildlens.plans import paging
+
+    seen = []
+    keep = paging.materialize
+    monkeypatch.setattr(paging, "materialize", lambda df, label: seen.append(keep(df, label)) or seen[-1])
+    df = spark.range(300_000).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("v"), "id")
+    order = [(F.col("v"), False), (F.col("id"), False)]
+    got = [r["id"] for r in page(df, order, 1000, 200, sort_rows=3000).collect()]
+    assert got == [r["id"] for r in df.orderBy(*sort_columns(order)).offset(199_800).limit(200).collect()]
+    bounds = seen[-1].first()
+    assert bounds["_inside"] <= 3000 and bounds["_before"] <= 199_800
+
+
+def test_places_follow_the_order_of_the_table(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"))
+    assert numbered(df.orderBy("v")).where("place <> v + 1").count() == 0
+    assert numbered(df).where("place <> v + 1").count() > 0
 
 
 @pytest.mark.parametrize("bits", [0, 1, 3, 20])
