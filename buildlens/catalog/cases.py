@@ -11,6 +11,7 @@ from buildlens.functions.numbers import nanos_to_millis
 from buildlens.operators import cases as ops
 from buildlens.operators import gates, merge
 from buildlens.operators.owners import OwnerRule, assign_owners, tag_failures_with_owners
+from buildlens.plans.rank import numbered
 
 _CASE_ROW = "run_id, source, suite, name, seq, status, duration_ms, message, file, line"
 
@@ -156,18 +157,45 @@ def test_view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_tables("cases")
-    + f"SELECT {_CASE_ROW} FROM cases"
+    + f"SELECT {_CASE_ROW}, row_number() OVER (ORDER BY suite, run_id, source, seq) AS place FROM cases"
 )
 def sort_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return case_rows(ops.sort_cases(base.cases(spark, sf_dir), "suite"))
+    cases = base.cases(spark, sf_dir).withColumn("source_ord", F.col("source"))
+    return numbered(case_rows(ops.sort_cases(cases, "suite")))
 
 
 @query(
     with_tables("cases")
-    + f"SELECT {_CASE_ROW} FROM cases ORDER BY duration_ms DESC, run_id, seq LIMIT 200 OFFSET 200"
+    + f"""SELECT *, row_number() OVER (ORDER BY duration_ms DESC, run_id, seq) AS place FROM (
+      SELECT {_CASE_ROW} FROM cases ORDER BY duration_ms DESC, run_id, seq LIMIT 200 OFFSET 200)"""
 )
 def page_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return case_rows(ops.page_cases(base.cases(spark, sf_dir), 2, column="duration_ns", descending=True))
+    return numbered(case_rows(ops.page_cases(base.cases(spark, sf_dir), 2, column="duration_ns", descending=True)))
+
+
+# A page of every run at once; run by run it is clamped to the last one there is.
+@query(
+    with_tables("cases")
+    + f""", placed AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY duration_ms, seq DESC) - 1 AS rn,
+      count(*) OVER (PARTITION BY run_id) AS n FROM cases WHERE run_id <> 'run3' OR seq % 100 = 3)
+    SELECT {_CASE_ROW}, row_number() OVER (ORDER BY run_id, duration_ms, seq DESC) AS place FROM placed
+    WHERE rn // 50 = least(2, (n - 1) // 50)"""
+)
+def page_cases_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = base.cases(spark, sf_dir).where("run_id <> 'run3' OR seq % 100 = 3")
+    keys = [(F.col("duration_ns"), False), (F.col("seq"), True)]
+    return numbered(case_rows(ops.page_of_each(df, ops.RUN, keys, 3, 50, sort_rows=2000)))
+
+
+@query(
+    with_tables("cases")
+    + """SELECT *, row_number() OVER (ORDER BY run_id, suite) AS place FROM (
+      SELECT run_id, suite, count(*) AS tests, count(*) FILTER (WHERE status = 'fail') AS failures,
+      count(*) FILTER (WHERE status = 'fail') = 0 AS all_pass, row_number() OVER (PARTITION BY run_id ORDER BY suite) AS rn
+      FROM cases GROUP BY run_id, suite) WHERE rn BETWEEN 4 AND 6""".replace("SELECT *,", "SELECT * EXCLUDE (rn),")
+)
+def page_suites_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(ops.page_suites_of_runs(base.cases(spark, sf_dir), 2, size=3))
 
 
 # A page far past the end is the last page, found without gathering the rows before it.
@@ -175,22 +203,23 @@ def page_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_tables("cases")
     + f""", numbered AS (SELECT *, row_number() OVER (ORDER BY duration_ms, run_id, seq) - 1 AS rn,
       count(*) OVER () AS n FROM cases)
-    SELECT {_CASE_ROW} FROM numbered WHERE rn >= (n - 1) // 200 * 200"""
+    SELECT {_CASE_ROW}, row_number() OVER (ORDER BY rn) AS place FROM numbered WHERE rn >= (n - 1) // 200 * 200"""
 )
 def last_page_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = base.cases(spark, sf_dir)
     keys = ops.case_sort_keys(df, "duration_ns")
-    return case_rows(ops.page(df, keys, 10**9, ops.PAGE_TESTS, top_k_rows=0, sort_rows=1000))
+    return numbered(case_rows(ops.page(df, keys, 10**9, ops.PAGE_TESTS, top_k_rows=0, sort_rows=1000)))
 
 
 @query(
     with_tables("cases")
-    + """SELECT run_id, suite, count(*) AS tests, count(*) FILTER (WHERE status = 'fail') AS failures,
+    + """SELECT *, row_number() OVER (ORDER BY run_id, suite) AS place FROM (
+    SELECT run_id, suite, count(*) AS tests, count(*) FILTER (WHERE status = 'fail') AS failures,
     count(*) FILTER (WHERE status = 'fail') = 0 AS all_pass FROM cases GROUP BY ALL
-    ORDER BY run_id, suite LIMIT 50 OFFSET 50"""
+    ORDER BY run_id, suite LIMIT 50 OFFSET 50)"""
 )
 def page_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.page_suites(base.cases(spark, sf_dir), 2)
+    return numbered(ops.page_suites(base.cases(spark, sf_dir), 2))
 
 
 @query(with_tables("stats") + "SELECT run_id, failed AS failed_tests, failed > 0 AS gate_failed FROM stats")

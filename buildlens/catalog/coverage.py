@@ -10,6 +10,7 @@ from buildlens.catalog.base import query, with_tables
 from buildlens.operators import cases as case_ops
 from buildlens.operators import coverage as ops
 from buildlens.operators import gates, merge
+from buildlens.plans.rank import numbered
 from buildlens.sources.cobertura import class_line_dedup as dedup_class_lines
 from buildlens.sources.gocover import first_block_wins as first_blocks
 from buildlens.sources.jacoco import jacoco_func_calls as calls_by_line
@@ -28,9 +29,14 @@ def cov_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cov_stats(base.files(spark, sf_dir))
 
 
-@query(with_tables("view") + _VIEW)
+def _placed(rows: str, order: str) -> str:
+    """SQL rows with their place in an order."""
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM ({rows})"
+
+
+@query(with_tables("view") + _placed(_VIEW, "run_id, path"))
 def cov_view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.files_by_path(base.view(spark, sf_dir))
+    return numbered(ops.files_by_path(base.view(spark, sf_dir)))
 
 
 @query(
@@ -45,10 +51,10 @@ def dir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_tables("view", dirs=f"""SELECT run_id, dir, {base.SUM_SQL}, count(*) AS file_count,
         CAST(0 AS BIGINT) AS below_count FROM view GROUP BY ALL""")
-    + f"SELECT *, {base.PCT_SQL} FROM dirs ORDER BY run_id, dir LIMIT 5 OFFSET 5"
+    + _placed(f"SELECT *, {base.PCT_SQL} FROM dirs ORDER BY run_id, dir LIMIT 5 OFFSET 5", "run_id, dir")
 )
 def page_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.page_dirs(base.view(spark, sf_dir), 2, size=5)
+    return numbered(ops.page_dirs(base.view(spark, sf_dir), 2, size=5))
 
 
 @query(
@@ -86,29 +92,50 @@ def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.search_files(base.view(spark, sf_dir), " D3/F1")
 
 
-@query(with_tables("file_pcts") + "SELECT * FROM file_pcts WHERE lines_total > 0 AND line_pct < 60")
+@query(
+    with_tables("file_pcts")
+    + _placed("SELECT * FROM file_pcts WHERE lines_total > 0 AND line_pct < 60", "run_id, line_pct, path")
+)
 def worst_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.worst_files(base.files(spark, sf_dir), 60)
+    return numbered(ops.worst_files(base.files(spark, sf_dir), 60))
 
 
-@query(with_tables("files") + "SELECT * FROM files")
+@query(with_tables("files") + _placed("SELECT * FROM files", "run_id, path"))
 def files_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.files_by_path(base.files(spark, sf_dir))
+    return numbered(ops.files_by_path(base.files(spark, sf_dir)))
 
 
-@query(with_tables("view") + _VIEW + " WHERE lines_total > 0")
+@query(with_tables("view") + _placed(_VIEW + " WHERE lines_total > 0", "run_id, lines_total DESC, path"))
 def files_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.files_by_size(base.view(spark, sf_dir))
+    return numbered(ops.files_by_size(base.view(spark, sf_dir)))
 
 
-@query(with_tables("view") + _VIEW)
+@query(with_tables("view") + _placed(_VIEW, "path DESC, run_id"))
 def sort_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.sort_files(base.view(spark, sf_dir), "path", descending=True)
+    return numbered(ops.sort_files(base.view(spark, sf_dir), "path", descending=True))
 
 
-@query(with_tables("view") + _VIEW + " ORDER BY line_pct, run_id, path LIMIT 200")
+@query(with_tables("view") + _placed(_VIEW + " ORDER BY line_pct, run_id, path LIMIT 200", "line_pct, run_id, path"))
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.page_files(base.view(spark, sf_dir), 1, column="line_pct")
+    return numbered(ops.page_files(base.view(spark, sf_dir), 1, column="line_pct"))
+
+
+@query(
+    with_tables("view")
+    + _placed(f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY lines_total DESC, path) AS rn
+      FROM ({_VIEW})) WHERE rn BETWEEN 21 AND 30""", "run_id, lines_total DESC, path")
+)
+def page_files_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(ops.page_files_of_runs(base.view(spark, sf_dir), 3, size=10, column="lines_total", descending=True))
+
+
+@query(
+    with_tables("view", dirs=f"""SELECT run_id, dir, {base.SUM_SQL}, count(*) AS file_count,
+        CAST(0 AS BIGINT) AS below_count, row_number() OVER (PARTITION BY run_id ORDER BY dir) AS rn FROM view GROUP BY run_id, dir""")
+    + _placed(f"SELECT * EXCLUDE (rn), {base.PCT_SQL} FROM dirs WHERE rn BETWEEN 4 AND 6", "run_id, dir")
+)
+def page_dirs_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(ops.page_dirs_of_runs(base.view(spark, sf_dir), 2, size=3))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from buildlens.catalog import base
 from buildlens.catalog.base import query, with_tables
 from buildlens.operators import deltas as ops
+from buildlens.plans.rank import numbered
 from buildlens.session import scratch_path
 from buildlens.sources.snapshot_store import SnapshotStore
 
@@ -56,8 +57,12 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.snapshot_files(entries.withColumn("run_id", F.concat_ws("/", "run_id", "source_ord")))
 
 
-@query(with_tables("file_pcts") + _FILE_PAIR)
+@query(with_tables("file_pcts") + f"SELECT *, row_number() OVER (ORDER BY path) AS place FROM ({_FILE_PAIR})")
 def file_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(changed_files(spark, sf_dir))
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = ops.snapshot_files(base.line_files(spark, sf_dir).withColumn("file_ord", F.lit(0)))
     return ops.deltas_by_path(
         ops.file_deltas(base.of_run(shares, "base"), base.of_run(shares, "cur"), [])
@@ -94,7 +99,7 @@ def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cov_rows_with_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = base.of_run(base.view(spark, sf_dir), "cur")
-    return ops.cov_rows_with_delta(view, file_deltas(spark, sf_dir))
+    return ops.cov_rows_with_delta(view, changed_files(spark, sf_dir))
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:

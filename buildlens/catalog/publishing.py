@@ -11,6 +11,8 @@ from buildlens.catalog.deltas import SNAPSHOT_SQL, STAMP, snapshots
 from buildlens.operators import deltas as delta_ops
 from buildlens.operators import publish as ops
 from buildlens.operators.cases import test_stats
+from buildlens.operators.coverage import TOTALS
+from buildlens.plans.rank import numbered
 
 URI = "https://example.org/buildlens"
 
@@ -27,11 +29,21 @@ _CASE_JSON = json_object(
     ("message", "message"), ("file", "file"), ("line", "nullif(line, 0)"),
 )
 
+def _metric_sql(label: str, kind: str, counts: str) -> str:
+    emoji = f"CASE WHEN {kind}_pct >= 80 THEN '🟢' WHEN {kind}_pct >= 50 THEN '🟡' ELSE '🔴' END"
+    return f"concat('| ', {emoji}, ' {label} | ', {counts}_covered, ' | ', {counts}_total, ' | ', printf('%.1f', {kind}_pct), '% |')"
+
+
 def joined_texts(rows: DataFrame) -> DataFrame:
     """Rows of a document without their order."""
     return rows.select("run_id", "text")
 
 
+def in_place(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of documents, one run behind the other, with their place."""
+    return numbered(joined_texts(rows.orderBy("run_id", *(order or ("ord",)))))
+
+
 # Every case is one row of the document; opening and closing marks of suites go
 # with the first case of a suite. The head holds a percentage, whose digits the
 # engines print alike.
@@ -40,14 +52,98 @@ def joined_texts(rows: DataFrame) -> DataFrame:
         "cases", "stats",
         seen="SELECT *, min(seq) OVER (PARTITION BY run_id, suite) AS s, min(seq) OVER (PARTITION BY run_id) AS r FROM cases",
     )
-    + f"""SELECT run_id, concat(CASE WHEN seq = s THEN concat(CASE WHEN seq = r THEN '' ELSE ']}},' END,
+    + f"""SELECT run_id, text, row_number() OVER (ORDER BY run_id, section, s, seq) AS place FROM (
+    SELECT run_id, 1 AS section, s, seq, concat(CASE WHEN seq = s THEN concat(CASE WHEN seq = r THEN '' ELSE ']}},' END,
       '{{"name":', to_json(suite), ',"cases":[') ELSE ',' END, {_CASE_JSON}) AS text FROM seen
-    UNION ALL SELECT run_id, concat('{{"generated_at":"{STAMP}","summary":{{"total":', total, ',"passed":', passed,
+    UNION ALL SELECT run_id, 0, 0, 0, concat('{{"generated_at":"{STAMP}","summary":{{"total":', total, ',"passed":', passed,
       ',"failed":', failed, ',"skipped":', skipped, ',"pass_pct":', {base.pct_sql('passed', 'total')}, '}},"suites":[') FROM stats
-    UNION ALL SELECT run_id, ']}}]}}' FROM stats"""
+    UNION ALL SELECT run_id, 2, 0, 0, ']}}]}}' FROM stats)"""
 )
 def test_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined_texts(ops.test_report_json(base.cases(spark, sf_dir), STAMP))
+    return in_place(ops.test_report_json(base.cases(spark, sf_dir), STAMP))
+
+
+# Runs without anything in them: run2 has no case, the run cur no file.
+
+_EMPTY_TESTS = """SELECT r.run_id, count(c.run_id) AS total, count(c.run_id) FILTER (WHERE status IN ('pass', 'flaky')) AS passed,
+    count(c.run_id) FILTER (WHERE status = 'fail') AS failed, count(c.run_id) FILTER (WHERE status = 'skip') AS skipped
+    FROM (SELECT DISTINCT run_id FROM cases) r LEFT JOIN cases c ON c.run_id = r.run_id AND c.run_id <> 'run2' GROUP BY r.run_id"""
+_SHORT_HEAD = f"""concat('{{"generated_at":"{STAMP}","summary":{{"total":', total, ',"passed":', passed,
+    ',"failed":', failed, ',"skipped":', skipped, ',"pass_pct":', {base.pct_sql('passed', 'total')}, '}},"suites":',
+    CASE WHEN total = 0 THEN 'null}}' ELSE '[' END)"""
+
+
+@query(
+    with_tables("cases", totals=_EMPTY_TESTS)
+    + f"""SELECT run_id, text, row_number() OVER (ORDER BY run_id, section) AS place FROM (
+    SELECT run_id, 0 AS section, {_SHORT_HEAD} AS text FROM totals
+    UNION ALL SELECT run_id, 2, CASE WHEN total = 0 THEN '' ELSE ']}}]}}' END FROM totals)"""
+)
+def empty_run_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head and foot of every run's JSON report, that of the empty run included."""
+    cases = base.cases(spark, sf_dir)
+    report = ops.test_report_json(cases.where("run_id <> 'run2'"), STAMP, cases.select("run_id"))
+    return in_place(report.where("ord.section <> 1"))
+
+
+@query(
+    with_tables("cases", totals=_EMPTY_TESTS)
+    + f"""SELECT run_id, text, row_number() OVER (ORDER BY run_id, n) AS place FROM (
+      SELECT run_id, unnest(texts) AS text, unnest(range(len(texts))) AS n FROM (
+        SELECT run_id, [concat('## Test Report', chr(10)), concat('_Generated: {STAMP}_', chr(10)),
+        concat('| Metric | Value |', chr(10), '|--------|-------|'), concat('| **Total** | ', total, ' |'),
+        concat('| ✅ Passed | ', passed, ' |'), concat('| ❌ Failed | ', failed, ' |'), concat('| ⏭️ Skipped | ', skipped, ' |'),
+        concat('| Pass rate | ', printf('%.1f', {base.pct_sql('passed', 'total')}), '% |', chr(10)),
+        CASE WHEN failed > 0 THEN concat('### ❌ Failed Tests', chr(10)) END] AS texts FROM totals)) WHERE text IS NOT NULL"""
+)
+def empty_run_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every run's Markdown report, those of the empty run included."""
+    cases = base.cases(spark, sf_dir)
+    report = ops.test_markdown_rows(cases.where("run_id <> 'run2'"), STAMP, runs=cases.select("run_id"))
+    return in_place(report.where("ord.section = 0"))
+
+
+_EMPTY_FILES = f"""SELECT *, {base.PCT_SQL} FROM (SELECT r.run_id, count(f.path) AS file_count,
+    {', '.join(f"CAST(coalesce(sum(f.{t}), 0) AS BIGINT) AS {t}" for t in TOTALS)}
+    FROM (SELECT DISTINCT run_id FROM files) r LEFT JOIN files f ON f.run_id = r.run_id AND f.run_id <> 'cur' GROUP BY r.run_id)"""
+
+
+@query(
+    with_tables("files", totals=_EMPTY_FILES)
+    + """SELECT run_id, file_count, line_pct AS lines_pct, lines_covered, lines_total, branch_pct, func_pct,
+    CASE WHEN file_count = 0 THEN 'null}' ELSE '[' END AS opens, CASE WHEN file_count = 0 THEN '' ELSE ']}' END AS closes FROM totals"""
+)
+def empty_run_coverage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head and foot of every run's JSON coverage report; percentages are compared as numbers."""
+    files = base.files(spark, sf_dir)
+    report = ops.cov_report_json(files.where("run_id <> 'cur'"), STAMP, files.select("run_id"))
+    text = F.col("text")
+    opens = F.regexp_extract("text", r'"files":(.*)$', 1)
+    whole = F.from_json(
+        F.get_json_object(F.concat(F.regexp_extract("text", r'^(.*),"files":.*$', 1), F.lit("}")), "$.summary"),
+        "file_count BIGINT, lines_pct DOUBLE, lines_covered BIGINT, lines_total BIGINT, branch_pct DOUBLE, func_pct DOUBLE",
+    )
+    head = report.where("ord.section = 0").select("run_id", whole.alias("o"), opens.alias("opens")).select("run_id", "o.*", "opens")
+    return head.join(report.where("ord.section = 2").select("run_id", text.alias("closes")), "run_id")
+
+
+@query(
+    with_tables("files", totals=_EMPTY_FILES)
+    + """SELECT run_id, text, row_number() OVER (ORDER BY run_id, n) AS place FROM (
+      SELECT run_id, unnest(texts) AS text, unnest(range(len(texts))) AS n FROM (
+        SELECT run_id, [{lines}, CASE WHEN branch_total > 0 THEN {branches} END, CASE WHEN func_total > 0 THEN {funcs} END,
+        concat('<details><summary>Per-file coverage (', file_count, ' files)</summary>', chr(10))] AS texts FROM totals))
+      WHERE text IS NOT NULL""".format(
+        lines=_metric_sql("Lines", "line", "lines"), branches=_metric_sql("Branches", "branch", "branch"),
+        funcs=_metric_sql("Functions", "func", "func"),
+    )
+)
+def empty_run_coverage_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of every run's Markdown coverage report, those of the empty run included."""
+    files = base.files(spark, sf_dir)
+    report = ops.cov_markdown_rows(files.where("run_id <> 'cur'"), STAMP, files.select("run_id"))
+    wanted = F.col("text").rlike(r"^\| \S+ (Lines|Branches|Functions) \||^<details>")
+    return in_place(report.where((F.col("ord.section") == 0) & wanted))
 
 
 # Percentages are compared as numbers: the engines may print doubles differently.
@@ -132,19 +228,21 @@ _FILE = "coalesce(file, replace(suite, '.', '/'))"
 
 @query(
     with_tables("cases")
-    + f"""SELECT run_id, seq, 'github' AS platform, concat('::error ', CASE WHEN line > 0 THEN concat('file=', {_GH.format(_FILE)},
+    + f"""SELECT run_id, seq, platform, text, row_number() OVER (PARTITION BY platform ORDER BY run_id, s, seq) AS place FROM (
+    SELECT run_id, seq, 'github' AS platform, concat('::error ', CASE WHEN line > 0 THEN concat('file=', {_GH.format(_FILE)},
       ',line=', line, ',') ELSE '' END, 'title=', name, '::', {_GH.format('message')}) AS text FROM cases WHERE status = 'fail'
     UNION ALL SELECT run_id, seq, 'gitlab', concat(chr(27), '[31mFAIL', chr(27), '[0m  ', suite, ' :: ', name, ' — ', message)
       FROM cases WHERE status = 'fail'
     UNION ALL SELECT run_id, seq, 'azure', concat('##vso[task.logissue type=error;sourcepath=', {_FILE}, ';',
       CASE WHEN line > 0 THEN concat('linenumber=', line, ';') ELSE '' END, 'title=', name, ']', {_AZ.format('message')})
-      FROM cases WHERE status = 'fail'"""
+      FROM cases WHERE status = 'fail')
+    JOIN (SELECT run_id, seq, min(seq) OVER (PARTITION BY run_id, suite) AS s FROM cases) USING (run_id, seq)"""
 )
 def test_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases = base.cases(spark, sf_dir)
     out = None
     for platform in ops.PLATFORMS:
-        rows = ops.test_annotations(cases, platform).select("run_id", "seq", F.lit(platform).alias("platform"), "text")
+        rows = numbered(ops.test_annotations(cases, platform).select("run_id", "seq", F.lit(platform).alias("platform"), "text"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -159,18 +257,19 @@ _OVERALL = "concat('overall line coverage ', printf('%.1f', line_pct), '{p} is b
         low="SELECT * FROM file_pcts WHERE lines_total > 0 AND line_pct < 60",
         overall="SELECT * FROM cov_stats WHERE line_pct < 60",
     )
-    + f"""SELECT run_id, 'github' AS platform, concat('::warning file=', path, ',title=Low Coverage::', {_DETAIL.format(p='%25')}) AS text FROM low
-    UNION ALL SELECT run_id, 'github', concat('::error title=Coverage Below Threshold::', {_OVERALL.format(p='%25')}) FROM overall
-    UNION ALL SELECT run_id, 'gitlab', concat(chr(27), '[33mWARN', chr(27), '[0m  ', path, ' — ', {_DETAIL.format(p='%')}) FROM low
-    UNION ALL SELECT run_id, 'gitlab', concat(chr(27), '[31mFAIL', chr(27), '[0m  ', {_OVERALL.format(p='%')}) FROM overall
-    UNION ALL SELECT run_id, 'azure', concat('##vso[task.logissue type=warning;sourcepath=', path, ']', {_DETAIL.format(p='%')}) FROM low
-    UNION ALL SELECT run_id, 'azure', concat('##vso[task.logissue type=error]', {_OVERALL.format(p='%')}) FROM overall"""
+    + f"""SELECT run_id, platform, text, row_number() OVER (PARTITION BY platform ORDER BY run_id, kind, line_pct, path) AS place FROM (
+    SELECT run_id, 0 AS kind, line_pct, path, 'github' AS platform, concat('::warning file=', path, ',title=Low Coverage::', {_DETAIL.format(p='%25')}) AS text FROM low
+    UNION ALL SELECT run_id, 1, line_pct, '', 'github', concat('::error title=Coverage Below Threshold::', {_OVERALL.format(p='%25')}) FROM overall
+    UNION ALL SELECT run_id, 0, line_pct, path, 'gitlab', concat(chr(27), '[33mWARN', chr(27), '[0m  ', path, ' — ', {_DETAIL.format(p='%')}) FROM low
+    UNION ALL SELECT run_id, 1, line_pct, '', 'gitlab', concat(chr(27), '[31mFAIL', chr(27), '[0m  ', {_OVERALL.format(p='%')}) FROM overall
+    UNION ALL SELECT run_id, 0, line_pct, path, 'azure', concat('##vso[task.logissue type=warning;sourcepath=', path, ']', {_DETAIL.format(p='%')}) FROM low
+    UNION ALL SELECT run_id, 1, line_pct, '', 'azure', concat('##vso[task.logissue type=error]', {_OVERALL.format(p='%')}) FROM overall)"""
 )
 def cov_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = base.line_files(spark, sf_dir)
     out = None
     for platform in ops.PLATFORMS:
-        rows = ops.cov_annotations(files, 60, platform).select("run_id", F.lit(platform).alias("platform"), "text")
+        rows = numbered(ops.cov_annotations(files, 60, platform).select("run_id", F.lit(platform).alias("platform"), "text"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -189,11 +288,6 @@ def test_markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_texts(ops.test_markdown_rows(base.cases(spark, sf_dir), STAMP))
 
 
-def _metric_sql(label: str, kind: str, counts: str) -> str:
-    emoji = f"CASE WHEN {kind}_pct >= 80 THEN '🟢' WHEN {kind}_pct >= 50 THEN '🟡' ELSE '🔴' END"
-    return f"concat('| ', {emoji}, ' {label} | ', {counts}_covered, ' | ', {counts}_total, ' | ', printf('%.1f', {kind}_pct), '% |')"
-
-
 @query(
     with_tables("file_pcts", "cov_stats")
     + f"""SELECT run_id, concat('| `', path, '` | ', printf('%.1f', line_pct), '% | ', lines_covered, '/', lines_total, ' | ',

@@ -91,8 +91,8 @@ def _in_failure_order(cases: DataFrame, failed: DataFrame) -> DataFrame:
 # JSON reports
 
 
-def test_summary(cases: DataFrame) -> DataFrame:
-    return test_stats(cases).withColumn("pass_pct", pct(F.col("passed"), F.col("total")))
+def test_summary(cases: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    return test_stats(cases, runs=runs).withColumn("pass_pct", pct(F.col("passed"), F.col("total")))
 
 
 test_summary.__test__ = False
@@ -111,8 +111,21 @@ def case_json(cases: DataFrame) -> Column:
     )
 
 
-def test_report_json(cases: DataFrame, generated_at: str) -> DataFrame:
-    """Document rows of the JSON test report, one row per case."""
+# What stands in a JSON report in place of an empty list.
+_NO_ITEMS = "null}"
+
+
+def _open_list(count: str) -> Column:
+    return F.when(F.col(count) > 0, F.lit("[")).otherwise(F.lit(_NO_ITEMS))
+
+
+def _list_foot(foot: str) -> Column:
+    """The end of a document, unless its head has no list to close."""
+    return F.when(F.endswith("text", F.lit(_NO_ITEMS)), F.lit("")).otherwise(F.lit(foot))
+
+
+def test_report_json(cases: DataFrame, generated_at: str, runs: DataFrame | None = None) -> DataFrame:
+    """Document rows of the JSON test report, one row per case; with `runs`, empty runs have one too."""
     placed = in_suite_order(cases)
     opens_suite = F.col("place.suite") == F.col("place.case")
     opens_run = F.col("place.case") == F.col("run_first")
@@ -125,11 +138,11 @@ def test_report_json(cases: DataFrame, generated_at: str) -> DataFrame:
     summary = F.struct("total", "passed", "failed", "skipped", "pass_pct")
     head = F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), summary.alias("summary")))
     return _document(
-        test_summary(cases).select(
-            "run_id", F.concat(_without_last(head, 1), F.lit(',"suites":[')).alias("text")
+        test_summary(cases, runs).select(
+            "run_id", F.concat(_without_last(head, 1), F.lit(',"suites":'), _open_list("total")).alias("text")
         ),
         placed.select("run_id", "place", text.alias("text")),
-        F.lit("]}]}"),
+        _list_foot("]}]}"),
     )
 
 
@@ -160,17 +173,19 @@ def cov_file_json(files: DataFrame) -> DataFrame:
     return rows.select("run_id", file_place(rows).alias("place"), text.alias("text"))
 
 
-def cov_report_json(files: DataFrame, generated_at: str) -> DataFrame:
-    """Document rows of the JSON coverage report, one row per file."""
+def cov_report_json(files: DataFrame, generated_at: str, runs: DataFrame | None = None) -> DataFrame:
+    """Document rows of the JSON coverage report, one row per file; with `runs`, empty runs have one too."""
     summary = F.struct(
         F.col("line_pct").alias("lines_pct"), "lines_covered", "lines_total",
         *_pct_fields(omit_empty=False), "file_count",
     )
     head = F.to_json(F.struct(F.lit(generated_at).alias("generated_at"), summary.alias("summary")))
     return _document(
-        cov_stats(files).select("run_id", F.concat(_without_last(head, 1), F.lit(',"files":[')).alias("text")),
+        cov_stats(files, runs=runs).select(
+            "run_id", F.concat(_without_last(head, 1), F.lit(',"files":'), _open_list("file_count")).alias("text")
+        ),
         _separated(cov_file_json(files)),
-        F.lit("]}"),
+        _list_foot("]}"),
     )
 
 
@@ -289,9 +304,9 @@ def _red(label: str) -> Column:
 
 
 def test_annotations(cases: DataFrame, platform: str) -> DataFrame:
-    """One CI log line per failed case."""
+    """One CI log line per failed case, suites by first appearance and cases by their place."""
     _check_platform(platform)
-    failed = failed_only(cases)
+    failed = _in_failure_order(cases, failed_only(cases))
     title = first_line(F.coalesce(blank_to_null(F.col("message")), F.lit("test failed")))
     file = F.coalesce(blank_to_null(F.col("file")), F.replace("suite", F.lit("."), F.lit("/")))
     name, line = F.col("name"), F.col("line")
@@ -311,7 +326,7 @@ def test_annotations(cases: DataFrame, platform: str) -> DataFrame:
             F.when(has_line, number).otherwise(F.lit("")),
             F.lit("title="), esc_azure(name), F.lit("]"), esc_azure(title),
         )
-    return failed.select("run_id", "suite", "seq", text.alias("text"))
+    return failed.select("run_id", "place", "suite", "seq", text.alias("text")).orderBy("run_id", "place")
 
 
 test_annotations.__test__ = False
@@ -369,8 +384,10 @@ def _table_rows(rows: list[Column]) -> Column:
     return F.array_compact(F.array(*numbered))
 
 
-def test_markdown_rows(cases: DataFrame, generated_at: str, title: str = "Test Report") -> DataFrame:
-    """Document rows of the Markdown test summary: metrics, then failures."""
+def test_markdown_rows(
+    cases: DataFrame, generated_at: str, title: str = "Test Report", runs: DataFrame | None = None
+) -> DataFrame:
+    """Document rows of the Markdown test summary: metrics, then failures; with `runs`, empty runs have one too."""
 
     def metric(label: str, value: str) -> Column:
         return F.concat(F.lit(f"| {label} | "), F.col(value).cast("string"), F.lit(" |"))
@@ -386,7 +403,7 @@ def test_markdown_rows(cases: DataFrame, generated_at: str, title: str = "Test R
         F.concat(F.lit("| Pass rate | "), pct_text(F.col("pass_pct")), F.lit(" |\n")),
         F.when(F.col("failed") > 0, F.lit("### ❌ Failed Tests\n")),
     ]
-    head = test_summary(cases).select("run_id", F.inline(_table_rows(lines)))
+    head = test_summary(cases, runs).select("run_id", F.inline(_table_rows(lines)))
 
     failed = _in_failure_order(cases, failed_only(cases))
     message, stdout = blank_to_null(F.col("message")), blank_to_null(F.col("stdout"))
@@ -425,8 +442,8 @@ def _sections(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def cov_markdown_rows(files: DataFrame, generated_at: str) -> DataFrame:
-    """Document rows of the Markdown coverage summary: metrics, then files."""
+def cov_markdown_rows(files: DataFrame, generated_at: str, runs: DataFrame | None = None) -> DataFrame:
+    """Document rows of the Markdown coverage summary: metrics, then files; with `runs`, empty runs have one too."""
 
     def metric(label: str, kind: str, total: str) -> Column:
         share = F.col(f"{kind}_pct")
@@ -456,7 +473,7 @@ def cov_markdown_rows(files: DataFrame, generated_at: str) -> DataFrame:
             "|------|---------|-------|------------|-------------|"
         ),
     ]
-    stats = cov_stats(files)
+    stats = cov_stats(files, runs=runs)
     head = stats.select("run_id", F.inline(_table_rows(table)))
 
     def share_or_dash(kind: str) -> Column:
