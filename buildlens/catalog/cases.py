@@ -243,9 +243,12 @@ def merge_test_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_test_runs(input_runs(spark, sf_dir))
 
 
-@query(with_tables("cases") + "SELECT DISTINCT run_id, source FROM cases")
+@query(
+    with_tables("cases")
+    + "SELECT *, row_number() OVER (ORDER BY run_id, source) AS place FROM (SELECT DISTINCT run_id, source FROM cases)"
+)
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merged_sources(input_runs(spark, sf_dir)).drop("source_ord")
+    return numbered(merge.merged_sources(input_runs(spark, sf_dir)).drop("source_ord"))
 
 
 @query(
@@ -258,14 +261,16 @@ def no_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.separate_runs(base.cases(spark, sf_dir))
 
 
-# Suites of one name in two inputs merge by grouping; their cases stay separate.
+# Suites of one name in several inputs become one, in the order in which the inputs name them.
 @query(
     with_tables("collapsed")
-    + """SELECT run_id, suite, count(*) AS tests, count(*) FILTER (WHERE status = 'fail') AS failures,
-    count(*) FILTER (WHERE status = 'fail') = 0 AS all_pass FROM collapsed GROUP BY ALL"""
+    + """SELECT run_id, suite, tests, failures, sources, row_number() OVER (PARTITION BY run_id ORDER BY source, seq) AS place FROM (
+      SELECT run_id, suite, count(*) AS tests, count(*) FILTER (WHERE status = 'fail') AS failures, count(DISTINCT source) AS sources,
+        min(source) AS source, min_by(seq, (source, seq)) AS seq FROM collapsed GROUP BY run_id, suite)"""
 )
 def merge_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.suite_rollup(base.collapsed(spark, sf_dir))
+    cases = base.collapsed(spark, sf_dir).withColumn("source_ord", F.col("source"))
+    return merge.merged_suites(cases).drop("first_seen")
 
 
 OWNER_RULES = [

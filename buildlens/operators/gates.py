@@ -11,7 +11,7 @@ from buildlens.operators.deltas import link_runs
 
 def check_threshold(name: str, value: float) -> float:
     if not 0 <= value <= 100:
-        raise ValueError(f"{name} must be between 0 and 100, got {value:.2f}")
+        raise ValueError(f"threshold {name} is {value:g}; a percentage from 0 to 100 is needed")
     return float(value)
 
 

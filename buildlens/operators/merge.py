@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlens.operators.cases import test_stats
 from buildlens.operators.coverage import TOTALS
+from buildlens.plans.rank import ranked
 from buildlens.plans.skew import attach
 from buildlens.session import materialize
 
@@ -25,6 +26,25 @@ def merge_test_runs(runs: DataFrame) -> DataFrame:
     )
 
 
+def merged_suites(cases: DataFrame) -> DataFrame:
+    """Suites of all inputs of a run merged by name: where each comes among them, and what it holds.
+
+    The merged suites of a run go by the first input and place that names them; `place` counts
+    from 1 in each run. A suite is first added up per input, so a name in very many inputs is no hot group.
+    """
+    case = F.struct("source_ord", "seq")
+    by_input = cases.groupBy("run_id", "suite", "source_ord").agg(
+        F.min(case).alias("first_seen"), F.count(F.lit(1)).alias("tests"), F.count_if(F.col("status") == "fail").alias("failures")
+    )
+    merged = by_input.groupBy("run_id", "suite").agg(
+        F.min("first_seen").alias("first_seen"), F.count(F.lit(1)).alias("sources"),
+        F.sum("tests").alias("tests"), F.sum("failures").alias("failures"),
+    )
+    placed = materialize(ranked(merged, [F.asc("run_id"), F.asc("first_seen")], "_at", "suites"), "merged-suites")
+    before = placed.groupBy("run_id").agg((F.min("_at") - 1).alias("_before"))
+    return attach(placed, before, ["run_id"]).withColumn("place", F.col("_at") - F.col("_before")).drop("_at", "_before")
+
+
 def merged_sources(runs: DataFrame) -> DataFrame:
     """Inputs of each run in merge order."""
     return runs.select("run_id", "source_ord", "source").orderBy("run_id", "source_ord")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import numbers_between, parse_int
 from buildlens.functions.text import trim_space
+from buildlens.plans.skew import attach
 from buildlens.schemas import COV_RECORDS, ENTRY_KEYS, REJECTS, record_seq
 from buildlens.session import materialize
 from buildlens.sources import facts
@@ -54,23 +55,17 @@ def block_lines(blocks: DataFrame) -> DataFrame:
 
 
 def ingest_gocover(spark: SparkSession, inputs: Artifacts) -> facts.CoverageFacts:
-    """Line hits per file; a path is one entry per profile, ordered by path."""
+    """Line hits per file; a path is one entry per profile, in order of first appearance."""
     scanned = scan_artifacts(spark, inputs)
     blocks = materialize(gocover_blocks(scanned), "gocover")
-    start = F.struct(F.lit(0).alias("block_start"), F.lit(0).alias("row_id"))
-    file_ord = record_seq(start).cast(COV_RECORDS["file_ord"])
-
     source_keys = ["run_id", "source", "source_ord", "path"]
-    lines = (
-        first_block_wins(block_lines(blocks), source_keys)
-        .withColumn("file_ord", file_ord)
-        .select(*ENTRY_KEYS, "line", "hits")
-    )
-    entries = blocks.select(*source_keys).distinct().withColumn("file_ord", file_ord).select(*ENTRY_KEYS)
+    first = blocks.groupBy(*source_keys).agg(F.min("seq").alias("first"))
+    entries = materialize(first.withColumn("file_ord", record_seq(F.col("first"))).select(*ENTRY_KEYS), "gocover-entries")
+    lines = first_block_wins(block_lines(attach(blocks, entries, source_keys)), ENTRY_KEYS)
     nothing = facts.no_rows(scanned, COV_RECORDS)
     return facts.CoverageFacts(
         entries,
-        lines,
+        lines.select(*ENTRY_KEYS, "line", "hits"),
         nothing.select(*ENTRY_KEYS, F.inline("branches")),
         nothing.select(*ENTRY_KEYS, F.inline("funcs")),
         list_sources(spark, inputs),

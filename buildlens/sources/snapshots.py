@@ -29,8 +29,8 @@ def read_snapshots(spark: SparkSession, inputs: Artifacts) -> DataFrame:
     )
     newer = F.raise_error(
         F.concat(
-            F.lit("snapshot "), "source", F.lit(" uses version "), F.col("version").cast("string"),
-            F.lit(f", this build supports up to {SNAPSHOT_VERSION}"),
+            F.lit("cannot read "), "source", F.lit(": saved with version "), F.col("version").cast("string"),
+            F.lit(f"; versions up to {SNAPSHOT_VERSION} are known"),
         )
     ).cast("int")
     return raw.withColumn(

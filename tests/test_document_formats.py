@@ -141,3 +141,20 @@ def test_cucumber(spark, put):
         ("u.feature", "x", "pass", 0, None),
     ]
     assert got.rejects.count() == 2
+
+
+def test_cucumber_durations_are_whole_numbers(spark, put):
+    def document(duration):
+        return '[{"name": "F", "elements": [{"name": "e", "steps": [{"result": {"status": "passed", "duration": %s}}]}]}]' % duration
+
+    good = {"none.json": ("null", 0), "zero.json": ("0", 0), "low.json": ("-3", -3), "high.json": ("9223372036854775807", 2**63 - 1)}
+    bad = {"float.json": "1.5", "whole.json": "2.0", "power.json": "1e3", "text.json": '"5"', "wide.json": "9223372036854775808", "list.json": "[1]"}
+    background = document("0.5").replace('"name": "e"', '"type": "background"')
+    files = {k: document(v[0]) for k, v in good.items()} | {k: document(v) for k, v in bad.items()} | {"background.json": background}
+    got = ingest_cucumber(spark, artifacts(put(files)))
+    name = "substring_index(source, '/', -1) AS file"
+    assert rows(got.cases.selectExpr(name, "duration_ns"), "file", "duration_ns") == sorted((k, v[1]) for k, v in good.items())
+    assert rows(got.rejects.selectExpr(name, "error"), "file", "error") == sorted(
+        (k, "duration is no whole number") for k in [*bad, "background.json"]
+    )
+    assert got.runs.count() == len(good)

@@ -23,7 +23,7 @@ def test_gotest_state_machine(spark, put):
         event("run", "A"),
         event("output", "A", Output="=== RUN   A\n"),
         event("output", "B", Output="lost\n"),
-        event("output", "A", Output="    expected 5 got 4\n"),
+        event("output", "A", Output="    crate holds 7 of 9\n"),
         "not json at all",
         event("output", "A", Output="--- FAIL: A (0.5s)\n"),
         event("fail", "A", Elapsed=0.5),
@@ -31,7 +31,7 @@ def test_gotest_state_machine(spark, put):
         event("run", "A"),
         event("output", "A", Output="old run\n"),
         event("run", "A"),
-        event("output", "A", Output="    t.Skip(\"not ready\")\n"),
+        event("output", "A", Output="    t.Skip(\"belt is down\")\n"),
         event("skip", "A", Elapsed=0.1),
         event("run", "Long"),
         event("output", "Long", Output=long_line),
@@ -48,25 +48,25 @@ def test_gotest_state_machine(spark, put):
         got = ingest_gotest(spark, artifacts(folder), chunk_bits=bits)
         assert rows(got.cases, "suite", "name", "status", "duration_ns", "message") == [
             ("default", "P", "pass", 250_000_000, None),
-            ("p", "A", "fail", 500_000_000, "expected 5 got 4"),
-            ("p", "A", "skip", 100_000_000, 't.Skip("not ready")'),
+            ("p", "A", "fail", 500_000_000, "crate holds 7 of 9"),
+            ("p", "A", "skip", 100_000_000, 't.Skip("belt is down")'),
             ("p", "Long", "fail", 0, "x" * 2048 + "\n…"),
             ("p", "Multi", "fail", 0, "é" * 1024 + "\n…"),
         ]
         stdout = got.cases.where("status = 'fail' and name = 'A'").first()["stdout"]
-        assert stdout == "=== RUN   A\n    expected 5 got 4\n--- FAIL: A (0.5s)"
+        assert stdout == "=== RUN   A\n    crate holds 7 of 9\n--- FAIL: A (0.5s)"
         assert rows(got.runs, "duration_ns") == [(500_000_000,)]
 
 
 TAP = """TAP version 13
 1..11
 ok 1 - passes # time=1.5
-not ok 2 - breaks # failed assertion
+not ok 2 - breaks # lid is open
   ---
   not ok 99 - inside yaml
   ---
   ...
-ok 3 - skipped # SKIP not implemented
+ok 3 - skipped # SKIP waits for parts
 ok 4
 not ok 5 - todo # TODO later
     ok 6 - indented
@@ -81,10 +81,10 @@ ok 11 - swallowed
 
 TAP_CASES = [
     ("a # b", "fail", 0, "c"),
-    ("breaks", "fail", 0, "failed assertion"),
+    ("breaks", "fail", 0, "lid is open"),
     ("passes", "pass", 1_500_000_000, None),
     ("plain", "pass", 0, None),
-    ("skipped", "skip", 0, "not implemented"),
+    ("skipped", "skip", 0, "waits for parts"),
     ("sum", "pass", 2_000_000_000, None),
     ("test", "pass", 0, None),
     ("test", "skip", 0, "wins"),
