@@ -1,6 +1,6 @@
 """Toxicity from character n-grams scaled by naive Bayes log-count ratios.
 
-A text's character n-grams (UTF-8 bytes, A-Z lower-cased) are hashed into 2^`BITS` buckets.
+A text's character n-grams (code points, A-Z lower-cased) are hashed into 2^`BITS` buckets.
 The ratio of a bucket is log((p + a) / (P + a)) - log((q + a) / (Q + a)), where p of P toxic
 and q of Q other training texts hold it. Every bucket that LEAST_TEXTS training texts hold is a feature; its
 value is its number in the text times its ratio. One more feature, the text's length, stands for
@@ -8,8 +8,9 @@ what long texts hold by chance. A logistic regression with an L2 penalty learns
 
 Training uses at most FIT_LABELS labelled texts, chosen by a hash of doc_id. Spark counts the
 buckets over all of them, and the counts reach the driver. The regression reads a sample of
-those texts (`fit_rows`): their buckets are stored, and each L-BFGS step sums the gradient
-over them in Spark, so the driver holds a few vectors of 2^`BITS` numbers and no texts.
+those texts (`fit_rows`, half of each label): their buckets are stored, and each L-BFGS step sums
+the gradient over them in Spark block by block, so one vector of 2^`BITS` numbers reaches the
+driver in a step, and no texts do.
 """
 
 from __future__ import annotations
@@ -24,51 +25,54 @@ from pyspark.sql import functions as F
 from buildlens.llm.common import map_chunks, pieces, smallest, stored
 
 BITS = 18
-SIZES = (5, 6, 7)
+SIZES = (5, 6)
 SMOOTHING = 1.0
 # A feature stands in so many training texts.
 LEAST_TEXTS = 5
 # Labels used at most; of their texts so many take part in the regression.
 FIT_LABELS = 100_000
-FIT_ROWS = 20_000
-PENALTY = 1e-4
+FIT_ROWS = 8_000
+PENALTY = 1e-3
 # L-BFGS: steps at most, the steps remembered, the least gain of a step, and tasks of a pass.
-STEPS, MEMORY, LEAST_GAIN, PASS_TASKS = 40, 8, 1e-6, 32
+STEPS, MEMORY, LEAST_GAIN, PASS_TASKS = 12, 6, 1e-3, 8
+# Buckets in a block of a gradient (a bucket table of 2^BITS is cut evenly), and texts looked at together.
+BLOCK, TEXTS = 1 << 12, 64
 THRESHOLD = 0.7
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_DIGIT = np.uint64(0x100000001B3)
 
 
 def grams(texts: list, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram and the text it stands in, repeats included.
+    """Bucket of every character n-gram and the text it stands in, repeats included.
 
     A text is padded with a space on both sides, so word edges at its ends count.
     """
-    data = [b" " + (t or "").encode("utf-8", "replace").lower() + b" " for t in texts]
+    data = [f" {t or ''} " for t in texts]
     length = np.fromiter(map(len, data), np.int64, len(data))
-    end = np.cumsum(length)
-    flat = np.frombuffer(b"".join(data), np.uint8)
-    owner = np.repeat(np.arange(len(data)), length)
-    left = np.repeat(end, length) - np.arange(len(flat))
+    flat = np.frombuffer("".join(data).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    flat = np.where((flat >= 65) & (flat <= 90), flat + np.uint64(32), flat)
+    owner = np.repeat(np.arange(len(data), dtype=np.int32), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(flat))
     buckets, owners = [], []
     value = np.zeros(len(flat), np.uint64)
     for n in range(1, max(sizes) + 1):
-        value[: len(flat) - n + 1] |= flat[n - 1 :].astype(np.uint64) << np.uint64(8 * (n - 1))
+        # The value of the n characters from each place on, as digits of a number.
+        whole = max(len(flat) - n + 1, 0)
+        value[:whole] = value[:whole] * _DIGIT + flat[n - 1 :]
         if n in sizes:
             inside = left >= n
-            x = value[inside]
-            if n < 8:
-                x = x & np.uint64((1 << (8 * n)) - 1)
-            buckets.append(((x + np.uint64(n)) * _SPREAD) >> np.uint64(64 - bits))
+            buckets.append((((value[inside] + np.uint64(n)) * _SPREAD) >> np.uint64(64 - bits)).astype(np.int32))
             owners.append(owner[inside])
-    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
-def counts(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, number) for each bucket a text holds."""
+def held(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) for each bucket that a text holds."""
     bucket, owner = grams(texts)
-    both, number = np.unique((owner << BITS) | bucket, return_counts=True)
-    return both >> BITS, both & ((1 << BITS) - 1), number
+    seen = np.zeros((len(texts), 1 << BITS), bool)
+    seen[owner, bucket] = True
+    return np.nonzero(seen)
 
 
 def lengths(texts: list) -> np.ndarray:
@@ -94,7 +98,7 @@ def packed(texts: list, keep: np.ndarray) -> pa.BinaryArray:
     included, as the gap to the one before (the first to 0), where a byte 255 goes on with the next one."""
     bucket, owner = grams(texts)
     wanted = keep[bucket]
-    both = np.sort((owner[wanted] << BITS) | bucket[wanted])
+    both = np.sort((owner[wanted].astype(np.int64) << BITS) | bucket[wanted])
     owner, bucket = both >> BITS, both & ((1 << BITS) - 1)
     gap = bucket.copy()
     gap[1:] -= np.where(owner[1:] == owner[:-1], bucket[:-1], 0)
@@ -125,10 +129,10 @@ def bucket_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total = np.zeros((2, 1 << BITS), np.int64)
         texts = np.zeros(2, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                piece = batch.slice(at, TEXTS)
                 label = np.array(piece.column(1).to_pylist(), np.int64)
-                row, bucket, _ = counts(piece.column(0).to_pylist())
+                row, bucket = held(piece.column(0).to_pylist())
                 for k in (0, 1):
                     total[k] += np.bincount(bucket[label[row] == k], minlength=1 << BITS)
                 texts += np.bincount(label, minlength=2)
@@ -165,45 +169,70 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if not mask.any():
         return none
     ratio = np.where(mask, ratio, 0.0)
-    part = min(1.0, fit_rows / n.sum())
-    sample = rows.where(
-        F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))
-    )
+    chosen = stored(rows.select("doc_id", "label").withColumn("h", F.xxhash64(F.lit("fit"), "doc_id")), "fit-labels")
+    halves = [smallest(chosen.where(F.col("label") == k), "h", fit_rows // 2) for k in (0, 1)]
+    sample = rows.join(F.broadcast(stored(halves[0].unionByName(halves[1]), "fit-rows").select("doc_id").distinct()), "doc_id")
 
     def active(texts: list) -> dict[str, object]:
         return {"length": lengths(texts), "grams": packed(texts, mask)}
 
     seen = stored(map_chunks(sample, ["label"], ["text"], active, "length double, grams binary"), "grams")
-    rows_of = dict(seen.groupBy("label").count().collect())  # two rows
-    if len(rows_of) < 2:
+    of_label = dict(seen.groupBy("label").count().collect())  # two rows
+    if len(of_label) < 2:
         return none
-    w = _least(lambda w: _loss(seen, sum(rows_of.values()), ratio, w), np.zeros((1 << BITS) + 2))
+    # Both classes weigh alike, whatever their numbers.
+    share = np.array([0.5 / of_label[0], 0.5 / of_label[1]])
+    w = _least(lambda w: _loss(seen, share, ratio, w), np.zeros((1 << BITS) + 2))
     return Model((w[:-2] * ratio).astype(np.float32), float(w[-2]), float(w[-1]))
 
 
-def _loss(seen: DataFrame, n: int, ratio: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-    """L2-penalised logistic loss of the weights (buckets, length, bias) over stored rows, and its gradient."""
+def _loss(seen: DataFrame, share: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """L2-penalised logistic loss of the weights (buckets, length, bias) over stored rows, and its gradient.
+
+    Tasks cut their sums into blocks, other tasks add the blocks up, and one vector reaches the driver.
+    """
     size = len(ratio)
-    shared = seen.sparkSession.sparkContext.broadcast(np.r_[w[:size] * ratio, w[size:]])
+    shared = seen.sparkSession.sparkContext.broadcast(np.r_[w[:size] * ratio, w[size:]].astype(np.float32))
+
+    def blocks(total: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        parts = [total[low : low + BLOCK].astype(np.float32).tobytes() for low in range(0, size, BLOCK)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(len(parts) + 1), pa.int32()), pa.array([*parts, rest.tobytes()], pa.binary())], names=["block", "part"]
+        )
 
     def over(batches):
-        weight, total = shared.value, np.zeros(size + 3)
+        weight, total, rest = shared.value, np.zeros(size), np.zeros(3)
         for batch in batches:
             for piece in pieces(batch, 2):
-                label, length = (piece.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+                label, length = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 bucket, owner = unpacked(piece.column(2).to_pylist())
                 z = np.bincount(owner, weight[bucket], len(label)) + length * weight[size] + weight[size + 1]
-                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label
-                total[:size] += np.bincount(bucket, error[owner], size)
-                total[size:] += error @ length, error.sum(), (np.logaddexp(0, z) - label * z).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+                of = share[label]
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * of
+                total += np.bincount(bucket, error[owner], size)
+                rest += error @ length, error.sum(), (of * (np.logaddexp(0, z) - label * z)).sum()
+        yield blocks(total, rest)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                values = np.frombuffer(part, np.float64 if len(part) == 24 else np.float32)
+                sums[block] = sums.get(block, 0) + values.astype(np.float64)
+        small_ = [(b, v.tobytes() if len(v) == 3 else v.astype(np.float32).tobytes()) for b, v in sums.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _ in small_], pa.int32()), pa.array([v for _, v in small_], pa.binary())], names=["block", "part"]
+        )
 
-    parts = seen.select("label", "length", "grams").coalesce(PASS_TASKS).mapInArrow(over, "total binary").collect()  # PASS_TASKS vectors at most
-    total = sum(np.frombuffer(r[0]) for r in parts) / n
+    schema = "block int, part binary"
+    parts = seen.select("label", "length", "grams").coalesce(PASS_TASKS).mapInArrow(over, schema)
+    found = dict(parts.repartition(PASS_TASKS, "block").mapInArrow(add, schema).collect())  # one vector
     shared.destroy()
-    gradient = np.r_[total[:size] * ratio, total[size:-1]]
+    rest = np.frombuffer(found.pop(len(found) - 1))
+    total = np.concatenate([np.frombuffer(found[b], np.float32) for b in range(len(found))]).astype(np.float64)
+    gradient = np.r_[total * ratio, rest[:2]]
     gradient[:-1] += PENALTY * w[:-1]
-    return total[-1] + PENALTY / 2 * w[:-1] @ w[:-1], gradient
+    return rest[2] + PENALTY / 2 * w[:-1] @ w[:-1], gradient
 
 
 def _least(loss, w: np.ndarray) -> np.ndarray:
