@@ -24,10 +24,11 @@ Everything is DataFrame operations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import SPACES, small, stored
+from buildlens.plans.inrow import let
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -41,20 +42,28 @@ FOLD_BYTES = 64 << 30
 KEY_BYTES = 24 << 20
 LAST = (1 << 63) - 1
 _SPACE = r"[\x20\x09-\x0D]+"
+# From a line's first character of a word to its end: one match in every line with a word.
+_WRITTEN = r"[^\x20\x09-\x0D][^\n]*"
 
 
 def _known(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small(df, KEY_BYTES) else df
 
 
+def _shingle_hashes(words: Column, size: int) -> Column:
+    """Hash of every run of `size` words, from the hashes of its words; a shorter line gives one."""
+
+    def runs(hashes: Column) -> Column:
+        starts = F.slice(hashes, 1, F.greatest(F.size(hashes) - (size - 1), F.lit(1)))
+        return F.transform(starts, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, size)]))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
+
+
 def _tokens(lines: DataFrame, shingle: int) -> DataFrame:
     """`lines` with the sorted distinct token hashes of `line`."""
-    words = lines.withColumn("_w", F.split(F.btrim("line", F.lit(SPACES)), _SPACE)).drop("line")
-    last = F.greatest(F.size("_w") - shingle, F.lit(0))
-    hashes = F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + j) for j in range(shingle)])
-    )
-    return words.withColumn("tokens", F.sort_array(F.array_distinct(hashes))).drop("_w")
+    words = F.split(F.btrim("line", F.lit(SPACES)), _SPACE)
+    return lines.withColumn("tokens", F.sort_array(F.array_distinct(_shingle_hashes(words, shingle)))).drop("line")
 
 
 def _prefix_size(n, percent: int):
@@ -211,7 +220,7 @@ def deduplicate(
     """
     rows = _placed(documents).select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], "doc", "t1",
-        F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"),
+        F.coalesce(F.regexp_count("text", F.lit(_WRITTEN)), F.lit(0)).cast("long").alias("n_lines"),
     )
     gone = repeated_lines(documents, shingle, percent)
     lists = stored(gone.groupBy("doc", "t1").agg(F.sort_array(F.collect_list("no")).alias("removed")), "removed")
