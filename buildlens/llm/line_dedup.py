@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import SPACES, small, stored
+from buildlens.llm.kept import keeping
 from buildlens.plans.inrow import let
 
 SHINGLE_WORDS = 5
@@ -210,13 +211,15 @@ def _verified(open_: DataFrame, earlier: DataFrame, sets: DataFrame, percent: in
     return stored(found.select("s1", "s2").distinct(), "found")
 
 
+@keeping("n_lines", "removed")
 def deduplicate(
     documents: DataFrame, columns: list[str], shingle: int = SHINGLE_WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """`columns` of every row with n_lines (lines with a word) and `removed`, the sorted numbers of its
     lines that an earlier line matches.
 
-    Null and empty texts have no lines. Only `doc_id`, `text` and the named columns are read.
+    Null and empty texts have no lines, and an empty table gives an empty one. Only `doc_id`, `text`
+    and the named columns are read; these may have any name.
     """
     rows = _placed(documents).select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], "doc", "t1",

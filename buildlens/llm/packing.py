@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from buildlens.llm.common import map_chunks, stored
+from buildlens.llm.kept import keeping
 
 CAPACITY = 2048
 END_ID = 0
@@ -80,6 +81,7 @@ def encode(texts: list[str], path: str) -> list[list[int]]:
     ]
 
 
+@keeping("piece", "start", "length", "ids")
 def tokenize(
     documents: DataFrame, columns: list[str], path: str, capacity: int = CAPACITY, end_id: int = END_ID
 ) -> DataFrame:
@@ -270,6 +272,7 @@ def place(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, salts:
     return numbered.select(*names, "_number").mapInArrow(run, schema)
 
 
+@keeping("piece", "start", "length", "ids", "sequence_id", "offset")
 def pack(
     documents: DataFrame, columns: list[str], path: str, capacity: int = CAPACITY, end_id: int = END_ID
 ) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from buildlens.llm.common import map_chunks, stored
+from buildlens.llm.kept import keeping
 from buildlens.llm.toxicity import held_out
 
 TO_POOLED = 0.1
@@ -133,6 +134,7 @@ def fit(rows: DataFrame, temperature: float = TEMPERATURE) -> Model:
     return Model(classes[1], classes[0], share, temperature)
 
 
+@keeping("held_out", "score", "predicted")
 def quality(
     documents: DataFrame, labels: DataFrame, columns: list[str], threshold: float = THRESHOLD
 ) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import SPACES, map_chunks
+from buildlens.llm.kept import keeping
 
 MIN_WORDS = 20
 WINDOW_WORDS = 8
@@ -159,6 +160,7 @@ def verdict(
     )
 
 
+@keeping(*[c.split()[0] for c in STATS.split(", ")], "base_failed", "kept")
 def apply_rules(
     documents: DataFrame,
     columns: list[str],
@@ -169,7 +171,7 @@ def apply_rules(
     """`columns` of every row with the statistics, `base_failed` and `kept`.
 
     Null, empty and too short texts fail the base rule. Equal rows get equal results;
-    columns that are not named are not read, so clashing names do no harm.
+    an empty table gives an empty one. Kept columns may have any name.
     """
     stats = repetition_stats(documents, columns)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * base_percent)

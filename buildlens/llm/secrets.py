@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import smallest, stored
+from buildlens.llm.kept import keeping
 
 LEAST_LENGTH = 16
 BEFORE, AFTER = 60, 30
@@ -169,16 +170,18 @@ def train(findings: DataFrame, fit_findings: int = FIT_FINDINGS) -> RandomForest
     return forest.fit(ready)
 
 
+@keeping("number", "start", "end", "secret", "before", "after", "path", *FEATURES, "score", "is_secret")
 def scan(
-    documents: DataFrame, columns: list[str], path: str | None = None, findings: DataFrame | None = None,
+    documents: DataFrame, columns: list[str], path_column: str | None = None, findings: DataFrame | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Every candidate with its score (0 to 1) and `is_secret`.
+    """Every candidate with its score (0 to 1) and `is_secret`; `path_column` names the column with a text's path.
 
     `findings` are labelled rows of `with_features`; without them the corpus's seed labels serve.
-    Without both labels nothing can be told apart and only keys of known issuers are secrets.
+    Without both labels nothing can be told apart and only keys of known issuers are secrets. Null
+    and empty texts and empty tables have no candidates. Kept columns may have any name.
     """
-    described = stored(with_features(candidates(documents, columns, path), dictionary(documents)), "candidates")
+    described = stored(with_features(candidates(documents, columns, path_column), dictionary(documents)), "candidates")
     model = train(seed_labels(described) if findings is None else findings)
     if model is None:
         return described.withColumn("score", F.col("issued")).withColumn("is_secret", F.col("issued") == 1)

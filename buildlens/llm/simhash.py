@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import components, map_chunks, stored
+from buildlens.llm.kept import keeping
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -121,16 +122,18 @@ def links(nodes: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> D
     return pairs.select("a", "b").unionByName(near.select("a", "b"))
 
 
+@keeping("fp", "root", "component_id")
 def near_duplicates(
     documents: DataFrame, columns: list[str], shingle: int = SHINGLE_WORDS, radius: int = RADIUS
 ) -> DataFrame:
-    """`columns` (with `doc_id`) of every row, `fp`, `root` and `component_id`.
+    """`columns` of every row, `fp`, `root` and `component_id`; `documents` needs doc_id and text.
 
     `root` is the smallest fingerprint that links reach and names the component. component_id is
     the smallest doc_id in it, the row's own included; null if no row of it has a doc_id. Equal
-    texts share a fingerprint and so a component.
+    texts share a fingerprint and so a component. Null and empty texts have fingerprint 0 and are
+    linked like any others; an empty table gives an empty one; kept columns may have any name.
     """
-    rows = stored(fingerprints(documents, columns, shingle), "fingerprints")
+    rows = stored(fingerprints(documents, [*columns, "doc_id"], shingle), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), radius), "links")
     grouped = nodes.join(roots, nodes.fp == roots.node, "left").select(

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import map_chunks, small, stored
+from buildlens.llm.kept import keeping
 from buildlens.llm.recompress import anchors, window_names
 
 WINDOW_WORDS = 50
@@ -111,6 +112,7 @@ def _cut(texts: list, starts: list, window: int) -> dict[str, object]:
     }
 
 
+@keeping("n_words", "n_removed", "spans", "kept_sha256")
 def remove_repeats(documents: DataFrame, columns: list[str], window: int = WINDOW_WORDS) -> DataFrame:
     """`columns` of every row with n_words, n_removed, spans (removed words, [start, end)) and kept_sha256.
 

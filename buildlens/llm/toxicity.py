@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import map_chunks, pieces, smallest, stored
+from buildlens.llm.kept import keeping
 
 BITS = 18
 SIZES = (5, 6)
@@ -296,10 +297,16 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, fit_labels: in
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+@keeping("held_out", "score", "predicted")
 def toxicity(
     documents: DataFrame, labels: DataFrame, columns: list[str], threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS
 ) -> DataFrame:
-    """`columns` of every row, held_out, score and predicted, by a model of the labelled rows."""
+    """`columns` of every row, held_out, score and predicted, by a model of the labelled rows.
+
+    Null and empty texts are scored like any others; a null doc_id teaches nothing and is not held
+    out; repeated rows get equal scores. An empty table gives an empty one, and without labels of
+    both kinds all scores are the share of label 1. Kept columns may have any name.
+    """
     model = fit(labelled(documents, labels, "toxic"), fit_rows)
     scored = score(documents.withColumn("held_out", held_out()), [*columns, "held_out"], model)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
