@@ -11,21 +11,29 @@ from pyspark.sql import functions as F
 
 from buildlens.llm import decontamination, line_dedup, quality_rules, simhash
 from buildlens.llm.common import stored, table
+from buildlens.llm.kept import Kept
 from buildlens.llm.queries import packed, tokenizer_path
 
 
+def _apart(docs: DataFrame) -> tuple[Kept, DataFrame]:
+    """All columns of the documents under inner names, beside the two that operators read."""
+    kept = Kept(docs.columns)
+    return kept, kept.take(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.apply_rules(docs, docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    kept, inner = _apart(docs)
+    return kept.give(quality_rules.apply_rules(inner, kept.inner).where("kept"), [])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier line matches; n_chars follows the text."""
-    found = line_dedup.deduplicate(docs, docs.columns)
-    text = line_dedup.without_lines(F.col("text"), F.col("removed"))
-    edited = found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
-    return edited.select(*docs.columns)
+    kept, inner = _apart(docs)
+    of = dict(zip(kept.names, kept.inner))
+    text = line_dedup.without_lines(F.col(of["text"]), F.col("removed"))
+    edited = line_dedup.deduplicate(inner, kept.inner).withColumn(of["text"], text)
+    return kept.give(edited.withColumn(of["n_chars"], F.char_length(of["text"]).cast("long")), [])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +41,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows with equal ids any one stays, and of a group without ids too.
     """
-    found = simhash.near_duplicates(docs, docs.columns)
-    return found.where("doc_id <=> component_id").dropDuplicates(["root"]).select(*docs.columns)
+    kept, inner = _apart(docs)
+    found = simhash.near_duplicates(inner, kept.inner)
+    doc_id = F.col(dict(zip(kept.names, kept.inner))["doc_id"])
+    return kept.give(found.where(doc_id.eqNullSafe(F.col("component_id"))).dropDuplicates(["root"]), [])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return judged.where("NOT contaminated").select(*docs.columns)
+    kept, inner = _apart(docs)
+    judged = decontamination.decontaminate(inner, table(spark, sf_dir, "benchmark"))
+    return kept.give(judged.where("NOT contaminated"), [])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
