@@ -26,9 +26,10 @@ from buildlens.llm.kept import keeping
 MIN_WORDS = 20
 WINDOW_WORDS = 8
 BASE_REPEATED_PERCENT = 30  # of a text's words
-MAX_COVERED = 0.35  # share of a text's word bytes inside its repeats
-MAX_LONGEST = 0.2  # longest repeat as a share of a text's words ...
-LONG_REPEAT = 32  # ... where it has more words than this
+# Limits that decide below the base rule, which lets repeats cover up to 30 % of a text's words: two
+# places of a repeat as long as MAX_LONGEST allows cover 24 %.
+MAX_COVERED = 0.25  # share of a text's word bytes inside its repeats
+MAX_LONGEST = 0.12  # longest repeat as a share of a text's words
 SYMBOLS = "#*$%&|<>"
 
 STATS = (
@@ -151,13 +152,9 @@ def repetition_stats(documents: DataFrame, columns: list[str], window: int = WIN
     return map_chunks(documents, columns, ["text"], lambda texts: _chunk(texts, window), STATS)
 
 
-def verdict(
-    max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, long_repeat: int = LONG_REPEAT
-):
+def verdict(max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST):
     """Column: whether the repeated part and the longest repeat keep to the limits."""
-    return (F.col("covered") <= max_covered) & (
-        (F.col("longest_repeat") <= long_repeat) | (F.col("longest_repeat") <= F.col("n_words") * max_longest)
-    )
+    return (F.col("covered") <= max_covered) & (F.col("longest_repeat") <= F.col("n_words") * max_longest)
 
 
 @keeping(*[c.split()[0] for c in STATS.split(", ")], "base_failed", "kept")

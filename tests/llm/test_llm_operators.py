@@ -64,6 +64,30 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
 
 
+def plain_repetition(text):
+    """(longest repeat, share of the words' bytes inside repeats) by comparing all pairs of places."""
+    words = brute.words(text)
+    longest = brute.longest_repeats(words, quality_rules.WINDOW_WORDS)
+    inside = {j for i, n in enumerate(longest) for j in range(i, i + n)}
+    sizes = [len(w.encode()) for w in words]
+    return max(longest, default=0), sum(sizes[j] for j in inside) / max(sum(sizes), 1)
+
+
+def test_the_verdict_decides_where_the_base_rule_does_not(spark):
+    def text(n, repeat, times):
+        words = [f"w{i}" for i in range(n)]
+        return " ".join(words + words[:repeat] * (times - 1))
+
+    cases = [(text(60, 0, 1), True, False), (text(52, 8, 2), False, False), (text(200, 20, 2), True, False),
+             (text(150, 21, 2), False, False), (text(120, 10, 3), True, False), (text(60, 20, 3), False, True), (text(50, 8, 3), False, True)]
+    frame = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(frame, ["doc_id"]).collect()}
+    for i, (t, kept, failed) in enumerate(cases):
+        longest, covered = plain_repetition(t)
+        assert (got[i].longest_repeat, got[i].covered) == (longest, pytest.approx(covered))
+        assert (got[i].kept, got[i].base_failed) == (kept, failed), (i, longest, covered)
+
+
 def test_rules(spark, documents, rows, nothing):
     got = by_row(quality_rules.apply_rules(documents, ["row", "words"]))
     for _, text, row in rows:
@@ -71,7 +95,10 @@ def test_rules(spark, documents, rows, nothing):
         base = brute.rules(text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
         assert r.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0])
-        assert not (r.base_failed and r.kept)
+        longest, covered = (r.longest_repeat, r.covered) if base[0] > 400 else plain_repetition(text)
+        assert r.longest_repeat == longest and r.covered == pytest.approx(covered)
+        limits = covered <= quality_rules.MAX_COVERED and longest <= quality_rules.MAX_LONGEST * base[0]
+        assert r.kept == (not r.base_failed and limits)
     assert quality_rules.apply_rules(nothing, ["row"]).count() == 0
 
 
