@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from buildlens.llm.common import lower_ascii, small, stored, words_of
 
 WINDOW_WORDS = 10
+# Places of a text that are looked at together.
+BLOCK = 64
 SHINGLE_WORDS = 3
 # Word breaks of the contract: ASCII characters that are neither digits nor letters.
 BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -39,8 +41,24 @@ def _shingles(words, size: int):
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def _blocks(words, size: int, reach: int):
+    """For every BLOCK places of shingles: first, last, and the words from `from` on that any window there needs."""
+    last = F.size(words) - size
+
+    def block(first):
+        start = F.greatest(first - reach, F.lit(0))
+        upto = F.least(first + (BLOCK - 1), last)
+        return F.struct(
+            first.alias("first"), upto.alias("last"), start.alias("from"),
+            F.slice(words, start + 1, upto + (reach + size) - start).alias("words"),
+        )
+
+    firsts = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(BLOCK)), lambda x: x <= last)
+    return F.transform(firsts, block)
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """(item_id, win, n, words): the distinct windows of every item that has a word."""
+    """(n, words, items): the distinct windows of all items that have a word."""
     words = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"),
         words_of(lower_ascii(F.col("text")), BREAKS).alias("w"),
@@ -51,7 +69,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataF
         "w",
     ).select("item_id", F.slice("w", F.col("s") + 1, window).alias("words"))
     return cut.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(
-        F.xxhash64("words").alias("win"), F.size("words").alias("n"), "words", "items"
+        F.size("words").alias("n"), "words", "items"
     )
 
 
@@ -77,16 +95,23 @@ def find_windows(documents: DataFrame, windows: DataFrame, key: list[str], shing
 def _find(documents: DataFrame, windows: DataFrame, key: list[str], k: int) -> DataFrame:
     longest = windows.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
     of_window = stored(
-        windows.select("win", "n", F.posexplode(_shingles(F.col("words"), k)).alias("at", "h")), "shingles"
+        windows.select("words", "n", F.posexplode(_shingles(F.col("words"), k)).alias("at", "h")), "shingles"
     )
     vocabulary = stored(of_window.select("h").distinct(), "shingle-set")
     reach = longest - k  # a window that holds this place starts or ends at most so many words away
-    places = documents.select(*key, "w", F.posexplode(_shingles(F.col("w"), k)).alias("p", "h"))
+    # A text is cut into blocks of places first, each with the words around them, so what a place carries
+    # along does not grow with its text.
+    blocks = documents.select(*key, F.size("w").alias("n_words"), F.explode(_blocks(F.col("w"), k, reach)).alias("b"))
+    placed = F.transform(
+        F.sequence(F.col("b.first"), F.col("b.last")),
+        lambda p: F.struct(p.alias("p"), _shingle(F.col("b.words"), p - F.col("b.from"), k).alias("h")),
+    )
+    places = blocks.select(*key, "n_words", "b.from", "b.words", F.inline(placed))
     places = places.join(F.broadcast(vocabulary) if small(vocabulary) else vocabulary, "h", "left_semi")
+    near = F.greatest(F.col("p") - reach, F.lit(0))
     places = stored(
         places.select(
-            *key, F.col("p"), "h", F.size("w").alias("n_words"), F.greatest(F.col("p") - reach, F.lit(0)).alias("from"),
-            F.slice("w", F.greatest(F.col("p") - reach, F.lit(0)) + 1, 2 * reach + k).alias("around"),
+            *key, "p", "h", "n_words", near.alias("from"), F.slice("words", near - F.col("from") + 1, 2 * reach + k).alias("around"),
         ),
         "places",
     )
@@ -94,11 +119,11 @@ def _find(documents: DataFrame, windows: DataFrame, key: list[str], k: int) -> D
     counts = places.groupBy("h").count()
     prefix = (
         of_window.join(counts, "h")
-        .groupBy("win", "n")
+        .groupBy("words", "n")
         .agg(F.count("*").alias("known"), F.min(F.struct("count", "h", "at")).alias("rarest"))
         .where(F.col("known") == F.col("n") - k + 1)  # a window with a shingle the corpus lacks occurs nowhere
-        .select("win", "n", F.col("rarest.h").alias("h"), F.col("rarest.at").alias("at"))
-        .join(windows.select("win", "words", "items"), "win")
+        .select("words", "n", F.col("rarest.h").alias("h"), F.col("rarest.at").alias("at"))
+        .join(windows.select("words", "items"), "words")
     )
     prefix = stored(prefix, "prefix")
     joined = places.join(F.broadcast(prefix) if small(prefix) else prefix, "h")
