@@ -267,6 +267,57 @@ def test_personal_data_of_a_rare_kind_beside_a_hot_source(spark):
     assert found["hot"] == found["alone"] == [(1, 9, 26)]
 
 
+def personal_texts(n, seed):
+    """(text, kind, span) with one span of a kind in prose, in a fixed format."""
+    rng = np.random.default_rng(seed)
+    words = "the of and a day was then under which people house river green until never some".split()
+    for i in range(n):
+        kind = i % 4
+        digits = "".join(map(str, rng.integers(0, 10, 15)))
+        span = (
+            f"{rng.choice(words)}.{rng.choice(words)}{i}@site{i % 17}.example.org", ".".join(map(str, rng.integers(1, 256, 4))),
+            digits + next(str(k) for k in range(10) if pii.luhn(digits + str(k))), f"+49 {rng.integers(100, 999)} {rng.integers(1000000, 9999999)}",
+        )[kind]
+        hint = (["mail", "contact"], ["host", "server"], ["card", "visa"], ["call", "phone"])[kind][i % 2]
+        yield f"{' '.join(rng.choice(words, 8))} {hint}", kind, span, " ".join(rng.choice(words, 8))
+
+
+def test_loose_writing_is_found_by_kind_and_look_alikes_are_left(spark):
+    base = [f"{a} {span} {b}" for a, _, span, b in personal_texts(1200, 1)]
+    planted, others = [], []
+    for i, (a, kind, span, b) in enumerate(personal_texts(240, 2)):
+        loose = pii._loosened(kind, span, i)
+        planted.append((kind, f"{a} {loose} {b}", len(a) + 1, len(a) + 1 + len(loose)))
+        neutral = " ".join(a.split()[:-1]) + " " + pii._OTHERWISE[kind][i % 3]
+        others.append((kind, f"{neutral} {loose} {b}", len(neutral) + 1, len(neutral) + 1 + len(loose)))
+    model = pii.fit(spark.createDataFrame(list(enumerate(base)), "doc_id long, text string"))
+    assert (model.thresholds <= 1).all()
+    shares = {}
+    for name, rows in (("found", planted), ("taken", others)):
+        texts = [t for _, t, _, _ in rows]
+        extra = model.extra(texts, [pii.base_spans(t) for t in texts])
+        for kind in range(4):
+            mine = [(r, e) for r, e in zip(rows, extra) if r[0] == kind]
+            hits = [any(k == kind and s < r[3] and r[2] < t for k, s, t in e) or r[1][r[2] : r[3]] in [r[1][s:t] for _, s, t in pii.base_spans(r[1])] for r, e in mine]
+            shares[name, kind] = sum(hits) / len(hits)
+    for kind in range(4):
+        assert shares["found", kind] >= 0.9, shares
+        assert shares["taken", kind] <= 0.2, shares
+
+
+def test_taken_places_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        spans = [(0, int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 6), rng.integers(1, 12, 6))]
+        places, kept = pii._Places(spans), list(spans)
+        for a, n in zip(rng.integers(0, 70, 40).tolist(), rng.integers(1, 6, 40).tolist()):
+            free = not any(x < a + n and a < y for _, x, y in kept)
+            assert places.holds(a, a + n) == free
+            if free:
+                places.add(a, a + n)
+                kept.append((0, a, a + n))
+
+
 def test_sample_draws_small_groups_whole():
     assert pii.quotas({"a": 5, "b": 1000, "c": 70}, 150) == {"a": 5, "c": 70, "b": 75}
     assert pii.quotas({"a": 5, "b": 6}, 150) == {"a": 5, "b": 6}
