@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.common import smallest, stored
 from buildlens.llm.kept import keeping
+from buildlens.plans.inrow import let
 
 LEAST_LENGTH = 16
 BEFORE, AFTER = 60, 30
@@ -53,18 +54,21 @@ def candidates(documents: DataFrame, columns: list[str], path: str | None = None
         *keep,
         (F.col(f"`{path}`").cast("string") if path else F.lit(None).cast("string")).alias("path"),
         "text", F.regexp_extract_all("text", F.lit(_CANDIDATE), F.lit(0)).alias("hits"),
-    ).where("size(hits) > 0").withColumn("parts", F.split("text", _CANDIDATE))
+    ).where("size(hits) > 0")
+    # Each candidate takes its own surroundings along and not the pieces of the whole text.
+    def beside(parts: Column) -> Column:
+        return F.transform(
+            "hits",
+            lambda hit, i: F.struct(
+                i.alias("number"), hit.alias("secret"), F.char_length(F.get(parts, i)).alias("skip"),
+                F.right(F.get(parts, i), F.lit(BEFORE)).alias("before"), F.left(F.get(parts, i + 1), F.lit(AFTER)).alias("after"),
+            ),
+        )
+
     rows = found.select(
         *[f"c{i}" for i in range(len(columns))], "path",
-        F.xxhash64("text", *[f"c{i}" for i in range(len(columns))]).alias("row"), "parts",
-        F.posexplode("hits").alias("number", "secret"),
-    ).select(
-        *[f"c{i}" for i in range(len(columns))], "path", "row", "number", "secret",
-        F.get("parts", F.col("number")).alias("left"), F.get("parts", F.col("number") + 1).alias("right"),
-    ).withColumns({
-        "skip": F.char_length("left"),
-        "before": F.expr(f"right(left, {BEFORE})"), "after": F.expr(f"left(right, {AFTER})"),
-    }).drop("left", "right")
+        F.xxhash64("text", *[f"c{i}" for i in range(len(columns))]).alias("row"), let(F.split("text", _CANDIDATE), beside).alias("found"),
+    ).select(*[f"c{i}" for i in range(len(columns))], "path", "row", F.inline("found"))
     so_far = Window.partitionBy("row").orderBy("number").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # Equal rows have equal numbers; each number counts once.
     copies = F.count("*").over(Window.partitionBy("row", "number"))
