@@ -80,7 +80,10 @@ class Class:
     offset: float  # log prior less half the log determinant
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
+        # Forward substitution: the factor is triangular.
+        left, z = (x - self.mean).T, np.empty((len(self.mean), len(x)))
+        for i, row in enumerate(self.factor):
+            z[i] = (left[i] - row[:i] @ z[:i]) / row[i]
         return self.offset - 0.5 * (z**2).sum(axis=0)
 
 

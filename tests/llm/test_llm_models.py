@@ -189,3 +189,13 @@ def test_labelled_findings_decide(spark):
     findings = described.withColumn("label", F.col("secret").rlike("^[a-z]+$").cast("double"))
     got = secrets.scan(df, ["doc_id"], findings=findings).collect()
     assert sum(r.is_secret == r.secret.isalpha() for r in got) / len(got) > 0.95
+
+
+def test_densities_against_the_inverse_covariance():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(6, 6))
+    covariance, mean, x = a @ a.T + np.eye(6), rng.normal(size=6), rng.normal(size=(40, 6))
+    own = quality_classifier.Class(mean, np.linalg.cholesky(covariance), 0.25)
+    far = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(covariance), x - mean)
+    assert np.allclose(own.log_density(x), 0.25 - far / 2)
+    assert own.log_density(x[:0]).shape == (0,)
