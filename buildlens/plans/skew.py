@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from buildlens.session import materialize
 
-# A summary up to this many rows is sent to every executor.
+# A summary up to this many rows and this many bytes of files is sent to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 # Beyond it, a key with more fact rows than this is joined apart from the rest.
 HOT_ROWS = 1_000_000
 SALTS = 64
@@ -25,11 +26,11 @@ def attach(
     """Join a one-row-per-key summary to its facts without a hot reducer.
 
     The summary is stored once and its true size decides the plan: a broadcast
-    while it is small; else the keys that hold very many fact rows (there are
+    while it has few rows and bytes; else the keys that hold very many fact rows (there are
     few of those) are joined apart, and the others by an ordinary shuffle.
     """
     stored = materialize(summary, "summary")
-    if stored.count() <= broadcast_rows:
+    if stored.count() <= broadcast_rows and stored_bytes(stored) <= BROADCAST_BYTES:
         return facts.join(F.broadcast(stored), keys, how)
 
     counts = facts.groupBy(*keys).count().where(F.col("count") > hot_rows)
@@ -47,6 +48,11 @@ def attach(
     return joined_hot.unionByName(joined_rest)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of a stored table's files, as Spark's reader measures them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def salted_join(
     facts: DataFrame, summary: DataFrame, keys: list[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:
