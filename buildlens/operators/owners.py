@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.functions.globs import glob_match, glob_to_regex
+from buildlens.functions.globs import glob_match, glob_to_regex, glob_tokens, token_text, tokens_regex
 from buildlens.functions.text import blank_to_null, clean_path
 from buildlens.plans.inrow import let
 from buildlens.plans.rank import ranked
@@ -116,51 +115,92 @@ def _keys_of_parts(rooted: Column, parts: Column) -> Column:
     return F.concat(F.array(F.concat(F.lit("path "), rooted)), folders, ends, names)
 
 
-def _anchor(pattern: str) -> str:
-    """Folder of a rooted glob in front of its first wildcard, or empty where the glob has more meanings."""
-    if not pattern.startswith("/") or pattern.endswith(("/", "/*")):
-        return ""
-    return re.split(_WILD, pattern)[0].rpartition("/")[0] + "/"
-
-
-def _by_globs(keyed: DataFrame, distinct: DataFrame, globs: list) -> DataFrame:
-    """(rooted, best) of the globs: those below a folder meet only paths of that folder, others are one CASE."""
-    spark = distinct.sparkSession
-    local, wide = [], []
-    for rule in globs:
-        folder, regex = _anchor(rule["pattern"]), glob_to_regex(rule["pattern"])
-        if folder.strip("/") and regex:
-            local.append((f"folder {folder}", regex, rule["ord"], rule["owners"]))
-        else:
-            wide.append(rule)
-    table = spark.createDataFrame(local, "key string, regex string, ord long, owners array<string>")
-    # The rules were written by hand, so the table of their globs is as small as the driver's list of it.
-    found = keyed.join(F.broadcast(table), "key").where(F.expr("rooted RLIKE regex")).select(
-        "rooted", F.struct("ord", "owners").alias("best")
+# Literal text of a glob up to this length is a key as it is; of longer ones a multiple of STEP characters.
+EXACT, STEP = 16, 8
+
+
+def glob_table(rules: DataFrame) -> DataFrame:
+    """(place, size, key, regex, best) of the well-formed globs among `rules` (ord, pattern, owners).
+
+    The key is the literal text that a covered path must have at a `place`, `size` characters of it: in
+    front of the whole path, behind one of its slashes, or at its end. Of equal patterns the last rule counts.
+    """
+    last = rules.groupBy("pattern").agg(F.max(F.struct("ord", "owners")).alias("best"))
+    tokens = last.withColumn("tokens", glob_tokens(F.col("pattern"))).where("tokens IS NOT NULL")
+    texts = F.transform("tokens", token_text)
+    wild = F.transform(texts, lambda x: x.isNull())
+    split = tokens.withColumns({"texts": texts, "first": F.array_position(wild, True), "last": F.array_position(F.reverse(wild), True)})
+    count = F.size("texts")
+    lead = F.array_join(F.slice("texts", F.lit(1), F.when(F.col("first") == 0, count).otherwise(F.col("first").cast("int") - 1)), "")
+    trail = F.when(F.col("last") == 0, F.lit("")).otherwise(
+        F.array_join(F.slice("texts", count - F.col("last").cast("int") + 2, F.col("last").cast("int") - 1), "")
     )
-    best = None
-    for rule in sorted(wide, key=lambda r: -r["ord"]):
-        value = F.struct(F.lit(rule["ord"]).cast("bigint").alias("ord"), F.array(*[F.lit(o) for o in rule["owners"]]).alias("owners"))
-        test = rule_matches(F.col("rooted"), rule["pattern"])
-        best = F.when(test, value) if best is None else best.when(test, value)
-    if best is None:
-        return found
-    return found.unionByName(distinct.select("rooted", best.alias("best")).where("best IS NOT NULL"))
+    known = split.withColumns({"lead": lead, "trail": trail})
+    by_lead = F.length("lead") >= F.length("trail")
+    size = F.greatest(F.length("lead"), F.length("trail"))
+    size = F.when(size > EXACT, size - size % STEP).otherwise(size)
+    rooted = F.col("pattern").startswith("/")
+    place = F.when(~by_lead, F.lit("end")).when(rooted, F.lit("whole")).otherwise(F.lit("part"))
+    text = F.when(by_lead, F.expr("left(lead, size)")).otherwise(F.expr("right(trail, size)"))
+    start = F.when(rooted, F.lit("(?s)^")).otherwise(F.lit("(?s)(?:^|/)"))
+    return (
+        known.withColumns({"size": size, "place": place})
+        .select(
+            "place", "size", F.concat(F.col("place"), F.lit(" "), text).alias("key"),
+            F.concat(start, tokens_regex(F.col("tokens")), F.lit("\\z")).alias("regex"), "best",
+        )
+    )
+
+
+def _glob_folders(rules: DataFrame) -> DataFrame:
+    """Rules of rooted globs that end in a folder; they cover what lies in the folder of just that name, too."""
+    pattern = F.col("pattern")
+    folder = F.when(pattern.endswith("/"), pattern).when(pattern.endswith("/*"), F.expr("left(pattern, length(pattern) - 1)"))
+    found = rules.where(pattern.startswith("/")).withColumn("key", F.concat(F.lit("folder "), folder))
+    return found.where("key IS NOT NULL").select("ord", "owners", "key")
+
+
+def _glob_keys(rooted: Column, shapes: Column) -> Column:
+    """The texts of a rooted path at the places and of the sizes that some glob has as its key."""
+
+    def texts(shape: Column) -> Column:
+        size = shape["size"]
+        parts = F.split(rooted, "/")
+        behind = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+        inside = F.when(shape["place"] == "part", F.concat(F.array(rooted), behind)).otherwise(F.array(rooted))
+        long = F.filter(inside, lambda x: F.length(x) >= size)
+        cut = lambda x: F.when(shape["place"] == "end", F.right(x, size)).otherwise(F.left(x, size))
+        return F.transform(long, lambda x: F.concat(shape["place"], F.lit(" "), cut(x)))
+
+    return F.array_distinct(F.flatten(F.transform(shapes, texts)))
+
+
+def _by_globs(distinct: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rooted, best) of the globs: each meets only the paths that hold its literal text in place, and is tried on those."""
+    globs = materialize(glob_table(rules), "globs")
+    # One row: the few pairs of a place and a length.
+    shapes = globs.select(F.struct("place", "size").alias("shape")).agg(F.collect_set("shape").alias("shapes"))
+    keyed = distinct.crossJoin(F.broadcast(shapes)).select("rooted", F.explode(_glob_keys(F.col("rooted"), F.col("shapes"))).alias("key"))
+    met = attach(keyed, globs.select("key", "regex", "best"), ["key"], "inner")
+    return met.where(F.expr("rooted RLIKE regex")).select("rooted", "best")
 
 
 def owners_by_rooted(distinct: DataFrame, rules: DataFrame) -> DataFrame:
     """(rooted, owners) of the distinct rooted paths that some rule of the table covers; the last one counts.
 
-    Plain rules meet a path by the keys they have in common: its folders, its ends, its name. So a
-    path is compared with as many rules as it has keys, however many rules there are.
+    Plain rules meet a path by the keys they have in common: its folders, its ends, its name; globs
+    meet it by their literal text. So a path is compared with as many rules as share a key with it,
+    however many rules there are, and none passes through the driver.
     """
     table = materialize(rule_table(rules), "rules")
-    keyed = distinct.select("rooted", F.explode(path_keys(F.col("rooted"))).alias("key"))
-    last = table.where("key IS NOT NULL").groupBy("key").agg(F.max(F.struct("ord", "owners")).alias("best"))
+    paths = materialize(distinct, "rooted")
+    keyed = paths.select("rooted", F.explode(path_keys(F.col("rooted"))).alias("key"))
+    globs = table.where("key IS NULL AND pattern IS NOT NULL").select("ord", "pattern", "owners")
+    plain = table.where("key IS NOT NULL").select("ord", "owners", "key").unionByName(_glob_folders(globs))
+    last = plain.groupBy("key").agg(F.max(F.struct("ord", "owners")).alias("best"))
     found = attach(keyed, last, ["key"], "inner").select("rooted", "best")
-    globs = table.where("key IS NULL").select("ord", "pattern", "owners").collect()
-    if globs:
-        found = found.unionByName(_by_globs(keyed, distinct, globs))
+    if not globs.isEmpty():
+        found = found.unionByName(_by_globs(paths, globs))
     return found.groupBy("rooted").agg(F.max("best").alias("best")).select("rooted", F.col("best.owners").alias("owners"))
 
 

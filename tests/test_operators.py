@@ -235,6 +235,38 @@ def test_thousands_of_rules(spark):
     assert owned["d3/e/f.go"] is None and owned["d6/e/f.go"] == ["@6"]
 
 
+def test_globs_of_a_table_mean_what_they_mean_in_an_expression(spark, monkeypatch):
+    draw = random.Random(5)
+    signs = ["*", "*", "?", "[ab]", "[^a]", "[a-c]", "[c-a]", "[^b-a]", "[/]", "[", "[]", "\\\\*", "\\\\", "[\\\\]]", "[a]", "a", "b", ".", "/", "-", "[.-]"]
+    paths = ["".join(draw.choices("aab/.*-]", k=draw.randint(1, 7))) for _ in range(150)] + ["a*/b", "/", "", "a?/*/b", "b[a", "aab/aab/aab.b"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    for _ in range(4):
+        globs = ["".join(draw.choices(signs, k=draw.randint(1, 5))) for _ in range(40)]
+        globs = [draw.choice(["", "", "/", "/a"]) + g + draw.choice(["", "", "/", "/*"]) for g in globs]
+        rules = [OwnerRule(g, (f"@{i}",)) for i, g in enumerate(globs)]
+        monkeypatch.setattr(owners, "INLINE_RULES", 50)
+        want = rows(assign_owners(df, rules), "path", "owners")
+        monkeypatch.setattr(owners, "INLINE_RULES", 0)
+        assert rows(assign_owners(df, rules), "path", "owners") == want
+
+
+def test_plan_does_not_grow_with_the_globs_of_a_table(spark):
+    paths = spark.range(400).selectExpr("concat('src/d', id % 20, '/f', id, '.go') AS path")
+
+    def owned(count: int):
+        rules = spark.range(count).selectExpr(
+            "id AS rule_ord", "CASE WHEN id % 2 = 0 THEN concat('f', id, '*') ELSE concat('/src/*/f', id, '.g?') END AS pattern",
+            "array(concat('@', id)) AS owners",
+        )
+        return assign_owners(paths, rules.unionByName(spark.sql("SELECT 0L AS rule_ord, CAST(NULL AS STRING) AS pattern, array('@none') AS owners")))
+
+    few, many = owned(6), owned(3000)
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(many) == size(few)
+    got = {r["path"]: r["owners"] for r in many.collect()}
+    assert got["src/d3/f3.go"] == ["@3"] and got["src/d12/f12.go"] == ["@12"] and got["src/d3/f43.go"] == ["@43"]
+
+
 def test_failures_name_their_owners(spark):
     data = [
         ("fail", "a.go", "boom"), ("fail", None, None), ("pass", "a.go", "m"), ("fail", "x.rs", "m"), ("fail", "a.go", ""),
