@@ -9,27 +9,30 @@ in looser formats, are positive. Negative are candidates that break a check of t
 sum, parts over 255, number of digits, ending of a host), and for every base span the same looser
 writing and a look-alike that passes the checks, both behind a word that says it is something else (a
 version, an order number, a date). On a third of the candidates that is held out, the threshold
-of each kind is set to the least score with the wanted precision, each candidate counted for all
-those it was drawn for; the rows of all kinds take part with the weight of POOLED_ROWS rows, so a
-rare kind leans on the others. Accepted candidates that overlap no base span are added, the
+of each kind is set to the least score with the wanted precision; the rows of all kinds take part
+with the weight of POOLED_ROWS rows, so a rare kind leans on the others. Accepted candidates that overlap no base span are added, the
 likeliest first; nothing is checked behind the trees.
 
-Training reads at most `fit_candidates` candidates, drawn by kind and label: a kind and label
-with no more than an even part of them is read whole, whatever else the corpus is full of, and
-the larger ones share what is left, each with its smallest hashes.
+Training reads every candidate. They weigh as `fit_candidates` rows in all, shared by kind and
+label: those of a kind and label with no more than an even part of them weigh one each, whatever
+else the corpus is full of, and the larger ones share what is left evenly. Features become bins
+at their weighted quantiles, equal rows of bins are counted, and each level of a tree adds up the
+histograms of its nodes in Spark.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import map_chunks, smallest, stored
+from buildlens.llm.common import map_chunks, stored
 from buildlens.llm.kept import keeping
 
 KINDS = ("email", "ip", "card", "phone")
@@ -230,43 +233,89 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.raw(x), -30, 30)))
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Second-order boosting on histograms of the features."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+def weighted_quantiles(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Distinct inner quantiles of distinct sorted values; with whole weights those of the repeated values."""
+    reach = np.cumsum(weight)
+    at = np.linspace(0, 1, BINS + 1)[1:-1] * max(reach[-1] - 1, 0)
+    low, high = (value[np.minimum(np.searchsorted(reach, t, "right"), len(value) - 1)] for t in (np.floor(at), np.floor(at) + 1))
+    return np.unique(low + (high - low) * (at - np.floor(at)))
+
+
+def binned_by(edges: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    return np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1).astype(np.uint8)
+
+
+# Sums are taken of whole numbers of this size, so they are exact and do not depend on their order.
+UNIT = 2.0**30
+_NO_SPLIT = 255
+
+
+def _walk(binned: np.ndarray, feature: np.ndarray, split: np.ndarray, levels: int) -> np.ndarray:
+    node, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
+    for _ in range(levels):
+        node = 2 * node + 1 + (binned[rows, feature[node]] > split[node])
+    return node
+
+
+def _raw(binned: np.ndarray, base: float, grown: list[tuple]) -> np.ndarray:
+    """Sum of the trees (feature, split, value), whose splits are numbers of bins."""
+    total = np.full(len(binned), base)
+    for feature, split, value in grown:
+        total += value[_walk(binned, feature, split, DEPTH) - (2**DEPTH - 1)]
+    return total
+
+
+def histograms(binned: np.ndarray, y: np.ndarray, weight: np.ndarray, base: float, grown: list[tuple], tree: tuple, level: int) -> np.ndarray:
+    """Sums of gradient, curvature and weight by node of a level, feature and bin, in whole units."""
+    p = 1 / (1 + np.exp(-_raw(binned, base, grown)))
+    node = _walk(binned, *tree, level) - (2**level - 1)
+    parts = [np.rint(UNIT * weight * v) for v in (p - y, np.maximum(p * (1 - p), 1e-6), 1.0)]
+    out = np.zeros((2**level, binned.shape[1], BINS, 3))
+    for j in range(binned.shape[1]):
+        at = node * BINS + binned[:, j]
+        for k, part in enumerate(parts):
+            out[:, j, :, k] = np.bincount(at, part, 2**level * BINS).reshape(-1, BINS)
+    return out
+
+
+def grow(edges: list[np.ndarray], share: float, total_of) -> Trees:
+    """Second-order boosting; `total_of(base, grown, tree, level)` gives the `histograms` of all rows."""
     model = Trees(float(np.log(share / (1 - share))))
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1)
-    total = np.full(len(y), model.base)
+    grown: list[tuple] = []
     inner = 2**DEPTH - 1
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-total))
-        gradient, curve = p - y, np.maximum(p * (1 - p), 1e-6)
-        feature, cut, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(y), np.int64)
-        for at in range(inner):
-            rows = np.flatnonzero(node == at)
-            best = (1e-6, 0, len(edges[0]))
-            if len(rows) >= 2 * LEAST_LEAF:
-                g_all, h_all = gradient[rows].sum(), curve[rows].sum()
-                for j, e in enumerate(edges):
-                    b = binned[rows, j]
-                    g = np.cumsum(np.bincount(b, gradient[rows], len(e) + 1))[:-1]
-                    h = np.cumsum(np.bincount(b, curve[rows], len(e) + 1))[:-1]
-                    n = np.cumsum(np.bincount(b, minlength=len(e) + 1))[:-1]
-                    gain = g**2 / (h + 1) + (g_all - g) ** 2 / (h_all - h + 1) - g_all**2 / (h_all + 1)
-                    gain[(n < LEAST_LEAF) | (len(rows) - n < LEAST_LEAF)] = 0
-                    if len(gain) and gain.max() > best[0]:
-                        best = (gain.max(), j, int(gain.argmax()))
-            if best[0] > 1e-6:
-                feature[at], cut[at] = best[1], edges[best[1]][best[2]]
-            node[rows] = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
-        leaf = node - inner
-        g, h = np.bincount(leaf, gradient, inner + 1), np.bincount(leaf, curve, inner + 1)
-        value = -RATE * g / (h + 1)
+        feature, split, cut = np.zeros(inner, np.int64), np.full(inner, _NO_SPLIT), np.full(inner, np.inf)
+        value = np.zeros(inner + 1)
+        for level in range(DEPTH):
+            for i, sums in enumerate(total_of(model.base, grown, (feature, split), level) / UNIT):
+                at = 2**level - 1 + i
+                whole = sums[0].sum(axis=0)
+                best, sides = (1e-6, 0, 0), (whole, np.zeros(3))
+                if whole[2] >= 2 * LEAST_LEAF:
+                    for j, e in enumerate(edges):
+                        left = np.cumsum(sums[j], axis=0)[: len(e)]
+                        right = whole - left
+                        gain = left[:, 0] ** 2 / (left[:, 1] + 1) + right[:, 0] ** 2 / (right[:, 1] + 1) - whole[0] ** 2 / (whole[1] + 1)
+                        gain[(left[:, 2] < LEAST_LEAF) | (right[:, 2] < LEAST_LEAF)] = 0
+                        if len(gain) and gain.max() > best[0]:
+                            best = (gain.max(), j, int(gain.argmax()))
+                            sides = (left[best[2]], right[best[2]])
+                if best[0] > 1e-6:
+                    feature[at], split[at], cut[at] = best[1], best[2], edges[best[1]][best[2]]
+                if level == DEPTH - 1:
+                    value[2 * i : 2 * i + 2] = [-RATE * g / (h + 1) for g, h, _ in sides]
+        grown.append((feature, split, value))
         model.trees.append((feature, cut, value))
-        total += value[leaf]
     return model
 
 
+def boost(x: np.ndarray, y: np.ndarray) -> Trees:
+    """Trees of rows at hand, each of weight one."""
+    edges = [weighted_quantiles(*np.unique(c, return_counts=True)) for c in x.T]
+    binned, weight = binned_by(edges, x), np.ones(len(y))
+    return grow(edges, (y.sum() + 0.5) / (len(y) + 1), lambda *state: histograms(binned, y, weight, *state))
+
+
 @dataclass
 class Model:
     trees: Trees
@@ -323,7 +372,7 @@ class _Places:
 
 
 def quotas(sizes: dict, bound: int) -> dict:
-    """How many to draw of each group: all of the small ones, and of the others equally many.
+    """What each group weighs: as many as it has for the small ones, and equally many for the others.
 
     They are `bound` at most in all, or all there are."""
     out, left = {}, bound
@@ -333,24 +382,71 @@ def quotas(sizes: dict, bound: int) -> dict:
     return out
 
 
-def sampled(known: DataFrame, bound: int):
-    """The rows to learn from, as pandas, and for how many of its kind and label each one stands.
+# Distinct rows of bins that a task adds up, and the tasks that do so at most.
+PASS_ROWS, PASS_TASKS = 100_000, 24
+# Thresholds are looked for among so many steps of the score.
+SCORE_STEPS = 1 << 16
 
-    `known` is a stored table with kind, label and the hash h."""
-    sizes = {(r["kind"], r["label"]): r["count"] for r in known.groupBy("kind", "label").count().collect()}  # 8 rows
-    quota, whole, rows = quotas(sizes, bound), F.lit(False), known.limit(0)
-    for (kind, label), n in quota.items():
-        own = (F.col("kind") == kind) & (F.col("label") == label)
-        if n == sizes[kind, label]:
-            whole = whole | own
-        else:
-            rows = rows.unionByName(smallest(known.where(own), "h", n))
-    seen = known.where(whole).unionByName(rows).toPandas().sort_values(["h", "kind", "label"], kind="stable")
-    return seen, np.array([sizes[g] / quota[g] for g in zip(seen["kind"], seen["label"])], float)
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), N_FEATURES)
+
+
+def _vectors(known: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """(kind, label, held, bins, n): how many candidates have the same bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(3).flatten().to_numpy().reshape(-1, N_FEATURES)
+            bins = pa.array([row.tobytes() for row in binned_by(edges, x)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], bins], names=["kind", "label", "held", "bins"])
+
+    rows = known.select("kind", "label", "held", "x").mapInArrow(run, "kind int, label int, held boolean, bins binary")
+    return stored(rows.groupBy("kind", "label", "held", "bins").agg(F.count(F.lit(1)).alias("n")), "pii-vectors")
+
+
+def _trees(taught: DataFrame, edges: list[np.ndarray], share: float, weights: dict) -> Trees:
+    """Trees of the counted rows of bins; a pass adds up one level's histograms, one row of each task."""
+
+    def total_of(base: float, grown: list[tuple], tree: tuple, level: int) -> np.ndarray:
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2**level, N_FEATURES, BINS, 3))
+            for batch in batches:
+                kind, label, n = (batch.column(i).to_pylist() for i in range(3))
+                weight = np.array([weights[k, y] * c for k, y, c in zip(kind, label, n)])
+                total += histograms(_matrix(batch.column(3)), np.array(label, float), weight, base, grown, tree, level)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        parts = taught.mapInArrow(over, "sums binary").collect()  # one row of each task
+        return sum(np.frombuffer(r["sums"]) for r in parts).reshape(2**level, N_FEATURES, BINS, 3)
+
+    return grow(edges, share, total_of)
+
+
+def _score_steps(held: DataFrame, edges: list[np.ndarray], trees: Trees) -> tuple[np.ndarray, np.ndarray]:
+    """(least score, candidates by kind and label) of each step of the score, the highest first."""
+    # A feature's bin stands for all values in it, as the cuts are edges.
+    inside = [np.r_[e, e[-1:] + 1] if len(e) else np.zeros(1) for e in edges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = _matrix(batch.column(3))
+            x = np.stack([values[bins[:, j]] for j, values in enumerate(inside)], axis=1)
+            score = pa.array(trees.probability(x) if len(x) else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], score], names=["kind", "label", "n", "score"])
+
+    scored = held.mapInArrow(run, "kind int, label int, n long, score double")
+    groups = [(k, y) for k in range(len(KINDS)) for y in (0, 1)]
+    counts = [F.sum(F.when((F.col("kind") == k) & (F.col("label") == y), F.col("n")).otherwise(0)) for k, y in groups]
+    steps = scored.groupBy(F.floor(F.col("score") * SCORE_STEPS).alias("step")).agg(
+        F.min("score").alias("score"), F.array(*counts).alias("n")
+    )
+    rows = sorted(steps.collect(), key=lambda r: -r["step"])  # at most SCORE_STEPS
+    return np.array([r["score"] for r in rows]), np.array([r["n"] for r in rows], float).reshape(len(rows), len(KINDS), 2)
 
 
 def fit(documents: DataFrame, fit_candidates: int = FIT_CANDIDATES, precision: float = PRECISION) -> Model:
-    """Trees and thresholds from a sample of the labelled candidates, see `sampled`."""
+    """Trees and thresholds from all candidates whose label is known; `fit_candidates` is what they weigh in all."""
 
     def run(texts: list) -> dict[str, object]:
         found = [(i, *e) for i, t in enumerate(texts) for e in examples(t or "")]
@@ -360,31 +456,44 @@ def fit(documents: DataFrame, fit_candidates: int = FIT_CANDIDATES, precision: f
         }
 
     known = map_chunks(documents, ["doc_id"], ["text"], run, "kind int, label int, x array<double>")
-    known = stored(known.withColumn("h", F.xxhash64("doc_id", "kind", "label", F.to_json("x"))), "pii-candidates")
-    seen, weight = sampled(known, fit_candidates)
+    hashed = F.xxhash64("doc_id", "kind", "label", F.to_json("x"))
+    known = stored(known.select("kind", "label", "x", (F.pmod(hashed, F.lit(3)) == 1).alias("held")), "pii-candidates")
+    counted = known.groupBy("kind", "label", "held").count().collect()  # 16 rows
+    sizes: dict[tuple[int, int], int] = {}
+    for r in counted:
+        sizes[r["kind"], r["label"]] = sizes.get((r["kind"], r["label"]), 0) + r["count"]
+    weights = {g: n / sizes[g] for g, n in quotas(sizes, fit_candidates).items()}
     nothing = Model(Trees(), np.full(len(KINDS), 2.0))
-    if seen["label"].nunique() < 2:
-        return nothing
-    x, y, kind = np.array(seen["x"].tolist()), seen["label"].to_numpy(float), seen["kind"].to_numpy()
-    held = seen["h"].to_numpy() % 3 == 1
-    if len(set(y[~held])) < 2:
+    taught = {(r["kind"], r["label"]): r["count"] * weights[r["kind"], r["label"]] for r in counted if not r["held"]}
+    if len({y for _, y in taught}) < 2:
         return nothing
-    trees = boost(x[~held], y[~held])
-    score = trees.probability(x)
+    share = (sum(w for (_, y), w in taught.items() if y) + 0.5) / (sum(taught.values()) + 1)
+    edges = _edges(known.where("NOT held"), weights)
+    vectors = _vectors(known, edges).select("kind", "label", "n", "bins", "held")
+    tasks = min(PASS_TASKS, 1 + vectors.count() // PASS_ROWS)
+    trees = _trees(vectors.where("NOT held").drop("held").coalesce(tasks), edges, share, weights)
+    score, n = _score_steps(vectors.where("held").drop("held"), edges, trees)
     thresholds = nothing.thresholds.copy()
     # The rows of a kind, and those of all kinds with little weight: a rare kind leans on the others.
-    for k in np.unique(kind):
-        own = weight * (kind == k)
-        all_rows = weight[held].sum() or 1.0
-        part = (own + weight * POOLED_ROWS * np.median(weight) / all_rows) * held
-        order = np.flatnonzero(part)[np.argsort(-score[part > 0], kind="stable")]
-        right = np.cumsum(y[order] * part[order]) / np.cumsum(part[order])
+    every = n.sum(axis=1)
+    for k in sorted({kind for kind, _ in sizes}):
+        part = n[:, k] + every * POOLED_ROWS / (every.sum() or 1.0)
+        right = np.cumsum(part[:, 1]) / np.cumsum(part.sum(axis=1))
         good = np.flatnonzero(right >= precision)
         if len(good):
-            thresholds[k] = max(float(score[order[good[-1]]]), 0.5)
+            thresholds[k] = max(float(score[good[-1]]), 0.5)
     return Model(trees, thresholds)
 
 
+def _edges(known: DataFrame, weights: dict) -> list[np.ndarray]:
+    """Edges of each feature's bins, from how often each of its values comes up."""
+    of = F.create_map(*[x for (k, y), w in weights.items() for x in (F.lit(2 * k + y), F.lit(w))])
+    counts = known.select("kind", "label", F.posexplode("x").alias("feature", "value")).groupBy("kind", "label", "feature", "value").count()
+    weighed = counts.groupBy("feature", "value").agg(F.sum(F.col("count") * of[F.col("kind") * 2 + F.col("label")]).alias("weight"))
+    values = weighed.orderBy("feature", "value").toPandas()  # lengths, counts and marks: as many as a feature has values
+    return [weighted_quantiles(v["value"].to_numpy(), v["weight"].to_numpy()) for _, v in values.groupby("feature")]
+
+
 @keeping("base", "spans")
 def find(documents: DataFrame, columns: list[str], fit_candidates: int = FIT_CANDIDATES) -> DataFrame:
     """`columns` of every row with `base` and `spans`: arrays of (kind, start, end) in code points, end

@@ -322,3 +322,45 @@ def test_sample_draws_small_groups_whole():
     assert pii.quotas({"a": 5, "b": 1000, "c": 70}, 150) == {"a": 5, "c": 70, "b": 75}
     assert pii.quotas({"a": 5, "b": 6}, 150) == {"a": 5, "b": 6}
     assert sum(pii.quotas({k: 10**6 for k in range(7)}, 20_000).values()) == 20_000
+
+
+def test_personal_data_learn_from_every_candidate(spark, monkeypatch):
+    """A few thousand of the rows that a small weight stood for change the model, and they weigh no more than it says."""
+    texts = [f"{a} {span} {b}" for a, _, span, b in personal_texts(400, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, grow = [], pii.grow
+
+    def noted(edges, share, total_of):
+        def total(*state):
+            sums = total_of(*state)
+            seen.append(sums[..., 2].sum() / len(edges) / pii.UNIT)
+            return sums
+
+        return grow(edges, share, total)
+
+    monkeypatch.setattr(pii, "grow", noted)
+    monkeypatch.setattr(pii, "TREES", 2)
+    examples = [e for t in texts for e in pii.examples(t)]
+    assert len(examples) > 1000
+    counted = []
+    vectors = pii._vectors
+    monkeypatch.setattr(pii, "_vectors", lambda *a: counted.append(vectors(*a)) or counted[-1])
+    pii.fit(df, 160)
+    assert counted[0].agg(F.sum("n")).first()[0] == len(examples)
+    assert 80 < min(seen) and max(seen) < 160 and max(seen) - min(seen) < 1e-3
+
+
+def test_quantiles_of_counted_values_and_histograms_in_parts():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 40, 1000):
+        c = rng.integers(0, 50, n) / 4
+        want = np.unique(np.quantile(c, np.linspace(0, 1, pii.BINS + 1)[1:-1]))
+        assert np.allclose(pii.weighted_quantiles(*np.unique(c, return_counts=True)), want)
+    x, y = rng.integers(0, 9, (500, 3)).astype(float), rng.integers(0, 2, 500).astype(float)
+    edges = [np.unique(c)[:-1] for c in x.T]
+    b, w = pii.binned_by(edges, x), rng.random(500)
+    grown = [(np.array([0, 1, 2, 0, 1, 2, 0]), np.array([3, 2, 255, 5, 1, 7, 2]), rng.normal(size=8))]
+    state = (0.1, grown, (np.array([1, 0, 2, 0, 0, 0, 0]), np.array([4, 2, 3, 255, 255, 255, 255])), 2)
+    whole = pii.histograms(b, y, w, *state)
+    assert (whole == pii.histograms(b[:100], y[:100], w[:100], *state) + pii.histograms(b[100:], y[100:], w[100:], *state)).all()
+    assert (whole.sum(axis=(0, 2)) == whole.sum(axis=(0, 2))[0]).all()
