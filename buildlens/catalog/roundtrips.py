@@ -386,7 +386,7 @@ def coverage_documents(spark: SparkSession, sf_dir: str, item: Column, head: str
     documents = rows.groupBy(
         F.col("run_id").alias("run"), F.floor(F.col("id") / DOC_LINES).alias("doc")
     ).agg(F.concat(F.lit(head), F.array_join(F.collect_list("text"), "\n"), F.lit(foot)).alias("text"))
-    documents.write.partitionBy("run", "doc").text(path)
+    documents.write.partitionBy("run", "doc").text(path, compression="gzip")
     return path
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import parse_int, parse_int_or_zero
 from buildlens.functions.text import blank_to_null
-from buildlens.schemas import COV_RECORDS, ENTRY_KEYS
+from buildlens.plans.inrow import runs_by_key
+from buildlens.schemas import COV_RECORDS
 from buildlens.sources import facts
 from buildlens.sources.scan import Artifacts, list_sources, scan_documents
 from buildlens.sources.xmlcoverage import exploded_entries
@@ -55,7 +56,8 @@ def class_line_dedup(method_lines: DataFrame, class_lines: DataFrame, keys: list
     """All method lines, plus each class line whose number is not there yet.
 
     Among equal class lines the first by `pos` wins. Both kinds go through one aggregate with
-    partial sums, which has one row per (keys, line), so no line number is a hot key.
+    partial sums, which has one row per (keys, line), so no line number is a hot key. For tables; a
+    class's own lines are matched in its row.
     """
     nothing = F.lit(None).cast("bigint")
     both = class_lines.select(*keys, "line", "hits", F.col("pos").cast("bigint").alias("pos")).unionByName(
@@ -68,23 +70,27 @@ def class_line_dedup(method_lines: DataFrame, class_lines: DataFrame, keys: list
     return method_lines.select(*keys, "line", "hits").unionByName(fresh)
 
 
+def lines_of_class(method_lines: Column, class_lines: Column) -> Column:
+    """`class_line_dedup` within the row of a class: nothing leaves it."""
+
+    def placed(line: Column, pos: Column) -> Column:
+        return F.struct(line["line"].alias("key"), pos.cast("int").alias("pos"), line["hits"].alias("hits"))
+
+    both = F.concat(
+        F.transform(method_lines, lambda x: placed(x, F.lit(-1))), F.transform(class_lines, lambda x, i: placed(x, i))
+    )
+    # The first item of a number is a method's line, if there is one, else the first of the class.
+    first = F.map_values(runs_by_key(both, lambda items, first, behind: items[first]))
+    fresh = F.transform(F.filter(first, lambda x: x["pos"] >= 0), lambda x: facts.line_struct(x["key"], x["hits"]))
+    return F.concat(method_lines, fresh)
+
+
 def ingest_cobertura(spark: SparkSession, inputs: Artifacts) -> facts.CoverageFacts:
     """One entry per class element; branch attributes are not used."""
     docs = scan_documents(spark, inputs)
     rows, rejected = exploded_entries(docs, _SCHEMA, "coverage", _entries, "cobertura")
     rows = rows.select("*", "entry.*").drop("entry")
-    class_lines = rows.select(*ENTRY_KEYS, F.posexplode("class_lines").alias("pos", "l")).select(
-        *ENTRY_KEYS, "pos", "l.line", "l.hits"
-    )
-    method_lines = rows.select(*ENTRY_KEYS, F.inline("method_lines"))
-    plain = facts.coverage_facts(
-        rows.withColumn("lines", F.lit(None).cast(COV_RECORDS["lines"])).withColumn(
-            "branches", F.lit(None).cast(COV_RECORDS["branches"])
-        ),
-        list_sources(spark, inputs),
-        rejected,
-    )
-    return facts.CoverageFacts(
-        plain.entries, class_line_dedup(method_lines, class_lines, ENTRY_KEYS),
-        plain.branches, plain.funcs, plain.runs, plain.rejects,
+    records = rows.withColumn("lines", lines_of_class(F.col("method_lines"), F.col("class_lines"))).withColumn(
+        "branches", F.lit(None).cast(COV_RECORDS["branches"])
     )
+    return facts.coverage_facts(records, list_sources(spark, inputs), rejected)

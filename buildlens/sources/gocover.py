@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import numbers_between, parse_int
 from buildlens.functions.text import trim_space
+from buildlens.plans.inrow import let
 from buildlens.plans.skew import attach
 from buildlens.schemas import COV_RECORDS, ENTRY_KEYS, REJECTS, record_seq
 from buildlens.session import materialize
@@ -16,31 +17,31 @@ from buildlens.sources.scan import Artifacts, list_sources, scan_artifacts
 
 def gocover_blocks(lines: DataFrame) -> DataFrame:
     """Statement blocks of `path:sl.sc,el.ec statements count`; other lines fall out."""
-    text = trim_space(F.col("value"))
-    shape = r"(?s)^(.*):([^:]*)$"
-    fields = F.filter(F.split(F.regexp_extract(text, shape, 2), r"\s+"), lambda x: x != "")
-    corners = F.split(F.get("fields", F.lit(0)), ",")
-
     def line_of(corner: Column) -> Column:
         return parse_int(F.substring_index(corner, ".", 1))
 
-    return (
-        lines.where(text.contains(":") & ~text.startswith("mode:"))
-        .select(
-            "run_id", "source", "source_ord", "seq",
-            F.regexp_extract(text, shape, 1).alias("path"),
-            fields.alias("fields"),
-        )
-        .where((F.size("fields") >= 3) & (F.size(corners) == 2))
-        .select(
-            "run_id", "source", "source_ord", "seq", "path",
-            line_of(corners[0]).alias("start"),
-            line_of(corners[1]).alias("end"),
-            parse_int(F.col("fields")[1]).alias("statements"),
-            parse_int(F.col("fields")[2]).alias("count"),
+    def block(text: Column) -> Column:
+        rest = F.substring_index(text, ":", -1)
+        path = F.left(text, F.length(text) - F.length(rest) - 1)
+        fields = F.filter(F.split(rest, r"\s+"), lambda x: x != "")
+        return let(fields, lambda f: let(F.split(F.get(f, F.lit(0)), ","), lambda corners: parsed(text, path, f, corners)))
+
+    def parsed(text: Column, path: Column, fields: Column, corners: Column) -> Column:
+        found = F.struct(
+            path.alias("path"),
+            line_of(F.get(corners, F.lit(0))).alias("start"),
+            line_of(F.get(corners, F.lit(1))).alias("end"),
+            parse_int(F.get(fields, F.lit(1))).alias("statements"),
+            parse_int(F.get(fields, F.lit(2))).alias("count"),
         )
-        .dropna(subset=["start", "end", "statements", "count"])
-    )
+        return F.when(~text.startswith("mode:") & (F.size(fields) >= 3) & (F.size(corners) == 2), found)
+
+    def whole(x: Column) -> Column:
+        return x["start"].isNotNull() & x["end"].isNotNull() & x["statements"].isNotNull() & x["count"].isNotNull()
+
+    # A generator, so a line is taken apart once; a filter behind it would repeat the work.
+    blocks = F.filter(F.array(let(trim_space(F.col("value")), block)), whole)
+    return lines.where(F.col("value").contains(":")).select("run_id", "source", "source_ord", "seq", F.inline(blocks))
 
 
 def first_block_wins(hits: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:

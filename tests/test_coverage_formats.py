@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -7,8 +9,8 @@ from pyspark.sql import functions as F
 from buildlens.operators.coverage import TOTALS, cov_file_totals
 from buildlens.schemas import ENTRY_KEYS
 from buildlens.sources.clover import ingest_clover
-from buildlens.sources.cobertura import ingest_cobertura
-from buildlens.sources.gocover import ingest_gocover
+from buildlens.sources.cobertura import class_line_dedup, ingest_cobertura, lines_of_class
+from buildlens.sources.gocover import gocover_blocks, ingest_gocover
 from buildlens.sources.jacoco import ingest_jacoco
 from buildlens.sources import lcov
 from buildlens.sources.lcov import ingest_lcov
@@ -223,3 +225,28 @@ def test_strip_prefix(spark, put):
     for prefix in ("/ci", "/ci/"):
         assert [t[0] for t in totals(facts.with_prefix_stripped(prefix))] == ["src/a.c", "/cisrc/b.c"]
     assert [t[0] for t in totals(facts.with_prefix_stripped(""))] == ["/ci/src/a.c", "/cisrc/b.c"]
+
+
+def test_lines_of_a_class_in_its_row_equal_those_of_tables(spark):
+    draw = random.Random(7)
+
+    def some():
+        return [(draw.randint(1, 5), draw.randint(0, 9)) for _ in range(draw.randint(0, 6))]
+
+    kind = "array<struct<line: bigint, hits: bigint>>"
+    df = spark.createDataFrame([(i, some(), some()) for i in range(60)], f"id int, m {kind}, c {kind}").cache()
+    got = df.select("id", F.inline(lines_of_class(F.col("m"), F.col("c"))))
+    of_class = df.select("id", F.posexplode("c").alias("pos", "l")).select("id", "pos", "l.line", "l.hits")
+    want = class_line_dedup(df.select("id", F.inline("m")), of_class, ["id"])
+    assert rows(got, "id", "line", "hits") == rows(want, "id", "line", "hits")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_profile_line_is_taken_apart_once(spark):
+    lines = spark.createDataFrame(
+        [("r", "s", "s", (0, i), v) for i, v in enumerate([" a:b.go:3.1,5.2 1  7 ", "mode: set", "a.go:1.1,2.2 1", "a.go:x.1,2.2 1 1", "a.go:1.1 1 1", "a", ":1.1,2.2 0 4", ""])],
+        "run_id string, source string, source_ord string, seq struct<block_start: bigint, row_id: bigint>, value string",
+    )
+    blocks = gocover_blocks(lines)
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("\\s+") == 1
+    assert rows(blocks, "path", "start", "end", "statements", "count") == [("", 1, 2, 0, 4), ("a:b.go", 3, 5, 1, 7)]
