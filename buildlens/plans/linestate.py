@@ -23,15 +23,18 @@ def chunk_number(seq: str = "seq", chunk_bits: int = CHUNK_BITS) -> Column:
 
 
 def neighbour_markers(
-    df: DataFrame, keys: list[str], marker: str, seq: str = "seq", chunk_bits: int = CHUNK_BITS
+    df: DataFrame, keys: list[str], marker: str, seq: str = "seq", chunk_bits: int = CHUNK_BITS, parts: int | None = None
 ) -> DataFrame:
     """Add `prev_marker` and `next_marker`.
 
     They are the nearest non-null values of `marker` strictly before and
-    strictly after each row, among the rows with equal `keys`.
+    strictly after each row, among the rows with equal `keys`. With `parts` the chunks are
+    spread over so many tasks.
     """
     lines = df.withColumn("_chunk", chunk_number(seq, chunk_bits))
     chunk_keys = [*keys, "_chunk"]
+    if parts:
+        lines = lines.repartition(parts, *chunk_keys)
     inside = Window.partitionBy(*chunk_keys)
     before = inside.orderBy(F.col(seq).asc()).rowsBetween(Window.unboundedPreceding, -1)
     after = inside.orderBy(F.col(seq).desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -13,6 +13,8 @@ BROADCAST_BYTES = 16 << 20
 # Beyond it, a key with more fact rows than this is joined apart from the rest.
 HOT_ROWS = 1_000_000
 SALTS = 64
+# Rows of a shuffle partition that one task sorts, about.
+PART_ROWS = 250_000
 
 
 def attach(
@@ -48,6 +50,11 @@ def attach(
     return joined_hot.unionByName(joined_rest)
 
 
+def parts_for(rows: int, of: DataFrame) -> int:
+    """Shuffle partitions for so many rows: those that are set, more where a task would sort over PART_ROWS."""
+    return max(int(of.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of a stored table's files, as Spark's reader measures them."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

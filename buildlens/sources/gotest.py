@@ -9,6 +9,7 @@ from buildlens.functions.numbers import seconds_to_nanos
 from buildlens.functions.text import blank_to_null, go_fail_message, go_skip_reason, trim_space
 from buildlens.operators.cases import run_duration
 from buildlens.plans.linestate import CHUNK_BITS, neighbour_markers
+from buildlens.plans.skew import parts_for
 from buildlens.schemas import REJECTS, record_seq
 from buildlens.session import materialize
 from buildlens.sources import facts
@@ -36,7 +37,7 @@ def gotest_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def gotest_segments(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+def gotest_segments(events: DataFrame, chunk_bits: int = CHUNK_BITS, parts: int | None = None) -> DataFrame:
     """Output text per finished test that failed or was skipped.
 
     A `run` event opens a buffer and a terminal event closes it, so an output
@@ -48,7 +49,7 @@ def gotest_segments(events: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFram
     )
     placed = neighbour_markers(
         events.where((F.col("action") != "output") | (F.col("output") != "")).withColumn("boundary", boundary),
-        _TEST_KEY, "boundary", chunk_bits=chunk_bits,
+        _TEST_KEY, "boundary", chunk_bits=chunk_bits, parts=parts,
     )
     wanted = placed.where(
         (F.col("action") == "output")
@@ -87,7 +88,7 @@ def ingest_gotest(spark: SparkSession, inputs: Artifacts, chunk_bits: int = CHUN
     events = materialize(gotest_events(lines), "gotest")
     terminal = events.where(F.col("action").isin(*TERMINAL)).drop("output")
     noisy = terminal.where(F.col("action") != "pass").join(
-        gotest_segments(events, chunk_bits), [*_TEST_KEY, "seq"], "left"
+        gotest_segments(events, chunk_bits, parts_for(events.count(), events)), [*_TEST_KEY, "seq"], "left"
     )
     quiet = terminal.where(F.col("action") == "pass").withColumn("raw_output", F.lit(None).cast("string"))
     elapsed = F.when(F.col("action").isin(*TERMINAL), seconds_to_nanos(F.col("elapsed")))

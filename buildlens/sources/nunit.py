@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlens.functions.numbers import parse_float, seconds_to_nanos
 from buildlens.functions.text import blank_to_null, trim_space
-from buildlens.plans.skew import attach
+from buildlens.plans.skew import attach, parts_for
 from buildlens.schemas import record_seq
 from buildlens.session import materialize
 from buildlens.sources import facts
@@ -123,13 +123,16 @@ def plain_markup(text: Column) -> Column:
     return F.when(text.contains("<!--") | text.contains("<![CDATA["), F.array_join(F.transform(tokens, plain), "")).otherwise(text)
 
 
-def nested_cases(pieces: DataFrame) -> DataFrame:
+def nested_cases(pieces: DataFrame, parts: int | None = None) -> DataFrame:
     """Cases that are direct children of a suite, with the suite's name and place.
 
     `pieces` are a document's parts in order (pos, text). A running sum over them counts the open
     suites, another one the other open elements; a case lies directly in a suite when the root is
-    the only other one. Its suite is the one that was opened last at that level.
+    the only other one. Its suite is the one that was opened last at that level. With `parts` the
+    documents are spread over so many tasks.
     """
+    if parts:
+        pieces = pieces.repartition(parts, "run_id", "source")
     text = F.col("text")
     kind = F.regexp_extract("text", "^" + _NAMED, 1)
     tag = F.regexp_extract("text", _TAG, 0)
@@ -168,12 +171,13 @@ def _ingest_nunit(docs: DataFrame, root: str, dialect: str) -> facts.TestFacts:
     pieces = F.when(~broken, F.split(plain_markup(F.col("value")), f"(?={_NAMED})", -1))
     stored = materialize(parsed.select("run_id", "source", "source_ord", broken.alias("broken"), pieces.alias("pieces")), dialect)
     cut = stored.where("NOT broken").select("run_id", "source", "source_ord", F.posexplode("pieces").alias("pos", "text"))
+    pieces_in_all = stored.agg(F.sum(F.size("pieces"))).first()[0] or 0
     case = F.col("case")
     reason = F.when(case["reason"].isNotNull(), text_or_empty(case["reason"]["message"]))
     message = F.when(case["failure"].isNotNull(), _failure_text(case["failure"])).otherwise(reason)
     flat = _flat_case(text_or_empty(F.col("suite._name")), case, "nunit", "_duration", message)
     found = materialize(
-        nested_cases(cut).select("run_id", "source", "source_ord", "suite_pos", "pos", flat.alias("case")), f"{dialect}-cases"
+        nested_cases(cut, parts_for(pieces_in_all, stored)).select("run_id", "source", "source_ord", "suite_pos", "pos", flat.alias("case")), f"{dialect}-cases"
     )
     # A time that is not a number makes the whole document invalid.
     bad = found.where((case["seconds"] != "") & parse_float(case["seconds"]).isNull()).select("source").distinct()

@@ -140,3 +140,19 @@ def test_lookups_within_a_row(spark):
     for i, left, right in table:
         last = {k: v for k, _, v in right}
         assert got[i] == [(k, p, last.get(k)) for k, p in left]
+
+
+def test_windows_over_lines_spread_with_the_rows(spark):
+    from buildlens.plans.skew import PART_ROWS, parts_for
+    from buildlens.sources.nunit import nested_cases
+
+    few = spark.range(5)
+    assert parts_for(0, few) == parts_for(PART_ROWS, few) == 4
+    assert parts_for(100 * PART_ROWS, few) == 100
+    lines = spark.range(50).selectExpr("'s' AS source", "struct(0L AS block_start, id AS row_id) AS seq", "IF(id % 7 = 0, id, NULL) AS mark")
+    pieces = few.selectExpr("'r' AS run_id", "CAST(id AS STRING) AS source", "'s' AS source_ord", "CAST(id AS INT) AS pos", "concat('<a', id, '>') AS text")
+    wide = neighbour_markers(lines, ["source"], "mark", chunk_bits=3, parts=37)
+    for df in (wide, nested_cases(pieces, 37)):
+        assert ", 37)" in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.seq.row_id: (r.prev_marker, r.next_marker) for r in wide.collect()}
+    assert got == {i: ((i - 1) // 7 * 7 if i else None, i // 7 * 7 + 7 if i < 49 else None) for i in range(50)}
