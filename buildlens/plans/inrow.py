@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Two arrays of up to this many pairs are compared item by item: maps would cost more than the pairs.
+SHORT_PAIRS = 256
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is worked out once, however often `body` uses it."""
@@ -36,7 +39,7 @@ def runs_by_key(items: Column, of_run: Callable[[Column, Column, Column], Column
             F.transform(first, lambda i, j: F.struct(sorted_[i]["key"].alias("key"), of_run(sorted_, i, behind(j)).alias("run")))
         )
 
-    return let(F.array_sort(items), lambda sorted_: let(starts(sorted_), lambda first: entries(sorted_, first)))
+    return let(F.sort_array(items), lambda sorted_: let(starts(sorted_), lambda first: entries(sorted_, first)))
 
 
 def with_last(left: Column, right: Column) -> Column:
@@ -45,8 +48,22 @@ def with_last(left: Column, right: Column) -> Column:
     value is that of the last item of `right` (structs key, pos, value) with the same key, or
     null. A null key matches nothing.
     """
-    last = runs_by_key(right, lambda items, first, behind: items[behind - 1]["value"])
-    return let(left, lambda items: let(last, lambda values: _zipped(items, values)))
+    def matched(items: Column, others: Column) -> Column:
+        short = F.size(items) * F.size(others) <= SHORT_PAIRS
+        last = lambda: runs_by_key(others, lambda sorted_, first, behind: sorted_[behind - 1]["value"])
+        return F.when(short, _compared(items, others)).otherwise(let(last(), lambda values: _zipped(items, values)))
+
+    return let(left, lambda items: let(right, lambda others: matched(items, others)))
+
+
+def _compared(left: Column, right: Column) -> Column:
+    """`with_last` of short arrays: every pair is looked at."""
+    def placed(item: Column) -> Column:
+        last = F.array_max(F.filter(right, lambda x: x["key"] == item["key"]))
+        return F.struct(item["pos"].alias("pos"), item.alias("item"), last["value"].alias("value"))
+
+    in_order = F.sort_array(F.transform(left, placed))
+    return F.transform(in_order, lambda x: F.struct(x["item"].alias("item"), x["value"].alias("value")))
 
 
 def _zipped(left: Column, last: Column) -> Column:
@@ -59,5 +76,5 @@ def _zipped(left: Column, last: Column) -> Column:
     held = F.flatten(F.filter(F.map_values(zipped), lambda items: items.isNotNull()))
     nothing = F.when(F.lit(False), F.get(F.map_values(last), F.lit(0)))
     alone = F.transform(F.filter(left, lambda item: item["key"].isNull()), lambda item: placed(item, nothing))
-    in_order = F.array_sort(F.concat(held, alone))
+    in_order = F.sort_array(F.concat(held, alone))
     return F.transform(in_order, lambda x: F.struct(x["item"].alias("item"), x["value"].alias("value")))

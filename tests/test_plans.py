@@ -142,6 +142,25 @@ def test_lookups_within_a_row(spark):
         assert got[i] == [(k, p, last.get(k)) for k, p in left]
 
 
+def test_lookups_of_long_and_short_arrays_agree(spark, monkeypatch):
+    from buildlens.plans import inrow
+
+    rng = random.Random(3)
+    table = []
+    for i in range(40):
+        left = [(rng.choice([1, 2, 3, 9, None]), p) for p in range(rng.randint(0, 30))]
+        right = [(rng.choice([1, 2, 3, 4, None]), rng.randint(0, 5), rng.choice([7, 8, None])) for _ in range(rng.randint(0, 30))]
+        table.append((i, rng.sample(left, len(left)), right))
+    table += [(40, None, [(1, 0, 1)]), (41, [(1, 0)], None)]
+    df = spark.createDataFrame(table, "i int, l array<struct<key: bigint, pos: int>>, r array<struct<key: bigint, pos: int, value: int>>")
+
+    def found(pairs: int) -> list:
+        monkeypatch.setattr(inrow, "SHORT_PAIRS", pairs)
+        return df.select("i", with_last(F.col("l"), F.col("r")).alias("m")).orderBy("i").collect()
+
+    assert found(10_000)[:40] == found(-1)[:40]
+
+
 def test_windows_over_lines_spread_with_the_rows(spark):
     from buildlens.plans.skew import PART_ROWS, parts_for
     from buildlens.sources.nunit import nested_cases
