@@ -25,6 +25,26 @@ _CLOSING = rf"(?md)^{_BLANK}end_of_record{_BLANK}(:.*)?$"
 # begins with the rest of that line.
 _CUT_BEHIND = rf"(^|\n){_BLANK}$"
 _CUT_BEFORE = rf"^{_BLANK}(:[^\n]*)?(\n|$)"
+_TAGS = ("DA", "BRDA", "FN", "FNDA")
+
+
+def _plain(char: Column) -> Column:
+    """Whether a text begins with a visible ASCII character, so trimming its start changes nothing."""
+    return F.ascii(char).between(33, 126)
+
+
+def _trimmed(line: Column) -> Column:
+    return F.when(_plain(line) & _plain(F.substring(line, -1, 1)), line).otherwise(trim_space(line))
+
+
+def _tagged(line: Column) -> Column:
+    """Tag and value of a trimmed detail line."""
+    tag = F.substring_index(line, ":", 1)
+    value = F.substr(line, F.length(tag) + 2)
+    return F.struct(
+        F.when(tag.isin(*_TAGS), tag).otherwise(trim_space(tag)).alias("tag"),
+        F.when(_plain(value), value).otherwise(trim_space(value)).alias("value"),
+    )
 
 
 def lcov_records(rows: DataFrame) -> DataFrame:
@@ -35,7 +55,7 @@ def lcov_records(rows: DataFrame) -> DataFrame:
     """
     pieces = drop_first(F.split("value", _OPENING, -1))
     body = F.split("piece", _CLOSING, 2)[0]
-    lines = F.transform(F.split(body, "\n", -1), trim_space)
+    lines = F.transform(F.split(body, "\n", -1), _trimmed)
     more = [c for c in ("behind", "before") if c in rows.columns]
     return (
         rows.select("*", F.posexplode_outer(pieces).alias("pos", "piece"))
@@ -51,12 +71,9 @@ def lcov_records(rows: DataFrame) -> DataFrame:
     )
 
 
-def _fields(details: Column, tag: str, limit: int) -> Column:
+def _fields(tagged: Column, tag: str, limit: int) -> Column:
     """Comma-separated values of the detail lines with this tag."""
-    tagged = F.filter(details, lambda x: trim_space(F.substring_index(x, ":", 1)) == tag)
-    return F.transform(
-        tagged, lambda x: F.split(trim_space(F.regexp_extract(x, r"(?s)^[^:]*:?(.*)$", 1)), ",", limit)
-    )
+    return F.transform(F.filter(tagged, lambda x: x["tag"] == tag), lambda x: F.split(x["value"], ",", limit))
 
 
 def _called(fields: Column) -> Column:
@@ -68,7 +85,7 @@ def _called(fields: Column) -> Column:
 
 def parsed_records(rows: DataFrame) -> DataFrame:
     """Records with typed line, branch, function and call arrays."""
-    records = lcov_records(rows)
+    records = lcov_records(rows).withColumn("details", F.transform("details", _tagged))
     more = [c for c in ("behind", "before") if c in rows.columns]
     da = F.transform(
         F.filter(_fields(F.col("details"), "DA", 3), lambda p: F.size(p) >= 2),

@@ -250,3 +250,11 @@ def test_a_profile_line_is_taken_apart_once(spark):
     blocks = gocover_blocks(lines)
     assert blocks._jdf.queryExecution().optimizedPlan().toString().count("\\s+") == 1
     assert rows(blocks, "path", "start", "end", "statements", "count") == [("", 1, 2, 0, 4), ("a:b.go", 3, 5, 1, 7)]
+
+
+def test_lcov_tags_and_values_with_any_white_space(spark):
+    lines = ["DA:1,2", " DA :1,2", "\u00a0FN\u2003: 3,f\u00a0", "BRDA", "FNDA:", ":x", "", "\u00e9:\u00e9 \u3000", "DA:\u20031,2:3\r"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    got = df.select("i", lcov._tagged(lcov._trimmed(F.col("x"))).alias("t")).orderBy("i").collect()
+    parts = [x.strip().partition(":") for x in lines]
+    assert [(r.t.tag, r.t.value) for r in got] == [(tag.strip(), value.strip()) for tag, _, value in parts]
