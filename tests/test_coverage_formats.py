@@ -258,3 +258,16 @@ def test_lcov_tags_and_values_with_any_white_space(spark):
     got = df.select("i", lcov._tagged(lcov._trimmed(F.col("x"))).alias("t")).orderBy("i").collect()
     parts = [x.strip().partition(":") for x in lines]
     assert [(r.t.tag, r.t.value) for r in got] == [(tag.strip(), value.strip()) for tag, _, value in parts]
+
+
+def test_documents_of_many_entries_are_spread(spark, monkeypatch):
+    from buildlens.sources import xmlcoverage
+
+    monkeypatch.setattr(xmlcoverage, "PART_ROWS", 10)
+    monkeypatch.setattr(xmlcoverage, "parts_for", lambda rows, of: -(-rows // 10))
+    docs = spark.range(12, numPartitions=1).selectExpr("concat('s', id) AS source", "sequence(1, 5) AS entries")
+    docs = docs.union(docs.selectExpr("'broken'", "CAST(NULL AS array<int>)").limit(1))
+    spread = xmlcoverage.spread_documents(docs)
+    assert spread.rdd.getNumPartitions() == 6 and sorted(spread.collect()) == sorted(docs.collect())
+    few = docs.limit(2)
+    assert xmlcoverage.spread_documents(few) is few
