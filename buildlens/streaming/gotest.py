@@ -46,35 +46,45 @@ def stream_events(lines: DataFrame) -> DataFrame:
 class OpenTests(StatefulProcessor):
     """Output of the tests that have started and not ended.
 
-    One call handles a bucket of tests. `open` holds how many pieces of output
-    each running test has stored, and is all that is read on every call; the
-    pieces are written once and read when their test ends.
+    One call handles a bucket of tests. `pieces` holds the output of each running
+    test, an empty piece if it has none yet: one write for a test and batch. Its keys
+    are all that is read on every call; a piece is read when its test ends.
     """
 
     def __init__(self, ttl_ms: int | None = None) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        test = "package string, test string"
-        self.open = handle.getMapState("open", test, "parts int", ttlDurationMs=self.ttl_ms)
-        self.pieces = handle.getMapState("pieces", f"{test}, part int", "output string", ttlDurationMs=self.ttl_ms)
+        key = "package string, test string, part int"
+        self.pieces = handle.getMapState("pieces", key, "output string", ttlDurationMs=self.ttl_ms)
 
-    def take_stored(self, test: tuple[str, str], parts: int) -> list[str]:
+    def stored_parts(self) -> dict[tuple[str, str], list[int]]:
+        """Numbers of the stored pieces of every running test."""
+        stored: dict[tuple[str, str], list[int]] = {}
+        for package, test, part in self.pieces.keys():
+            stored.setdefault((package, test), []).append(part)
+        return stored
+
+    def take_stored(self, test: tuple[str, str], parts: list[int]) -> list[str]:
         """Stored output of a test in order; the state lets go of it."""
         out = []
-        for part in range(parts):
+        for part in sorted(parts):
             out.append(self.pieces.getValue((*test, part))[0])
             self.pieces.removeKey((*test, part))
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable", na_position="first")
-        stored = {tuple(test): parts[0] for test, parts in self.open.iterator()}
+        stored = self.stored_parts()
         test = ["package", "test"]
         # Segments: the output between two markers (runs and ends) of a test; 0 comes before the first one.
         marker = batch["action"] != "output"
         batch["segment"] = marker.groupby([batch["package"], batch["test"]]).cumsum()
-        text = batch[~marker].groupby([*test, "segment"], sort=False)["output"].agg("".join).to_dict()
+        pieces: dict[tuple, list[str]] = {}
+        said = batch[~marker]
+        for *name, output in zip(said["package"], said["test"], said["segment"], said["output"]):
+            pieces.setdefault(tuple(name), []).append(output)
+        text = {name: "".join(outputs) for name, outputs in pieces.items()}
         marks = batch[marker].copy()
         marks["before"] = marks.groupby(test)["action"].shift(fill_value="")
         names = list(zip(marks["package"], marks["test"], marks["segment"] - 1))
@@ -87,16 +97,13 @@ class OpenTests(StatefulProcessor):
         for at, name in zip(first.index, zip(first["package"], first["test"])):
             if name in stored:
                 marks.at[at, "raw_output"] = "".join(self.take_stored(name, stored.pop(name))) + marks.at[at, "raw_output"]
-                self.open.removeKey(name)
         last = marks.drop_duplicates(test, keep="last")
         still = {name: n for *name_, n, a in zip(last["package"], last["test"], last["segment"], last["action"])
                  if a == "run" for name in [tuple(name_)]}
         for name, segment in {**{name: 0 for name in stored}, **still}.items():
-            parts, piece = stored.get(name, 0), text.get((*name, segment), "")
-            if piece:
-                self.pieces.updateValue((*name, parts), (piece,))
+            piece = text.get((*name, segment), "")
             if piece or segment:
-                self.open.updateValue(name, (parts + bool(piece),))
+                self.pieces.updateValue((*name, max(stored.get(name, [-1])) + 1), (piece,))
         done = marks[marks["action"] != "run"].assign(run_id=key[0])
         columns = [f.split()[0] for f in _FINISHED.split(", ")]
         yield pd.DataFrame(list(zip(*(done[c].tolist() for c in columns))), columns=columns)

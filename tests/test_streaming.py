@@ -112,3 +112,52 @@ def test_running_totals(spark, tmp_path):
     assert len(seen) > 1
     last = {r["run_id"]: (r["total"], r["passed"], r["failed"], r["skipped"]) for batch in seen for r in batch}
     assert last == {r["run_id"]: tuple(r)[1:] for r in stats_of(table).collect()}
+
+
+class _Written(dict):
+    """Map state that counts its writes."""
+
+    writes = 0
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def getValue(self, key):
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_a_running_test_is_written_once_for_a_batch():
+    import pandas as pd
+
+    from buildlens.streaming.gotest import OpenTests
+
+    states = []
+
+    class Handle:
+        def getMapState(self, *names, **more):
+            states.append(_Written())
+            return states[-1]
+
+    columns = ["package", "test", "at", "action", "elapsed", "output"]
+    processor = OpenTests()
+    processor.init(Handle())
+
+    def batch(*events):
+        frame = pd.DataFrame([("p", t, at, action, 0.0, out) for t, at, action, out in events], columns=columns)
+        return [tuple(r) for r in next(processor.handleInputRows(("r", 0), iter([frame]), None))[["test", "raw_output"]].values]
+
+    assert batch(("a", 1, "run", ""), ("a", 2, "output", "x"), ("a", 3, "output", "y"), ("b", 1, "run", "")) == []
+    assert sum(s.writes for s in states) == 2
+    assert batch(("a", 4, "output", "z"), ("b", 4, "output", "w"), ("c", 4, "output", "lost")) == []
+    assert sum(s.writes for s in states) == 4
+    assert batch(("a", 5, "pass", ""), ("b", 5, "output", "!"), ("b", 6, "fail", ""), ("c", 5, "fail", "")) == [
+        ("a", "xyz"), ("c", ""), ("b", "w!"),
+    ]
+    assert not any(states)
