@@ -14,16 +14,18 @@ Lines of equal sets are one class from the start, so repeated lines cost one row
    frequent tokens last; its first p tokens are what it is joined by.
 3. Join. Classes that share a prefix token are compared under the length and positional
    bounds, and their Jaccard similarity is verified on whole sets. A class needs one earlier match
-   only, so it meets the earliest few classes of each token first; only those still without a
-   match meet the next, larger block. Groups of thousands of variants end after the first
-   blocks, and a token that thousands of unlike lines share is worked off without ever
-   emitting the pairs of lines that already went.
+   only, so it meets the earliest few classes of each token first, which a window hands to every
+   row of the token; only those still without a match meet the next, larger block by a join.
+   Groups of thousands of variants end after the first blocks, and a token that thousands of unlike
+   lines share is worked off without ever emitting the pairs of lines that already went.
 
 Everything is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +44,9 @@ FOLD_BYTES = 64 << 30
 # Keys and tokens are broadcast while their stored tables are smaller than this.
 KEY_BYTES = 24 << 20
 LAST = (1 << 63) - 1
-_SPACE = r"[\x20\x09-\x0D]+"
-# From a line's first character of a word to its end: one match in every line with a word.
-_WRITTEN = r"[^\x20\x09-\x0D][^\n]*"
+# White space inside a line, and what a text holds where it is not one plain space each.
+_SPACE = r"[\x20\x09\x0B-\x0D]+"
+_ODD_SPACES = ("\t", "\x0b", "\x0c", "\r", "  ")
 
 
 def _known(df: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def _shingle_hashes(words: Column, size: int) -> Column:
 
 def _tokens(lines: DataFrame, shingle: int) -> DataFrame:
     """`lines` with the sorted distinct token hashes of `line`."""
-    words = F.split(F.btrim("line", F.lit(SPACES)), _SPACE)
+    words = F.split(F.btrim("line"), " ")
     return lines.withColumn("tokens", F.sort_array(F.array_distinct(_shingle_hashes(words, shingle)))).drop("line")
 
 
@@ -78,12 +80,21 @@ def _needed(n, percent: int):
     return F.ceil(_prefix_size(n, percent) / 2).cast("int")
 
 
+def _spaced(text: Column) -> Column:
+    """The text with one plain space for all white space between two words of a line; most texts have that."""
+    odd = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in _ODD_SPACES])
+    return F.when(odd, F.regexp_replace(text, _SPACE, " ")).otherwise(text)
+
+
 def _lines(documents: DataFrame) -> DataFrame:
-    """Every line with a word: its place (doc, t1, no) in the corpus order, and its text."""
-    return (
-        documents.select("doc", "t1", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
-        .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    )
+    """Every line with a word: its place (doc, t1, no) in the corpus order, and its text with plain spaces."""
+    lines = F.split(_spaced(F.coalesce("text", F.lit(""))), "\n")
+    return documents.select("doc", "t1", F.posexplode(lines).alias("no", "line")).where(F.btrim("line") != "")
+
+
+def _written(text: Column) -> Column:
+    """Number of lines with a word."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
 
 
 def _placed(documents: DataFrame) -> DataFrame:
@@ -143,69 +154,93 @@ def _near_classes(texts: DataFrame, firsts: DataFrame, shingle: int, percent: in
         .where("n >= k").select(*_PLACE), "meeting",
     )
 
-    # 2. Their whole sets, frequent tokens last. A row that the table holds twice gives its class
-    # twice; the places below are sets, so that changes nothing.
+    # 2. Their whole sets, and the frequent ones of their tokens.
+    if small(meeting, KEY_BYTES):  # texts without such a line are not taken apart again
+        texts = texts.join(F.broadcast(meeting.select("doc", "t1").distinct()), ["doc", "t1"], "left_semi")
     wanted = _tokens(_lines(texts).join(_known(meeting), list(_PLACE), "left_semi"), shingle)
     sets = stored(
         wanted.select(
             F.xxhash64("tokens").alias("s1"), F.xxhash64(F.lit("set"), "tokens").alias("s2"),
-            F.struct(*_PLACE).alias("first"), F.size("tokens").alias("n"), "tokens",
+            *_PLACE, F.size("tokens").alias("n"), "tokens",
         ),
         "sets",
     )
-    frequent = stored(
-        sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-        .where(F.col("df") > FREQUENT), "frequent",
-    )
-    spread = sets.repartition("s1", "s2").select("s1", "s2", "first", "n", F.explode("tokens").alias("token"))
-    ranked = (
-        spread.join(_known(frequent), "token", "left")
-        .groupBy("s1", "s2", "first", "n")
-        .agg(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("order"))
+    tokens = sets.select("s1", "s2", F.explode("tokens").alias("token"))
+    frequent = stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT), "frequent")
+    often = stored(
+        tokens.join(_known(frequent), "token").groupBy("s1", "s2").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("often")), "often",
     )
-    prefix = F.slice(F.sort_array("order"), 1, _prefix_size(F.col("n"), percent))
-    posts = ranked.select("s1", "s2", "first", "n", F.posexplode(prefix).alias("at", "o")).select(
-        "s1", "s2", "first", "n", "at", F.col("o.token").alias("token")
+    late = F.transform("often", lambda o: o["token"])
+    order = F.when(F.col("often").isNull(), F.col("tokens")).otherwise(F.concat(F.array_except("tokens", late), late))
+    posts = sets.join(_known(often), ["s1", "s2"], "left").select(
+        "s1", "s2", *_PLACE, "n", F.posexplode(F.slice(order, 1, _prefix_size(F.col("n"), percent))).alias("at", "token")
     )
-    posts = stored(posts, "prefixes")
-    sizes = stored(posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "token-sizes")
-    posts = stored(posts.join(_known(sizes.select("token")), "token", "left_semi"), "posts")
 
     # 3. Blocks of earlier classes, until every class has a match or met all before it.
-    by_place = Window.partitionBy("token").orderBy("first", "s1", "s2")
-    near, open_, done, block = None, posts, 0, FIRST_BLOCK
+    ranked = stored(_ranked(posts, percent), "ranked")
+    pairs = ranked.select("s1", "s2", F.explode("early").alias("e")).where("e IS NOT NULL").select("s1", "s2", "e.e1", "e.e2")
+    near = found = _verified(pairs, sets, percent)
+    # A row that the table holds twice gives its class twice; here it stays once, whatever its rank.
+    later = stored(
+        ranked.where("more IS NOT NULL").select("s1", "s2", "more.*").dropDuplicates(["token", "s1", "s2"]), "later"
+    )
+    done, block = FIRST_BLOCK, FIRST_BLOCK * GROWTH
     while True:
+        open_ = stored(later.where(F.col("size") > done).join(_known(near), ["s1", "s2"], "left_anti"), "open")
+        if open_.isEmpty():
+            return near
         top = done + block
-        earlier = (
-            posts.withColumn("rank", F.row_number().over(by_place)).where((F.col("rank") <= top) & (F.col("rank") > done))
+        earlier = stored(
+            later.where((F.col("rank") <= top) & (F.col("rank") > done))
             .select("token", F.col("s1").alias("e1"), F.col("s2").alias("e2"), F.col("n").alias("m"),
-                    F.col("at").alias("e_at"), F.col("first").alias("e_first"))
+                    F.col("at").alias("e_at"), F.col("first").alias("e_first")), "earlier",
         )
-        found = _verified(open_, stored(earlier, "earlier"), sets, percent)
-        near = found if near is None else stored(near.unionByName(found), "near")
-        rest = sizes.where(F.col("size") > top).select("token")
-        open_ = stored(
-            open_.join(_known(rest), "token", "left_semi").join(_known(found), ["s1", "s2"], "left_anti"), "open"
-        )
-        if open_.isEmpty():
-            return near
+        met_now = _known(open_).join(earlier, "token") if small(open_, KEY_BYTES) else open_.join(_known(earlier), "token")
+        bounds = _may_match(*[F.col(c) for c in ("first", "n", "at", "e_first", "m", "e_at")], percent)
+        found = _verified(met_now.where(bounds).select("s1", "s2", "e1", "e2"), sets, percent)
+        near = stored(near.unionByName(found), "near")
         done, block = top, block * GROWTH
 
 
-def _verified(open_: DataFrame, earlier: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(s1, s2) of the open classes that match one of the earlier classes of a common token."""
-    n, m = F.col("n"), F.col("m")
+def _may_match(first, n, at, e_first, m, e_at, percent: int) -> Column:
+    """Whether a set of n tokens can match an earlier one of m that shares the token at `at` and `e_at` of their orders."""
     need = F.ceil((n + m) * percent / (100 + percent))
-    pairs = stored(
-        open_.join(_known(earlier), "token")
-        .where((F.col("e_first") < F.col("first")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent))
-        .where(F.least(n - F.col("at"), m - F.col("e_at")) >= need)
-        .select("s1", "s2", "e1", "e2")
-        .distinct(),
-        "pairs",
+    return (
+        (e_first < first) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - at, m - e_at) >= need)
+    )
+
+
+def _ranked(posts: DataFrame, percent: int) -> DataFrame:
+    """Rows of tokens that several classes hold: `early`, those of the token's first FIRST_BLOCK rows
+    that the class can match (else null), and in `more` its place among the rows where there are more of them.
+    """
+    by_place = Window.partitionBy("token").orderBy(*_PLACE, "s1", "s2")
+    whole = by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.struct(*_PLACE).alias("first")
+    item = F.struct(F.col("s1").alias("e1"), F.col("s2").alias("e2"), first, "n", "at")
+    places = [f"e{i}" for i in range(1, FIRST_BLOCK + 1)]
+    placed = posts.withColumns({
+        "rank": F.row_number().over(by_place), "size": F.count("*").over(whole),
+        **{e: F.nth_value(item, i).over(whole) for i, e in enumerate(places, 1)},
+    }).where("size > 1")
+
+    def early(e: Column) -> Column:
+        bounds = _may_match(first, F.col("n"), F.col("at"), e["first"], e["n"], e["at"], percent)
+        return F.when(bounds, F.struct(e["e1"].alias("e1"), e["e2"].alias("e2")))
+
+    more = F.when(F.col("size") > FIRST_BLOCK, F.struct("token", first, "n", "at", "rank", "size"))
+    found = placed.select("s1", "s2", *[early(F.col(e)).alias(e) for e in places], more.alias("more"))
+    return found.where(F.coalesce(*places).isNotNull() | F.col("more").isNotNull()).select(
+        "s1", "s2", F.array(*places).alias("early"), "more"
     )
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(s1, s2) of the pairs of classes (s1, s2) and (e1, e2) that match."""
+    pairs = stored(pairs.distinct(), "pairs")
     left = stored(sets.select("s1", "s2", F.col("tokens").alias("a")).join(_known(pairs), ["s1", "s2"]), "left-sets")
     right = sets.select(F.col("s1").alias("e1"), F.col("s2").alias("e2"), F.col("tokens").alias("b"))
+    right = right.join(_known(pairs.select("e1", "e2")), ["e1", "e2"], "left_semi")
     same = F.size(F.array_intersect("a", "b"))
     found = right.join(_known(left), ["e1", "e2"]).where(same * 100 >= (F.size("a") + F.size("b") - same) * percent)
     return stored(found.select("s1", "s2").distinct(), "found")
@@ -223,7 +258,7 @@ def deduplicate(
     """
     rows = _placed(documents).select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], "doc", "t1",
-        F.coalesce(F.regexp_count("text", F.lit(_WRITTEN)), F.lit(0)).cast("long").alias("n_lines"),
+        _written(F.col("text")).cast("long").alias("n_lines"),
     )
     gone = repeated_lines(documents, shingle, percent)
     lists = stored(gone.groupBy("doc", "t1").agg(F.sort_array(F.collect_list("no")).alias("removed")), "removed")

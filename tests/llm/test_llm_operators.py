@@ -194,6 +194,29 @@ def test_line_dedup_of_a_group_of_variants(spark):
     assert got == {d: [0] if (i, 0) in gone else [] for i, (d, _) in enumerate(rows)}
 
 
+def test_line_dedup_ranks_the_rows_of_a_token_once(spark, monkeypatch):
+    plans = []
+
+    def spy(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return common.stored(df, label)
+
+    monkeypatch.setattr(line_dedup, "stored", spy)
+    shared = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, shared + " " + " ".join(f"u{i}x{k}" for k in range(6))) for i in range(14)]
+    rows.append((20, "\t" + rows[13][1].replace(" ", " \x0b ") + "\r\n \x0c\nanother"))
+    twice = spark.createDataFrame(rows + rows, "doc_id long, text string")
+    got = line_dedup.deduplicate(twice, ["doc_id"]).collect()
+    gone = brute.similar_lines([t for _, t in rows])
+    at = {d: i for i, (d, _) in enumerate(rows)}
+    assert len(got) == 2 * len(rows)
+    for r in got:
+        assert r.removed == sorted(n for i, n in gone if i == at[r.doc_id])
+        assert r.n_lines == (2 if r.doc_id == 20 else 1)
+    assert (at[20], 0) in gone
+    assert sum("Window" in p for p in plans) == 1
+
+
 def test_without_lines(spark):
     df = spark.createDataFrame([("a\nb\n\nc", [1]), ("a", []), (None, []), ("x\ny", [0, 1])], "t string, r array<int>")
     assert [r[0] for r in df.select(line_dedup.without_lines(F.col("t"), F.col("r"))).collect()] == ["a\n\nc", "a", None, ""]
