@@ -219,10 +219,9 @@ def _ranked(posts: DataFrame, percent: int) -> DataFrame:
     first = F.struct(*_PLACE).alias("first")
     item = F.struct(F.col("s1").alias("e1"), F.col("s2").alias("e2"), first, "n", "at")
     places = [f"e{i}" for i in range(1, FIRST_BLOCK + 1)]
-    placed = posts.withColumns({
-        "rank": F.row_number().over(by_place), "size": F.count("*").over(whole),
-        **{e: F.nth_value(item, i).over(whole) for i, e in enumerate(places, 1)},
-    }).where("size > 1")
+    # Rows of a token alone are left out before the others get the first rows of theirs.
+    sized = posts.withColumns({"rank": F.row_number().over(by_place), "size": F.count("*").over(whole)}).where("size > 1")
+    placed = sized.withColumns({e: F.nth_value(item, i).over(whole) for i, e in enumerate(places, 1)})
 
     def early(e: Column) -> Column:
         bounds = _may_match(first, F.col("n"), F.col("at"), e["first"], e["n"], e["at"], percent)

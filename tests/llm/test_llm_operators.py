@@ -217,6 +217,25 @@ def test_line_dedup_ranks_the_rows_of_a_token_once(spark, monkeypatch):
     assert sum("Window" in p for p in plans) == 1
 
 
+def test_line_dedup_leaves_tokens_of_one_line_out_of_the_first_block(spark, monkeypatch):
+    plans = {}
+
+    def spy(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return common.stored(df, label)
+
+    monkeypatch.setattr(line_dedup, "stored", spy)
+    near = [f"v{i}" for i in range(40)]
+    rows = [(1, " \t" + " ".join(near)), (2, "first\n\n" + "  ".join(near[1:])), (3, "\r\n" + " ".join(near[2:] + ["x"]) + "\nlast")]
+    rows += [(4, "alone"), (5, ""), (6, None)]
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()
+    assert {r.doc_id: r.removed for r in got} == {1: [], 2: [2], 3: [1], 4: [], 5: [], 6: []}
+    gone = brute.similar_lines([t for _, t in rows])
+    assert all(r.removed == sorted(n for i, n in gone if i == r.doc_id - 1) for r in got)
+    ranks, firsts = plans["ranked"].rindex("row_number"), plans["ranked"].rindex("nth_value")
+    assert firsts < plans["ranked"].index("Filter (size") < ranks
+
+
 def test_without_lines(spark):
     df = spark.createDataFrame([("a\nb\n\nc", [1]), ("a", []), (None, []), ("x\ny", [0, 1])], "t string, r array<int>")
     assert [r[0] for r in df.select(line_dedup.without_lines(F.col("t"), F.col("r"))).collect()] == ["a\n\nc", "a", None, ""]
